@@ -1,0 +1,7 @@
+"""Streaming use.
+
+There are no streaming operators of their own here. Everything in :mod:`cohortry.functions.columns`, the filters of
+:mod:`cohortry.operators.rows`, joins to static dimensions in :mod:`cohortry.operators.joins` and the ``transform`` of
+every fitted model are stateless, so they take a streaming DataFrame as they are (``tests/test_streaming.py``).
+Everything that aggregates, ranks or fits needs a batch DataFrame.
+"""

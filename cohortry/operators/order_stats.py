@@ -34,7 +34,8 @@ def with_counts_below(counts: DataFrame, keys: Sequence[str], value: str, n: str
         cuts = counts.agg(F.percentile_approx(F.when(F.col(n) > 0, F.col(value)), shares, 10 * buckets)).scalar()
         placed = (
             counts.withColumn("__cuts", cuts)
-            .withColumn("__bucket", F.size(F.filter("__cuts", lambda cut: cut < F.col(value))))
+            # never null, or Spark would test the bucket for null on every input row ahead of the counting
+            .withColumn("__bucket", F.coalesce(F.size(F.filter("__cuts", lambda cut: cut < F.col(value))), F.lit(0)))
             .drop("__cuts")
         )
     before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -77,13 +78,15 @@ def quantiles(
     by: Sequence[str] = (),
     few_groups: bool = True,
 ) -> DataFrame:
-    """Exact interpolated quantiles: (by..., feature, n_rows, q) with ``q`` in the order of ``probs``.
+    """Exact interpolated quantiles: (by..., feature, n_rows, q) with ``q`` in the order of ``probs`` (ascending).
 
     Pass one sketches a bracket around every quantile, with a margin several times the sketch's error bound. Pass two
     counts rows outside the brackets per gap and keeps single values only inside them, so a shuffle carries about
     0.1 % of the rows per quantile. ``few_groups`` says that the groups in ``by`` are bounded (bins, clusters), which
     allows the bracket table to be broadcast; otherwise Spark decides by measured size.
     """
+    if list(probs) != sorted(probs):
+        raise ValueError("probs must ascend")
     keys = [*by, "feature"]
     rows = long_values(df, columns, by)
     for k in by:
@@ -93,14 +96,13 @@ def quantiles(
     brackets = rows.groupBy(*keys).agg(F.percentile_approx("value", edges, _SKETCH).alias("__e"))
     if few_groups:
         brackets = F.broadcast(brackets)
-    v = F.col("value")
-    inside = F.lit(False)
-    for i in range(len(probs)):
-        inside = inside | v.between(F.col("__e")[2 * i], F.col("__e")[2 * i + 1])
-    gap_start = F.coalesce(F.array_max(F.filter("__e", lambda e: e < v)), F.lit(float("-inf")))
+    v, e = F.col("value"), F.col("__e")
+    kept = F.lit(float("-inf"))
+    for i in range(len(probs)):  # the last test written is the first one tried: brackets from the top down
+        kept = F.when(v > e[2 * i + 1], e[2 * i + 1]).when(v >= e[2 * i], v).otherwise(kept)
     counts = (
         rows.join(brackets, keys)
-        .select(*keys, F.when(inside, v).otherwise(gap_start).alias("value"))
+        .select(*keys, kept.alias("value"))
         .groupBy(*keys, "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )

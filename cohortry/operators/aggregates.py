@@ -49,13 +49,13 @@ def sizes_by_side(df: DataFrame, by: Sequence[str], value: str, sides: dict[str,
 def value_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> list[tuple[DataFrame, dict[str, Column]]]:
     """Counts of every value of every column per group, in passes of up to 60 columns.
 
-    Each pass is (frame, {column: test}): rows of a column are those where its test holds, and ``n`` is the count.
+    Each pass is (frame, {column: test}): rows of a column are those where its test holds, and ``__n`` is the count.
     """
     out = []
     for start in range(0, len(columns), _MAX_SETS):
         part = list(columns[start : start + _MAX_SETS])
         counted = df.groupingSets([[*by, c] for c in part], *by, *part).agg(
-            F.grouping_id().alias("__set"), F.count(F.lit(1)).alias("n")
+            F.grouping_id().alias("__set"), F.count(F.lit(1)).alias("__n")
         )
         full = 2 ** len(part) - 1
         tests = {
@@ -78,7 +78,7 @@ def modes(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> Data
     """Most frequent value of every column, in the column's type; ties go to the smallest value."""
 
     def most_frequent(c, test):
-        return F.min_by(F.when(test, F.col(c)), F.when(test, F.struct(-F.col("n"), F.col(c))))
+        return F.min_by(F.when(test, F.col(c)), F.when(test, F.struct(-F.col("__n"), F.col(c))))
 
     return _per_pass(df, columns, by, most_frequent)
 

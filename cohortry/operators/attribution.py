@@ -31,9 +31,9 @@ class Leaf:
 
 def _leaf(node: dict, path: list, weight: float) -> Leaf:
     low, high, share = {}, {}, {}
-    for slot, threshold, goes_left, part in path:
+    for slot, threshold, below, part in path:
         low.setdefault(slot, -np.inf), high.setdefault(slot, np.inf), share.setdefault(slot, 1.0)
-        if goes_left:
+        if below:
             high[slot] = min(high[slot], threshold)
         else:
             low[slot] = max(low[slot], threshold)

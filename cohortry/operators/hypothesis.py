@@ -13,8 +13,8 @@ from cohortry.operators.order_stats import with_counts_below
 
 
 def _sided(df: DataFrame, value: str, side: str, sides: tuple[str, str], keys: Sequence[str]) -> DataFrame:
-    base = df.select(*keys, null_if_nan(F.col(value).cast("double")).alias("value"), F.col(side).alias("side"))
-    return keyed(base, keys).filter(F.col("value").isNotNull() & F.col("side").isin(*sides))
+    base = df.select(*keys, null_if_nan(F.col(value).cast("double")).alias("__value"), F.col(side).alias("__side"))
+    return keyed(base, keys).filter(F.col("__value").isNotNull() & F.col("__side").isin(*sides))
 
 
 def rank_statistics(df: DataFrame, value: str, side: str, sides: tuple[str, str], by: Sequence[str] = ()) -> DataFrame:
@@ -26,18 +26,18 @@ def rank_statistics(df: DataFrame, value: str, side: str, sides: tuple[str, str]
     base = df if by else df.withColumn("__all", F.lit(0))
     counts = (
         _sided(base, value, side, sides, keys)
-        .groupBy(*keys, "value")
-        .agg(F.count_if(F.col("side") == sides[0]).alias("c1"), F.count_if(F.col("side") == sides[1]).alias("c2"))
-        .withColumn("tied", F.col("c1") + F.col("c2"))
+        .groupBy(*keys, "__value")
+        .agg(F.count_if(F.col("__side") == sides[0]).alias("__c1"), F.count_if(F.col("__side") == sides[1]).alias("__c2"))
+        .withColumn("__tied", F.col("__c1") + F.col("__c2"))
     )
-    t = F.col("tied").cast("double")
+    t = F.col("__tied").cast("double")
     sums = (
-        with_counts_below(counts, keys, "value", "tied")
+        with_counts_below(counts, keys, "__value", "__tied")
         .groupBy(*keys)
         .agg(
-            F.sum("c1").alias("n1"),
-            F.sum("c2").alias("n2"),
-            F.sum(F.col("c1") * (F.col("below") + (F.col("tied") + 1) / 2)).alias("r1"),
+            F.sum("__c1").alias("n1"),
+            F.sum("__c2").alias("n2"),
+            F.sum(F.col("__c1") * (F.col("below") + (F.col("__tied") + 1) / 2)).alias("r1"),
             F.sum(t * t * t - t).alias("tie_term"),
         )
     )
@@ -63,7 +63,7 @@ def welch_statistics(df: DataFrame, value: str, side: str, sides: tuple[str, str
     base = _sided(df, value, side, sides, by)
     aggs = []
     for i, s in enumerate(sides, 1):
-        v = F.when(F.col("side") == s, F.col("value"))
+        v = F.when(F.col("__side") == s, F.col("__value"))
         aggs += [F.count(v).alias(f"n{i}"), F.avg(v).alias(f"mean{i}"), F.var_samp(v).alias(f"var{i}")]
     s1 = F.try_divide(F.col("var1"), F.col("n1"))
     s2 = F.try_divide(F.col("var2"), F.col("n2"))

@@ -41,12 +41,12 @@ def with_counts_below(counts: DataFrame, keys: Sequence[str], value: str, n: str
     before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         placed.groupBy(*keys, "__bucket")
-        .agg(F.sum(n).alias("__n"))
+        .agg(F.sum(n).alias("__size"))
         .select(
             *keys,
             "__bucket",
-            F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"),
-            F.sum("__n").over(Window.partitionBy(*keys)).alias("key_rows"),
+            F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__offset"),
+            F.sum("__size").over(Window.partitionBy(*keys)).alias("key_rows"),
         )
     )
     inside = Window.partitionBy(*keys, "__bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
@@ -82,32 +82,32 @@ def quantiles(
 
     Pass one sketches a bracket around every quantile, with a margin several times the sketch's error bound. Pass two
     counts rows outside the brackets per gap and keeps single values only inside them, so a shuffle carries about
-    0.1 % of the rows per quantile. ``few_groups`` says that the groups in ``by`` are bounded (bins, clusters), which
-    allows the bracket table to be broadcast; otherwise Spark decides by measured size.
+    0.1 % of the rows per quantile. Without ``by`` the brackets (one row per column) are found at once and enter
+    pass two as a local table. ``few_groups`` says that the groups in ``by`` are bounded (bins, clusters), which allows the
+    bracket table to be broadcast; otherwise Spark decides by measured size.
     """
     if list(probs) != sorted(probs):
         raise ValueError("probs must ascend")
     keys = [*by, "feature"]
-    rows = long_values(df, columns, by)
-    for k in by:
-        rows = rows.filter(F.col(k).isNotNull())
     margin = 5 / _SKETCH
     edges = [e for p in probs for e in (max(0.0, p - margin), min(1.0, p + margin))]
+
+    def inside_or_gap(v, e):
+        """The value itself inside a bracket, else the end of the bracket below it."""
+        kept = F.lit(float("-inf"))
+        for i in range(len(probs)):  # the last test written is the first one tried: brackets from the top down
+            kept = F.when(v > e[2 * i + 1], e[2 * i + 1]).when(v >= e[2 * i], v).otherwise(kept)
+        return kept
+
+    rows = long_values(df.dropna("any", subset=list(by)) if by else df, columns, by)
     brackets = rows.groupBy(*keys).agg(F.percentile_approx("value", edges, _SKETCH).alias("__e"))
-    if few_groups:
-        brackets = F.broadcast(brackets)
-    v, e = F.col("value"), F.col("__e")
-    kept = F.lit(float("-inf"))
-    for i in range(len(probs)):  # the last test written is the first one tried: brackets from the top down
-        kept = F.when(v > e[2 * i + 1], e[2 * i + 1]).when(v >= e[2 * i], v).otherwise(kept)
-    counts = (
-        rows.join(brackets, keys)
-        .select(*keys, kept.alias("value"))
-        .groupBy(*keys, "value")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    ranked = with_counts_below(counts, keys, "value", "n")
-    last = F.col("below") + F.col("n")
+    if not by:
+        brackets = df.sparkSession.createDataFrame(brackets.collect(), "feature string, __e array<double>")
+    joined = rows.join(F.broadcast(brackets) if few_groups else brackets, keys)
+    kept_rows = joined.select(*keys, inside_or_gap(F.col("value"), F.col("__e")).alias("value"))
+    counts = kept_rows.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("__n"))
+    ranked = with_counts_below(counts, keys, "value", "__n")
+    v, last = F.col("value"), F.col("below") + F.col("__n")
 
     def value_at(rank):
         return F.min(F.when((F.col("below") <= rank) & (rank < last), v))
@@ -146,14 +146,23 @@ def quantile_edges(df: DataFrame, columns: Sequence[str], bins: int = 10, fallba
     )
 
 
-def bin_index(value, edges):
-    """Right-closed bin of a value, the lowest edge included in bin 0."""
-    inner = F.slice(edges, F.lit(2), F.size(edges) - 2)
-    return F.size(F.filter(inner, lambda e: e < value))
+def bin_index(value, inner, n: int):
+    """Right-closed bin of a value: how many of the ``n`` ascending inner edges lie below it."""
+    index = F.lit(0)
+    for i in range(n):  # the last test written is the first one tried
+        index = F.when(value > inner[i], i + 1).otherwise(index)
+    return index
 
 
 def quantile_bins(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = (), bins: int = 10) -> DataFrame:
-    """Long rows (keep..., feature, value, bin). The edge table has one row per column, hence the broadcast."""
-    edges = F.broadcast(quantile_edges(df, columns, bins))
-    rows = long_values(df, columns, keep).join(edges, "feature")
-    return rows.withColumn("bin", bin_index(F.col("value"), F.col("edges"))).drop("edges")
+    """Long rows (keep..., feature, value, bin), the lowest edge included in bin 0.
+
+    The edges are found first, one short row per column, so binning itself is a projection behind the join of a local
+    table. Columns that cannot be cut have no rows.
+    """
+    inner = [(r["feature"], r["edges"][1:-1]) for r in quantile_edges(df, columns, bins).collect()]
+    longest = max((len(e) for _, e in inner), default=0)
+    padded = [(f, e + [float("inf")] * (longest - len(e))) for f, e in inner]
+    table = df.sparkSession.createDataFrame(padded, "feature string, __inner array<double>")
+    rows = long_values(df, columns, keep).join(F.broadcast(table), "feature")
+    return rows.withColumn("bin", bin_index(F.col("value"), F.col("__inner"), longest)).drop("__inner")

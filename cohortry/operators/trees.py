@@ -12,7 +12,7 @@ _PATH_NODES = 1 << 16  # rule tables are for shallow trees
 
 
 def node_table(spark, model) -> DataFrame:
-    """(tree, id, prediction, stats, n, left, right, slot, threshold, categories) of every node of a tree or forest."""
+    """(tree, id, prediction, stats, n, left, right, slot, threshold, flipped) of every node of a tree or forest."""
     path = shared_dir(spark, "fitted-trees")
     model.write().overwrite().save(path)
     stored = spark.read.parquet(f"{path}/data")
@@ -21,6 +21,7 @@ def node_table(spark, model) -> DataFrame:
     else:
         stored = stored.select(F.lit(0).alias("tree"), "*")
     split = F.col("split")
+    left_set, categories = split["leftCategoriesOrThreshold"], split["numCategories"]
     return stored.select(
         "tree",
         "id",
@@ -30,7 +31,9 @@ def node_table(spark, model) -> DataFrame:
         F.col("leftChild").alias("left"),
         F.col("rightChild").alias("right"),
         split["featureIndex"].alias("slot"),
-        F.when(split["numCategories"] < 0, split["leftCategoriesOrThreshold"][0]).alias("threshold"),
+        # a 0/1 slot is stored as a set of values that go left; it becomes a threshold at one half
+        F.when(categories < 0, F.get(left_set, 0)).when(categories == 2, F.lit(0.5)).alias("threshold"),
+        F.when(categories == 2, F.array_contains(left_set, 1.0)).otherwise(False).alias("flipped"),
     )
 
 
@@ -43,7 +46,7 @@ def load_trees(spark, model) -> list[dict[int, dict]]:
 
 
 def leaf_paths(nodes: dict[int, dict]) -> list[tuple[dict, list[tuple[int, float, bool, float]]]]:
-    """(leaf, [(slot, threshold, goes left, share of the parent's rows)]) for every leaf."""
+    """(leaf, [(slot, threshold, x <= threshold, share of the parent's rows)]) for every leaf."""
     out, todo = [], [(0, [])]
     while todo:
         at, path = todo.pop()
@@ -51,9 +54,11 @@ def leaf_paths(nodes: dict[int, dict]) -> list[tuple[dict, list[tuple[int, float
         if node["left"] < 0:
             out.append((node, path))
             continue
-        for child, goes_left in ((node["left"], True), (node["right"], False)):
+        if node["threshold"] is None:
+            raise ValueError(f"slot {node['slot']} is split by more than two categories; one-hot encode it")
+        for child, below in ((node["left"], not node["flipped"]), (node["right"], node["flipped"])):
             share = nodes[child]["n"] / node["n"] if node["n"] else 0.0
-            todo.append((child, [*path, (node["slot"], node["threshold"], goes_left, share)]))
+            todo.append((child, [*path, (node["slot"], node["threshold"], below, share)]))
     return out
 
 
@@ -63,7 +68,7 @@ def tree_paths(spark, model, names: list[str]) -> DataFrame:
         raise ValueError(f"a rule table is for shallow trees, this one has {model.numNodes} nodes")
     rows = []
     for leaf, path in leaf_paths(load_trees(spark, model)[0]):
-        tests = [f"{names[slot]} {'<=' if left else '>'} {threshold:.6g}" for slot, threshold, left, _ in path]
+        tests = [f"{names[slot]} {'<=' if below else '>'} {threshold:.6g}" for slot, threshold, below, _ in path]
         total = sum(leaf["stats"])
         rows.append(
             (int(leaf["id"]), " AND ".join(tests) or "TRUE", int(leaf["prediction"]), int(leaf["n"]), max(leaf["stats"]) / total if total else None)

@@ -176,17 +176,18 @@ class _Lift:
 class SupportVectorRegressor(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, DefaultParamsReadable, DefaultParamsWritable):
     """Fit of ``|w|^2 / 2 + C * sum(max(0, |y - f| - epsilon))``.
 
-    Every step is one distributed pass: each task reduces its Arrow batches to one gradient, and Spark sums those by
-    position. The kink of the loss is rounded over a width of ``smooth`` deviations of the label and the steps are
-    accelerated. ``rbf`` uses random Fourier features, whose number bounds the kernel's error.
+    One distributed pass gives the loss and its gradient: each task reduces its Arrow batches to one array, and Spark
+    sums those by position. The kink of the loss is rounded, and the rounding shrinks in stages down to ``smooth``
+    deviations of the label; each stage runs limited-memory quasi-Newton steps from the last point. ``rbf`` uses random
+    Fourier features, whose number bounds the kernel's error.
     """
 
     kernel = Param(Params._dummy(), "kernel", "linear or rbf", TypeConverters.toString)
     C = Param(Params._dummy(), "C", "weight of the loss", TypeConverters.toFloat)
     epsilon = Param(Params._dummy(), "epsilon", "half width of the free tube", TypeConverters.toFloat)
-    maxIter = Param(Params._dummy(), "maxIter", "steps", TypeConverters.toInt)
+    maxIter = Param(Params._dummy(), "maxIter", "steps per stage", TypeConverters.toInt)
     tol = Param(Params._dummy(), "tol", "relative change that ends the fit", TypeConverters.toFloat)
-    smooth = Param(Params._dummy(), "smooth", "rounding of the kink", TypeConverters.toFloat)
+    smooth = Param(Params._dummy(), "smooth", "final rounding of the kink", TypeConverters.toFloat)
     randomFeatures = Param(Params._dummy(), "randomFeatures", "features of the rbf kernel", TypeConverters.toInt)
     seed = Param(Params._dummy(), "seed", "seed of the random features", TypeConverters.toInt)
 
@@ -200,14 +201,14 @@ class SupportVectorRegressor(Estimator, HasFeaturesCol, HasLabelCol, HasPredicti
         kernel="rbf",
         C=1.0,
         epsilon=0.1,
-        maxIter=100,
+        maxIter=50,
         tol=1e-5,
-        smooth=0.01,
+        smooth=0.001,
         randomFeatures=256,
         seed=42,
     ):
         super().__init__()
-        self._setDefault(kernel="rbf", C=1.0, epsilon=0.1, maxIter=100, tol=1e-5, smooth=0.01, randomFeatures=256, seed=42)
+        self._setDefault(kernel="rbf", C=1.0, epsilon=0.1, maxIter=50, tol=1e-5, smooth=0.001, randomFeatures=256, seed=42)
         self._set(**self._input_kwargs)
 
     def _fit(self, df):
@@ -217,63 +218,93 @@ class SupportVectorRegressor(Estimator, HasFeaturesCol, HasLabelCol, HasPredicti
         ).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             dim = len(rows.first()["x"])
-            n, mean_y, sd_y, power = rows.agg(
-                F.count("y"), F.avg("y"), F.stddev_pop("y"),
-                F.avg(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)),
-            ).first()
+            n, mean_y, sd_y = rows.agg(F.count("y"), F.avg("y"), F.stddev_pop("y")).first()
             lift = _Lift(dim)
             if get("kernel") == "rbf":
                 # width as the usual 1 / (features * variance of all entries)
                 entries = rows.select(F.explode("x").alias("v")).agg(F.var_pop("v")).first()[0]
                 lift = _Lift(dim, get("randomFeatures"), 1 / (dim * (entries or 1.0)), get("seed"))
-                power = 1.0
-            weights, bias = self._descend(rows, lift, n, mean_y, sd_y or 1.0, power)
+            weights, bias = self._descend(rows, lift, n, mean_y, sd_y or 1.0)
         finally:
             rows.unpersist()
         state = json.dumps({"weights": weights.tolist(), "bias": float(bias), "lift": lift.args})
         return SupportVectorModel(featuresCol=self.getFeaturesCol(), predictionCol=self.getPredictionCol(), state=state)
 
-    def _descend(self, rows, lift, n, mean_y, sd_y, power):
+    def _descend(self, rows, lift, n, mean_y, sd_y):
         get = lambda name: self.getOrDefault(getattr(self, name))
-        eps, width = get("epsilon"), get("smooth") * sd_y
         shrink = 1 / (get("C") * n)  # objective divided by C * n: mean loss + shrink / 2 * |w|^2
-        size = (lift.features or lift.args["dim"]) + 1
-        rate = 1 / (shrink + (power + 1) / width)
-        point = np.append(np.zeros(size - 1), mean_y)
-        ahead, momentum = point.copy(), 1.0
-        for _ in range(get("maxIter")):
-            gradient = loss_gradient(rows, lift, ahead, eps, width) / n
-            gradient[:-1] += shrink * ahead[:-1]
-            following = ahead - rate * gradient
-            if np.dot(ahead - following, following - point) > 0:
-                momentum = 1.0  # restart when the step turns against the motion
-            grown = (1 + np.sqrt(1 + 4 * momentum * momentum)) / 2
-            ahead = following + (momentum - 1) / grown * (following - point)
-            moved = np.linalg.norm(following - point) / max(1e-12, np.linalg.norm(following))
-            point, momentum = following, grown
-            if moved < get("tol"):
+        point = np.append(np.zeros(lift.features or lift.args["dim"]), mean_y)
+        width, last = 0.1, get("smooth")
+        while True:
+            width = max(width, last)
+
+            def objective(at, width=width * sd_y):
+                loss, slope = loss_and_gradient(rows, lift, at, get("epsilon"), width)
+                inner = np.append(at[:-1], 0.0)
+                return loss / n + shrink / 2 * inner @ inner, slope / n + shrink * inner
+
+            point = quasi_newton(objective, point, get("maxIter"), get("tol"))
+            if width <= last:
+                return point[:-1], point[-1]
+            width /= 10
+
+
+def quasi_newton(objective: Callable, point: np.ndarray, steps: int, tol: float, memory: int = 10) -> np.ndarray:
+    """Limited-memory BFGS with backtracking; ``objective`` gives (value, gradient)."""
+    value, slope = objective(point)
+    pairs: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(steps):
+        direction, used = -slope, []
+        for moved, turned in reversed(pairs):
+            share = moved @ direction / (moved @ turned)
+            used.append(share)
+            direction = direction - share * turned
+        if pairs:
+            moved, turned = pairs[-1]
+            direction = direction * (moved @ turned) / (turned @ turned)
+        for (moved, turned), share in zip(pairs, reversed(used)):
+            direction = direction + moved * (share - turned @ direction / (moved @ turned))
+        fall, size = slope @ direction, 1.0
+        if fall >= 0:
+            direction, fall, pairs = -slope, -(slope @ slope), []
+        while True:
+            following = point + size * direction
+            lower, new_slope = objective(following)
+            if lower <= value + 1e-4 * size * fall or size < 1e-6:
                 break
-        return point[:-1], point[-1]
+            size /= 2
+        if lower >= value:
+            return point
+        step, turn = following - point, new_slope - slope
+        if step @ turn > 1e-12 * np.linalg.norm(step) * np.linalg.norm(turn):
+            pairs = [*pairs[1 - memory :], (step, turn)]
+        gain, point, value, slope = value - lower, following, lower, new_slope
+        if gain <= tol * max(abs(value), 1e-12):
+            break
+    return point
 
 
-def loss_gradient(rows: DataFrame, lift: _Lift, point: np.ndarray, eps: float, width: float) -> np.ndarray:
-    """Summed gradient of the rounded loss in (weights, bias): one array per task, added up by position."""
+def loss_and_gradient(rows: DataFrame, lift: _Lift, point: np.ndarray, eps: float, width: float) -> tuple[float, np.ndarray]:
+    """Summed rounded loss and its gradient in (weights, bias): one array per task, added up by position."""
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(len(point))
+        total = np.zeros(len(point) + 1)
         for batch in batches:
+            if not len(batch):
+                continue
             z = lift(np.vstack(batch["x"]))
             miss = z @ point[:-1] + point[-1] - batch["y"].to_numpy()
-            slope = np.sign(miss) * np.clip((np.abs(miss) - eps) / width, 0, 1)
-            total += np.append(slope @ z, slope.sum())
+            over = np.maximum(np.abs(miss) - eps, 0.0)
+            loss = np.where(over < width, over * over / (2 * width), over - width / 2)
+            slope = np.sign(miss) * np.minimum(over / width, 1.0)
+            total += np.concatenate([[loss.sum()], slope @ z, [slope.sum()]])
         yield pd.DataFrame({"g": [total]})
 
     parts = rows.mapInPandas(partial, "g array<double>").select(F.posexplode("g").alias("i", "g"))
-    found = parts.groupBy("i").agg(F.sum("g").alias("g")).collect()
-    out = np.zeros(len(point))
-    for row in found:
+    out = np.zeros(len(point) + 1)
+    for row in parts.groupBy("i").agg(F.sum("g").alias("g")).collect():
         out[row["i"]] = row["g"]
-    return out
+    return out[0], out[1:]
 
 
 def support_vector(params: Mapping | None = None, seed: int = 42, **extra) -> SupportVectorRegressor:

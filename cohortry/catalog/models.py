@@ -340,19 +340,19 @@ def _metrics(model, made):
 @query("m01_e02_forest")
 def _(spark, sf):
     made = _made(spark, sf)
-    return _metrics(M.forest({"n_estimators": 10, "max_depth": 5, "max_features": "sqrt"}).fit(made.train), made)
+    return _metrics(M.fit_cached(M.forest({"n_estimators": 10, "max_depth": 5, "max_features": "sqrt"}), made.train), made)
 
 
 @query("m02_gradient_boosting")
 def _(spark, sf):
     made = _made(spark, sf)
-    return _metrics(M.boosting({"n_estimators": 5, "learning_rate": 0.1, "max_depth": 3, "subsample": 0.9}).fit(made.train), made)
+    return _metrics(M.fit_cached(M.boosting({"n_estimators": 5, "learning_rate": 0.1, "max_depth": 3, "subsample": 0.9}), made.train), made)
 
 
 @query("m03_histogram_boosting")
 def _(spark, sf):
     made = _made(spark, sf)
-    return _metrics(M.histogram_boosting({"n_estimators": 5, "learning_rate": 0.1, "min_child_samples": 20}).fit(made.train), made)
+    return _metrics(M.fit_cached(M.histogram_boosting({"n_estimators": 5, "learning_rate": 0.1, "min_child_samples": 20}), made.train), made)
 
 
 @query(
@@ -373,7 +373,7 @@ def _(spark, sf):
 @query("m05_support_vector")
 def _(spark, sf):
     made = _made(spark, sf)
-    return _metrics(M.support_vector({"kernel": "linear", "C": 1.0, "epsilon": 0.1}, maxIter=15).fit(made.train), made)
+    return _metrics(M.fit_cached(M.support_vector({"kernel": "linear", "C": 1.0, "epsilon": 0.1}, maxIter=15), made.train), made)
 
 
 @query("m06_model_per_group")
@@ -411,7 +411,7 @@ def _(spark, sf):
 @query("e03_feature_importance")
 def _(spark, sf):
     made = _made(spark, sf)
-    model = M.forest({"n_estimators": 10, "max_depth": 5}).fit(made.train)
+    model = M.fit_cached(M.forest({"n_estimators": 10, "max_depth": 5}), made.train)
     return E.top_importance(E.importance_table(spark, model, P.feature_names(made.stages, made.roles), "all"))
 
 
@@ -490,7 +490,7 @@ def _(spark, sf):
 @query("e06_scenarios_with_model")
 def _(spark, sf):
     made = _made(spark, sf, ColumnRoles(("l_quantity", "l_discount"), ("l_returnflag", "l_linestatus"), "ratio", KEYS))
-    model = M.forest({"n_estimators": 5, "max_depth": 4}).fit(made.train)
+    model = M.fit_cached(M.forest({"n_estimators": 5, "max_depth": 4}), made.train)
     grid = W.scenario_grid(
         spark, {"l_returnflag": ["A", "N", "R", "X"], "l_linestatus": ["F", "O"]}, ("faixa", "l_quantity", {1: 5.0, 3: 25.0, 5: 45.0}), defaults={"l_discount": 0.05, "ideal": 4.0}
     )
@@ -537,7 +537,7 @@ def _(spark, sf):
 @query("e10_tree_attribution")
 def _(spark, sf):
     made = _made(spark, sf)
-    model = M.forest({"n_estimators": 5, "max_depth": 4}).fit(made.train)
+    model = M.fit_cached(M.forest({"n_estimators": 5, "max_depth": 4}), made.train)
     rows = T.tree_attributions(made.test, model)
     return T.attribution_table(rows, P.feature_names(made.stages, made.roles))
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -13,7 +12,6 @@ from pyspark.sql import functions as F, types as T
 _SMALL = 8  # largest small side with an exact null distribution
 
 
-@lru_cache(maxsize=None)
 def _tail_series(m: int) -> tuple[int, list[int]]:
     """Period L and numerator A(q) of 1 / ((1-q)(1-q)(1-q^2)...(1-q^m)) = A(q) / (1-q^L)^(m+1)."""
     period = math.lcm(*range(1, m + 1))
@@ -25,9 +23,8 @@ def _tail_series(m: int) -> tuple[int, list[int]]:
     return period, series.tolist()
 
 
-def _free_partitions(v: int, m: int) -> int:
+def _free_partitions(v: int, m: int, period: int, series: list[int]) -> int:
     """Partitions of every size up to v into parts 1..m."""
-    period, series = _tail_series(m)
     return sum(
         series[j] * math.comb((v - j) // period + m, m) for j in range(v % period, min(v, len(series) - 1) + 1, period)
     )
@@ -35,12 +32,12 @@ def _free_partitions(v: int, m: int) -> int:
 
 def exact_tail(u: int, m: int, n: int) -> float:
     """P(U <= u) without ties, m <= 8 rows against n: inclusion-exclusion on the size limit, exact for any n."""
-    total = 0
+    total, tail = 0, _tail_series(m)
     for size in range(m + 1):
         for chosen in combinations(range(1, m + 1), size):
             left = u - sum(n + i for i in chosen)
             if left >= 0:
-                total += (-1) ** size * _free_partitions(left, m)
+                total += (-1) ** size * _free_partitions(left, m, *tail)
     return total / math.comb(m + n, m)
 
 

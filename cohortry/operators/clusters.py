@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 from cohortry.operators.aggregates import count_by, keyed, mean_by, modes
 from cohortry.operators.features import encoding_stages, feature_names, helper_columns
 from cohortry.operators.hypothesis import long_categories
+from cohortry.operators.regression import fit_cached
 from cohortry.operators.trees import tree_paths
 from cohortry.roles import ColumnRoles
 
@@ -105,7 +106,7 @@ def _encoded(df: DataFrame, roles: ColumnRoles, cluster: str):
 def cluster_drivers(df: DataFrame, roles: ColumnRoles, cluster: str = "cluster", trees: int = 100, depth: int = 10, seed: int = 42) -> DataFrame:
     """(feature, base, importance) of a forest that predicts the cluster, encoded categories included."""
     ready, names = _encoded(df, roles, cluster)
-    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, cacheNodeIds=False).fit(ready)
+    forest = fit_cached(RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed), ready)
     weights = forest.featureImportances.toArray()
     rows = [(name, base, float(w)) for (name, base), w in zip(names, weights)]
     out = df.sparkSession.createDataFrame(rows, "feature string, base string, importance double")
@@ -115,7 +116,7 @@ def cluster_drivers(df: DataFrame, roles: ColumnRoles, cluster: str = "cluster",
 def cluster_rules(df: DataFrame, roles: ColumnRoles, cluster: str = "cluster", depth: int = 3, seed: int = 42) -> DataFrame:
     """(leaf, rule, cluster, n_rows, purity): the leaves of a shallow tree as conjunctions over encoded features."""
     ready, names = _encoded(df, roles, cluster)
-    tree = DecisionTreeClassifier(maxDepth=depth, seed=seed).fit(ready)
+    tree = fit_cached(DecisionTreeClassifier(maxDepth=depth, seed=seed), ready)
     return tree_paths(df.sparkSession, tree, [name for name, _ in names])
 
 

@@ -18,6 +18,7 @@ from cohortry.functions.columns import code_text, coded_boolean
 from cohortry.operators.aggregates import low_cardinality, mean_and_std, medians_and_modes
 from cohortry.operators.rows import at_least, drop_incomplete, require_columns, train_test_split
 from cohortry.roles import ColumnRoles
+from cohortry.session import cached
 
 
 class _Columns(HasInputCols, HasOutputCols, DefaultParamsReadable, DefaultParamsWritable):
@@ -182,12 +183,13 @@ def prepare_regression(
 ) -> Prepared:
     """The whole preparation: frame, cardinality cut, key-hashed split, stages fitted on the training part only."""
     rows, roles = regression_frame(df, roles, min_year, boolean_codes, leakage)
-    kept = low_cardinality(rows, roles.categorical, max_categories)
-    roles = roles.without(*[c for c in roles.categorical if c not in kept])
     rows = rows.withColumn("label", F.col(roles.target).cast("double"))
-    keys = roles.keys or roles.features + (roles.target,)
-    train, test = train_test_split(rows, keys, test_percent, seed)
-    stages = Pipeline(stages=encoding_stages(roles)).fit(train)
+    split_keys = roles.keys or roles.features + (roles.target,)
+    with cached(rows) as held:
+        kept = low_cardinality(held, roles.categorical, max_categories)
+        roles = roles.without(*[c for c in roles.categorical if c not in kept])
+        stages = Pipeline(stages=encoding_stages(roles)).fit(train_test_split(held, split_keys, test_percent, seed)[0])
+    train, test = train_test_split(rows, split_keys, test_percent, seed)
     drop = helper_columns(roles)
     return Prepared(stages.transform(train).drop(*drop), stages.transform(test).drop(*drop), stages, roles)
 

@@ -18,7 +18,7 @@ def _sided(df: DataFrame, value: str, side: str, sides: tuple[str, str], keys: S
 
 
 def rank_statistics(df: DataFrame, value: str, side: str, sides: tuple[str, str], by: Sequence[str] = ()) -> DataFrame:
-    """(by..., n1, n2, u1, z, ties): the Mann-Whitney statistics of the two sides in every group.
+    """(by..., n1, n2, mean1, mean2, u1, z, ties): the Mann-Whitney statistics of the two sides in every group.
 
     z carries the tie-corrected deviation and the continuity correction; it is null when all values are equal.
     """
@@ -39,6 +39,7 @@ def rank_statistics(df: DataFrame, value: str, side: str, sides: tuple[str, str]
             F.sum("__c2").alias("n2"),
             F.sum(F.col("__c1") * (F.col("below") + (F.col("__tied") + 1) / 2)).alias("r1"),
             F.sum(t * t * t - t).alias("tie_term"),
+            *[F.try_divide(F.sum(F.col(f"__c{i}") * F.col("__value")), F.sum(f"__c{i}")).alias(f"mean{i}") for i in (1, 2)],
         )
     )
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
@@ -48,11 +49,11 @@ def rank_statistics(df: DataFrame, value: str, side: str, sides: tuple[str, str]
     centre = n1 * n2 / 2
     z = F.try_divide(F.greatest(F.col("u1"), n1 * n2 - F.col("u1")) - centre - 0.5, F.sqrt(variance))
     out = sums.withColumn("u1", u1).withColumn("z", F.when((n1 > 0) & (n2 > 0), z))
-    return out.select(*by, "n1", "n2", "u1", "z", (F.col("tie_term") > 0).alias("ties"))
+    return out.select(*by, "n1", "n2", "mean1", "mean2", "u1", "z", (F.col("tie_term") > 0).alias("ties"))
 
 
 def mann_whitney(df: DataFrame, value: str, side: str, sides: tuple[str, str], by: Sequence[str] = (), alpha: float = 0.05) -> DataFrame:
-    """Two-sided test: (by..., n1, n2, u1, z, p_value, significance); p is null with fewer than 2 rows on a side."""
+    """Two-sided test: (by..., n1, n2, mean1, mean2, u1, z, p_value, significance); p is null with fewer than 2 rows on a side."""
     stats = rank_statistics(df, value, side, sides, by)
     p = null_if_nan(mann_whitney_p("u1", "n1", "n2", "z", "ties"))
     return stats.withColumn("p_value", p).withColumn("significance", significance_flag("p_value", alpha)).drop("ties")

@@ -10,9 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from cohortry.functions.columns import null_if_nan
+from cohortry.session import local_table
 
 _SKETCH = 10_000  # accuracy of the quantile sketch: rank error at most rows / _SKETCH
 _MARGIN = 5 / _SKETCH  # half width of a bracket around a quantile, as a share of the rows
@@ -106,7 +108,8 @@ def quantiles(
     sketched = F.percentile_approx("value", edges, _SKETCH)
     brackets = rows.groupBy(*keys).agg(F.when(F.count("value") < _BRACKETED, everything).otherwise(sketched).alias("__e"))
     if not by:
-        brackets = df.sparkSession.createDataFrame(brackets.collect(), "feature string, __e array<double>")
+        found = [tuple(r) for r in brackets.collect()]
+        brackets = local_table(df.sparkSession, {"feature": pa.string(), "__e": pa.list_(pa.float64())}, found)
     joined = rows.join(F.broadcast(brackets) if few_groups else brackets, keys)
     kept_rows = joined.select(*keys, inside_or_gap(F.col("value"), F.col("__e")).alias("__kept"), "value")
     counts = (
@@ -172,6 +175,6 @@ def quantile_bins(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = (
     inner = [(r["feature"], r["edges"][1:-1]) for r in quantile_edges(df, columns, bins).collect()]
     longest = max((len(e) for _, e in inner), default=0)
     padded = [(f, e + [float("inf")] * (longest - len(e))) for f, e in inner]
-    table = df.sparkSession.createDataFrame(padded, "feature string, __inner array<double>")
+    table = local_table(df.sparkSession, {"feature": pa.string(), "__inner": pa.list_(pa.float64())}, padded)
     rows = long_values(df, columns, keep).join(F.broadcast(table), "feature")
     return rows.withColumn("bin", bin_index(F.col("value"), F.col("__inner"), longest)).drop("__inner")

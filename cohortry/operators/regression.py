@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel, keyword_only
+from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
@@ -16,6 +16,8 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, functions as F
 
+from cohortry.session import cached
+
 MAX_DEPTH = 30  # Spark's limit; an unlimited or deeper tree is cut there
 _NORMAL_SOLVER_FEATURES = 4096
 
@@ -213,10 +215,8 @@ class SupportVectorRegressor(Estimator, HasFeaturesCol, HasLabelCol, HasPredicti
 
     def _fit(self, df):
         get = lambda name: self.getOrDefault(getattr(self, name))
-        rows = df.select(
-            vector_to_array(self.getFeaturesCol()).alias("x"), F.col(self.getLabelCol()).cast("double").alias("y")
-        ).persist(StorageLevel.MEMORY_AND_DISK)
-        try:
+        columns = vector_to_array(self.getFeaturesCol()).alias("x"), F.col(self.getLabelCol()).cast("double").alias("y")
+        with cached(df.select(*columns)) as rows:
             dim = len(rows.first()["x"])
             n, mean_y, sd_y = rows.agg(F.count("y"), F.avg("y"), F.stddev_pop("y")).first()
             lift = _Lift(dim)
@@ -225,8 +225,6 @@ class SupportVectorRegressor(Estimator, HasFeaturesCol, HasLabelCol, HasPredicti
                 entries = rows.select(F.explode("x").alias("v")).agg(F.var_pop("v")).first()[0]
                 lift = _Lift(dim, get("randomFeatures"), 1 / (dim * (entries or 1.0)), get("seed"))
             weights, bias = self._descend(rows, lift, n, mean_y, sd_y or 1.0)
-        finally:
-            rows.unpersist()
         state = json.dumps({"weights": weights.tolist(), "bias": float(bias), "lift": lift.args})
         return SupportVectorModel(featuresCol=self.getFeaturesCol(), predictionCol=self.getPredictionCol(), state=state)
 
@@ -336,13 +334,13 @@ def spark_params(family: str, params: Mapping) -> dict:
     return {k: v for k, v in params.items() if k not in _IGNORED}
 
 
+def fit_cached(estimator: Estimator, train: DataFrame):
+    """Fit on the training columns alone, held for the passes of the fit only."""
+    columns = [c for c in ("features", "label", "fold") if c in train.columns]
+    with cached(train.select(*columns)) as rows:
+        return estimator.fit(rows)
+
+
 def fit_per_group(prepared: Mapping[str, object], make: Callable, groups: Sequence[str] | None = None) -> dict:
-    """One model per group; ``make(group, train)`` gives the estimator. The training rows are cached for the fit only."""
-    out = {}
-    for group in groups or prepared:
-        train = prepared[group].train.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            out[group] = make(group, train).fit(train)
-        finally:
-            train.unpersist()
-    return out
+    """One model per group; ``make(group, train)`` gives the estimator."""
+    return {g: fit_cached(make(g, prepared[g].train), prepared[g].train) for g in groups or prepared}

@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "cohortry", **conf: str) -> SparkSession:
@@ -36,3 +40,30 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         base = tempfile.mkdtemp(prefix="cohortry-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def local_table(spark: SparkSession, schema: dict[str, pa.DataType], rows: list[tuple]) -> DataFrame:
+    """A few rows known to the driver, as a relation inside the plan (no job, no Python rows)."""
+    columns = list(zip(*rows)) if rows else [[] for _ in schema]
+    arrays = [pa.array(list(c), t) for c, t in zip(columns, schema.values())]
+    return spark.createDataFrame(pa.table(arrays, names=list(schema)))
+
+
+@contextmanager
+def cached(df: DataFrame) -> Iterator[DataFrame]:
+    """The frame persisted (memory, then disk) for several passes, and released afterwards.
+
+    Lost blocks are computed again from their source. Input with fewer partitions than the cluster has cores is dealt
+    out once, so that every pass can use them all; larger input keeps its partitions and is not shuffled.
+    """
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    spread = None
+    try:
+        if kept.rdd.getNumPartitions() < cores:
+            spread = kept.repartition(cores).persist(StorageLevel.MEMORY_AND_DISK)
+        yield kept if spread is None else spread
+    finally:
+        if spread is not None:
+            spread.unpersist()
+        kept.unpersist()

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortry.functions.columns import group_tag, rounded_ratio
 from cohortry.roles import ColumnRoles
+from cohortry.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,6 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem for work that costs more per row than the scan."""
+    return spread(table(spark, sf_dir, "lineitem"))
+
+
 def r6(c):
     """Six decimals, without a negative zero."""
     return F.round(c, 6) + F.lit(0.0)
@@ -62,7 +68,7 @@ lines AS (
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem with part and order, the ratio of quantity to part size, and the side of the order's status."""
     return (
-        table(spark, sf_dir, "lineitem")
+        fact(spark, sf_dir)
         .join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
         .join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
         .withColumn("ratio", rounded_ratio("l_quantity", "p_size"))

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from cohortry.catalog.base import NUMERIC, ROWS_SQL, SIDES, lines, query, r6, rounded, table
+from cohortry.catalog.base import NUMERIC, ROWS_SQL, SIDES, fact, lines, query, r6, rounded, table
 from cohortry.functions.columns import group_tag, rounded_ratio
 from cohortry.operators import aggregates as A
 from cohortry.operators import hypothesis as H
@@ -149,7 +149,7 @@ _BINNED = ["l_quantity", "l_extendedprice", "l_discount"]
     f"WITH {_bins_sql(10)} SELECT feature, bin, side, round(avg(y), 6) AS mean FROM binned GROUP BY 1, 2, 3",
 )
 def _(spark, sf):
-    binned = O.quantile_bins(table(spark, sf, "lineitem"), _BINNED, ["l_linestatus", "l_tax"])
+    binned = O.quantile_bins(fact(spark, sf), _BINNED, ["l_linestatus", "l_tax"])
     return rounded(A.mean_by(binned.withColumnsRenamed({"l_linestatus": "side", "l_tax": "mean"}), ["mean"], ["feature", "bin", "side"]))
 
 
@@ -158,12 +158,12 @@ def _(spark, sf):
     "SELECT l_returnflag, l_linestatus, round(median(l_extendedprice), 6) AS l_extendedprice, round(median(l_discount), 6) AS l_discount FROM lineitem GROUP BY 1, 2",
 )
 def _(spark, sf):
-    return rounded(O.medians(table(spark, sf, "lineitem"), ["l_extendedprice", "l_discount"], ["l_returnflag", "l_linestatus"]))
+    return rounded(O.medians(fact(spark, sf), ["l_extendedprice", "l_discount"], ["l_returnflag", "l_linestatus"]))
 
 
 @query("a08_global_medians", "SELECT " + ", ".join(f"round(median({c}), 6) AS {c}" for c in NUMERIC) + " FROM lineitem")
 def _(spark, sf):
-    return rounded(O.medians(table(spark, sf, "lineitem"), NUMERIC))
+    return rounded(O.medians(fact(spark, sf), NUMERIC))
 
 
 def _mode_sql(columns, by=()):
@@ -273,7 +273,7 @@ def _(spark, sf):
               coalesce(sum(n) OVER (PARTITION BY l_returnflag ORDER BY l_quantity ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (n + 1) / 2 AS avg_rank FROM c""",
 )
 def _(spark, sf):
-    return O.average_ranks(table(spark, sf, "lineitem"), "l_quantity", ["l_returnflag"])
+    return O.average_ranks(fact(spark, sf), "l_quantity", ["l_returnflag"])
 
 
 @query(
@@ -281,7 +281,7 @@ def _(spark, sf):
     f"WITH {_bins_sql(10)} SELECT feature, bin, count(*) AS n, round(min(x), 6) AS low, round(max(x), 6) AS high FROM binned GROUP BY 1, 2",
 )
 def _(spark, sf):
-    binned = O.quantile_bins(table(spark, sf, "lineitem"), _BINNED)
+    binned = O.quantile_bins(fact(spark, sf), _BINNED)
     return rounded(binned.groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high")))
 
 
@@ -399,7 +399,7 @@ def _(spark, sf):
         SELECT feature, bin, side AS l_linestatus, round(avg(y), 6) AS mean, round(any_value(bin_median), 6) AS bin_median FROM binned JOIN med USING (feature, bin) GROUP BY 1, 2, 3""",
 )
 def _(spark, sf):
-    return rounded(bin_means(table(spark, sf, "lineitem"), _BINNED, "l_tax", "l_linestatus"))
+    return rounded(bin_means(fact(spark, sf), _BINNED, "l_tax", "l_linestatus"))
 
 
 @query(
@@ -415,7 +415,7 @@ def _(spark, sf):
         FROM stat JOIN means USING (feature, category)""",
 )
 def _(spark, sf):
-    li = table(spark, sf, "lineitem").filter((F.col("l_quantity") > 0) & (F.col("l_quantity") < 50))
+    li = fact(spark, sf).filter((F.col("l_quantity") > 0) & (F.col("l_quantity") < 50))
     o, c, n, r = (table(spark, sf, t) for t in ("orders", "customer", "nation", "region"))
     geography = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
     orders = o.join(geography, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_orderstatus", "r_name")

@@ -6,7 +6,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from cohortry.catalog.base import CATEGORICAL, NUMERIC, ROLES, ROWS_SQL, lines, query, r6, rounded, table
+from cohortry.catalog.base import CATEGORICAL, NUMERIC, ROLES, ROWS_SQL, fact, lines, query, r6, rounded, table
 from cohortry.functions.columns import code_text
 from cohortry.operators import attribution as T
 from cohortry.operators import clusters as C
@@ -41,7 +41,7 @@ _HOLES = """holes AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_li
 
 
 def _holes(spark, sf):
-    return table(spark, sf, "lineitem").select(
+    return fact(spark, sf).select(
         "l_orderkey",
         "l_linenumber",
         "l_partkey",
@@ -67,7 +67,7 @@ def _z_sql(columns, source="lineitem"):
 
 @query("f02_population_scaling", f"SELECT l_orderkey, l_linenumber, l_partkey, {_z_sql(NUMERIC)} FROM lineitem")
 def _(spark, sf):
-    rows = table(spark, sf, "lineitem")
+    rows = fact(spark, sf)
     scaled = P.PopulationScaler(inputCols=NUMERIC, outputCols=NUMERIC).fit(rows).transform(rows)
     return rounded(scaled.select("l_orderkey", "l_linenumber", "l_partkey", *NUMERIC))
 
@@ -90,7 +90,7 @@ def _(spark, sf):
        CAST(l_returnflag = 'R' AS INTEGER) AS "l_returnflag_R", CAST(l_linestatus = 'F' AS INTEGER) AS "l_linestatus_F", CAST(l_linestatus = 'O' AS INTEGER) AS "l_linestatus_O" FROM lineitem""",
 )
 def _(spark, sf):
-    return P.dummy_columns(table(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus"], ["l_orderkey", "l_linenumber", "l_partkey"])
+    return P.dummy_columns(fact(spark, sf), ["l_returnflag", "l_linestatus"], ["l_orderkey", "l_linenumber", "l_partkey"])
 
 
 @query(
@@ -99,7 +99,7 @@ def _(spark, sf):
        (SELECT l_linenumber, unnest([{'f': 'l_returnflag', 'c': l_returnflag}, {'f': 'l_linestatus', 'c': l_linestatus}]) AS u FROM lineitem) GROUP BY ALL""",
 )
 def _(spark, sf):
-    long = long_categories(table(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus"], ["l_linenumber"])
+    long = long_categories(fact(spark, sf), ["l_returnflag", "l_linestatus"], ["l_linenumber"])
     return long.groupBy("l_linenumber", "feature", "category").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -158,7 +158,7 @@ def _(spark, sf):
 
 @query("s11_s12_model_round_trip", f"SELECT l_orderkey, l_linenumber, l_partkey, {_z_sql(['l_quantity', 'l_tax'])} FROM lineitem")
 def _(spark, sf):
-    rows = table(spark, sf, "lineitem")
+    rows = fact(spark, sf)
     scaler = P.PopulationScaler(inputCols=["l_quantity", "l_tax"], outputCols=["l_quantity", "l_tax"])
     base = shared_dir(spark, "models")
     save_model(Pipeline(stages=[scaler]).fit(rows), f"{base}/searched")
@@ -551,6 +551,6 @@ def _(spark, sf):
 )
 def _(spark, sf):
     score = lambda g: g.withColumn("prediction", 2 * F.col("l_quantity") + 30 * F.col("l_discount") - 50 * F.col("l_tax"))
-    rows = table(spark, sf, "lineitem").select(*KEYS, "l_quantity", "l_discount", "l_tax")
+    rows = fact(spark, sf).select(*KEYS, "l_quantity", "l_discount", "l_tax")
     phi = T.permutation_attributions(rows, score, ["l_quantity", "l_discount", "l_tax"], KEYS, permutations=4)
     return rounded(T.permutation_table(phi), 5)

@@ -49,6 +49,16 @@ def local_table(spark: SparkSession, schema: dict[str, pa.DataType], rows: list[
     return spark.createDataFrame(pa.table(arrays, names=list(schema)))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a scan out when it has fewer partitions than the cluster has cores.
+
+    Meant for a scan ahead of costly per-row work: a small file with one row group would keep a single core busy. A scan
+    of many files or row groups is left alone, so large input is never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 @contextmanager
 def cached(df: DataFrame) -> Iterator[DataFrame]:
     """The frame persisted (memory, then disk) for several passes, and released afterwards.

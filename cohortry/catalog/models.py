@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml import Pipeline
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -181,8 +184,6 @@ _ASSIGN = f"""{ROWS_SQL}, dist AS (SELECT *, {', '.join(f'{d} AS d{j}' for j, d
 
 
 def _fixed_model():
-    import json
-
     state = {"numeric": _PN, "categorical": _PC, "gamma": 7.5, "cost": 0.0, "iterations": 0, "history": [], "prototypes": _PROTOTYPES}
     return K.KPrototypesModel(state=json.dumps(state))
 
@@ -361,8 +362,6 @@ def _(spark, sf):
        (SELECT covar_pop(l_extendedprice, l_quantity) * count(*) AS sxy, var_pop(l_quantity) * count(*) AS sxx, avg(l_quantity) AS mx, avg(l_extendedprice) AS my FROM lineitem)""",
 )
 def _(spark, sf):
-    from pyspark.ml.feature import VectorAssembler
-
     rows = table(spark, sf, "lineitem").withColumnRenamed("l_extendedprice", "label")
     train = VectorAssembler(inputCols=["l_quantity"], outputCol="features").transform(rows)
     model = M.Ridge(alpha=1000.0).fit(train)
@@ -547,10 +546,10 @@ def _(spark, sf):
     """WITH bg AS (SELECT avg(l_quantity) AS q, avg(l_discount) AS d, avg(l_tax) AS t FROM
          (SELECT * FROM lineitem ORDER BY md5(concat_ws(':', '42', l_orderkey, l_partkey, l_suppkey, l_linenumber)), l_orderkey, l_partkey, l_suppkey, l_linenumber LIMIT 4)),
        f AS (SELECT unnest([{'f': 'l_quantity', 'p': 2 * (l_quantity - q)}, {'f': 'l_discount', 'p': 30 * (l_discount - d)}, {'f': 'l_tax', 'p': -50 * (l_tax - t)}]) AS u FROM lineitem, bg)
-       SELECT u.f AS feature, round(avg(abs(u.p)), 5) AS mean_abs, round(avg(u.p), 5) + 0.0 AS mean FROM f GROUP BY 1""",
+       SELECT u.f AS feature, round(avg(abs(u.p)), 4) AS mean_abs, round(avg(u.p), 4) + 0.0 AS mean FROM f GROUP BY 1""",
 )
 def _(spark, sf):
     score = lambda g: g.withColumn("prediction", 2 * F.col("l_quantity") + 30 * F.col("l_discount") - 50 * F.col("l_tax"))
     rows = fact(spark, sf).select(*KEYS, "l_quantity", "l_discount", "l_tax")
     phi = T.permutation_attributions(rows, score, ["l_quantity", "l_discount", "l_tax"], KEYS, permutations=4)
-    return rounded(T.permutation_table(phi), 5)
+    return rounded(T.permutation_table(phi), 4)

@@ -28,8 +28,7 @@ def _sums(df):
 @query("s01_scan_delimited_glob", _SUMS)
 def _(spark, sf):
     path = shared_dir(spark, "lines-csv")
-    delimited_df = table(spark, sf, "lineitem")
-    delimited_df.write.option("header", True).option("sep", ";").option("encoding", delimited.LATIN1).csv(path)
+    table(spark, sf, "lineitem").write.option("header", True).option("sep", ";").option("encoding", delimited.LATIN1).csv(path)
     cols = {"l_orderkey": "bigint", "l_quantity": "double", "l_discount": "double", "l_returnflag": "string"}
     return _sums(delimited.read_delimited(spark, f"{path}/*.csv", cols))
 

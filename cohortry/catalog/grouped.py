@@ -124,10 +124,10 @@ def _(spark, sf):
 
 @query(
     "a05_mean_by_two_keys",
-    f"WITH {ROWS_SQL} SELECT side, l_returnflag, round(avg(ratio), 6) AS ratio FROM lines WHERE side IS NOT NULL GROUP BY 1, 2",
+    f"WITH {ROWS_SQL} SELECT side, l_returnflag, round(avg(ratio), 9) AS ratio FROM lines WHERE side IS NOT NULL GROUP BY 1, 2",
 )
 def _(spark, sf):
-    return rounded(A.mean_by(lines(spark, sf), ["ratio"], ["side", "l_returnflag"]))
+    return rounded(A.mean_by(lines(spark, sf), ["ratio"], ["side", "l_returnflag"]), 9)
 
 
 def _bins_sql(bins: int) -> str:
@@ -387,10 +387,10 @@ def _(spark, sf):
 
 @query(
     "e13_category_means",
-    f"""WITH {ROWS_SQL}, {_LONG} SELECT side, feature, category, count(value) AS n, round(avg(value), 6) AS mean FROM lng WHERE side IS NOT NULL GROUP BY 1, 2, 3""",
+    f"""WITH {ROWS_SQL}, {_LONG} SELECT side, feature, category, count(value) AS n, round(avg(value), 9) AS mean FROM lng WHERE side IS NOT NULL GROUP BY 1, 2, 3""",
 )
 def _(spark, sf):
-    return rounded(category_means(lines(spark, sf), _FEATURES, "ratio", "side"))
+    return rounded(category_means(lines(spark, sf), _FEATURES, "ratio", "side"), 9)
 
 
 @query(
@@ -409,7 +409,7 @@ def _(spark, sf):
                 JOIN region ON n_regionkey = r_regionkey WHERE l_quantity > 0 AND l_quantity < 50),
         src AS (SELECT ratio AS value, side, unnest([{{'f': 'l_returnflag', 'c': l_returnflag}}, {{'f': 'r_name', 'c': r_name}}]) AS u FROM geo),
         lng AS (SELECT value, side, u.f AS feature, u.c AS category FROM src WHERE u.c IS NOT NULL),
-        means AS (SELECT feature, category, round(avg(value) FILTER (WHERE side = 'first'), 6) AS mean1, round(avg(value) FILTER (WHERE side = 'second'), 6) AS mean2 FROM lng GROUP BY 1, 2),
+        means AS (SELECT feature, category, round(avg(value) FILTER (WHERE side = 'first'), 9) AS mean1, round(avg(value) FILTER (WHERE side = 'second'), 9) AS mean2 FROM lng GROUP BY 1, 2),
         {_rank_sql('lng', 'feature, category')}
         SELECT feature, category, n1, n2, mean1, mean2, round(z, 6) AS z, CASE WHEN n1 >= 2 AND n2 >= 2 AND z > 1.959963984540054 THEN 'SIGNIFICATIVO' ELSE 'Não sig.' END AS significance
         FROM stat JOIN means USING (feature, category)""",
@@ -426,4 +426,5 @@ def _(spark, sf):
         .withColumn("side", group_tag("o_orderstatus", {"first": ["F"], "second": ["O"]}))
     )
     tests = H.category_tests(rows, ["l_returnflag", "r_name"], "ratio", "side", SIDES)
-    return tests.select("feature", "category", "n1", "n2", r6("mean1").alias("mean1"), r6("mean2").alias("mean2"), r6("z").alias("z"), "significance")
+    means = [F.round(m, 9).alias(m) for m in ("mean1", "mean2")]
+    return tests.select("feature", "category", "n1", "n2", *means, r6("z").alias("z"), "significance")

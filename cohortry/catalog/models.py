@@ -10,7 +10,6 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from cohortry.catalog.base import CATEGORICAL, NUMERIC, ROLES, ROWS_SQL, fact, lines, query, r6, rounded, table
-from cohortry.functions.columns import code_text
 from cohortry.operators import attribution as T
 from cohortry.operators import clusters as C
 from cohortry.operators import evaluation as E
@@ -19,9 +18,8 @@ from cohortry.operators import kprototypes as K
 from cohortry.operators import regression as M
 from cohortry.operators import scenarios as W
 from cohortry.operators import tuning as G
-from cohortry.operators.aggregates import low_cardinality
 from cohortry.operators.hypothesis import long_categories
-from cohortry.operators.reshape import expand_values, stack
+from cohortry.operators.reshape import stack
 from cohortry.plans.study import compare_cluster_counts, policy_report, run_study, study_reports
 from cohortry.roles import ColumnRoles
 from cohortry.session import shared_dir
@@ -435,11 +433,11 @@ def _shares(spark, sf):
 @query(
     "e04_compare_importance",
     f"""WITH {_SHARES}, named AS (SELECT *, CASE WHEN base = 'p_brand' THEN concat('P Brand ', feature[9:]) ELSE concat('L Returnflag ', feature[14:]) END AS shown FROM sh)
-        SELECT instituicao, shown AS feature, base, round(importance, 6) AS importance, round(avg(importance) OVER (PARTITION BY shown), 6) AS mean_importance FROM named""",
+        SELECT instituicao, shown AS feature, base, round(importance, 9) AS importance, round(avg(importance) OVER (PARTITION BY shown), 9) AS mean_importance FROM named""",
 )
 def _(spark, sf):
     rows = _shares(spark, sf)
-    return rounded(E.compare_importance([rows.filter("instituicao = 'F'"), rows.filter("instituicao = 'O'")]))
+    return rounded(E.compare_importance([rows.filter("instituicao = 'F'"), rows.filter("instituicao = 'O'")]), 9)
 
 
 @query("e05_importance_by_base", f"WITH {_SHARES} SELECT instituicao, base AS feature, round(sum(importance), 6) AS importance FROM sh GROUP BY 1, 2")
@@ -544,12 +542,13 @@ def _(spark, sf):
 @query(
     "e11_permutation_attribution",
     """WITH bg AS (SELECT avg(l_quantity) AS q, avg(l_discount) AS d, avg(l_tax) AS t FROM
-         (SELECT * FROM lineitem ORDER BY md5(concat_ws(':', '42', l_orderkey, l_partkey, l_suppkey, l_linenumber)), l_orderkey, l_partkey, l_suppkey, l_linenumber LIMIT 4)),
+         (SELECT * FROM lineitem ORDER BY md5(concat_ws(':', '42', l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice)), l_orderkey, l_partkey, l_suppkey, l_linenumber, l_extendedprice LIMIT 4)),
        f AS (SELECT unnest([{'f': 'l_quantity', 'p': 2 * (l_quantity - q)}, {'f': 'l_discount', 'p': 30 * (l_discount - d)}, {'f': 'l_tax', 'p': -50 * (l_tax - t)}]) AS u FROM lineitem, bg)
        SELECT u.f AS feature, round(avg(abs(u.p)), 4) AS mean_abs, round(avg(u.p), 4) + 0.0 AS mean FROM f GROUP BY 1""",
 )
 def _(spark, sf):
+    whole = (*KEYS, "l_extendedprice")  # the four keys repeat in a few lines
     score = lambda g: g.withColumn("prediction", 2 * F.col("l_quantity") + 30 * F.col("l_discount") - 50 * F.col("l_tax"))
-    rows = fact(spark, sf).select(*KEYS, "l_quantity", "l_discount", "l_tax")
-    phi = T.permutation_attributions(rows, score, ["l_quantity", "l_discount", "l_tax"], KEYS, permutations=4)
+    rows = fact(spark, sf).select(*whole, "l_quantity", "l_discount", "l_tax")
+    phi = T.permutation_attributions(rows, score, ["l_quantity", "l_discount", "l_tax"], whole, permutations=4)
     return rounded(T.permutation_table(phi), 4)

@@ -96,12 +96,14 @@ def tree_attributions(df: DataFrame, model, features: str = "features", output:
     x = vector_to_array(features)
 
     def part_udf(part):
-        shared = spark.sparkContext.broadcast(part)
+        # plain tuples: a broadcast, unlike a function, cannot carry this package's classes to the executors
+        shared = spark.sparkContext.broadcast([(l.value, l.slots, l.low, l.high, l.share) for l in part])
 
         @F.pandas_udf("array<double>")
         def attribute(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            own = [Leaf(*fields) for fields in shared.value]
             for batch in batches:
-                yield pd.Series(list(path_attributions(np.vstack(batch), shared.value)) if len(batch) else [], dtype=object)
+                yield pd.Series(list(path_attributions(np.vstack(batch), own)) if len(batch) else [], dtype=object)
 
         return attribute
 

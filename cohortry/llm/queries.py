@@ -1,6 +1,6 @@
 """All queries of the subpackage."""
 
-from cohortry.llm import secrets, sharding  # noqa: F401
+from cohortry.llm import minhash, secrets, sharding  # noqa: F401
 from cohortry.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

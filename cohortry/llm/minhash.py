@@ -5,8 +5,9 @@
 3. Band keys are grouped to their least member; every other member of the bucket is linked to that centre: a bucket
    of n rows gives n - 1 pairs. Pairs that pass the signature estimate are confirmed on full shingle sets.
 4. Components of the confirmed pairs are found. A bucket whose members all lie in one component needs no more. In any
-   other, pairs of members in different components are compared too: signatures first, block against block in tasks,
-   then full sets. So no link between colliding texts is lost, and a group of near copies never yields all its pairs.
+   other, members of different components are compared, too, block against block inside tasks: signatures first, then
+   full sets. Only links leave a task, and components that have met count as one. So no link that joins two components
+   is lost, and a group of near copies never yields all its pairs.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from cohortry.llm.graph import components
 SHINGLE = 5  # words
 BANDS, ROWS = 32, 4  # a pair at 0.75 misses every band with probability (1 - 0.75^4)^32 = 5e-6
 _LOW = 0.55  # signature estimates below it are not confirmed: over 5 standard errors under 0.75 at 128 minima
-_BLOCK = 256  # members of a bucket in one block
+_BLOCK = 1 << 20  # shingles of a bucket's members in one block, on average: 8 MB
 _HASHED_AT_ONCE = 1 << 16  # shingles
 
 _COEFFICIENTS = np.random.default_rng(77)
@@ -133,15 +134,19 @@ def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series((x == y).mean(axis=1))
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+def _sets_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, shingles) of the named texts."""
+    return texts.join(ids.distinct(), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles array<long>")
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity; every pair is looked up, estimated and then counted."""
     likely = pairs
     for side in ("a", "b"):
         likely = likely.join(signatures.select(F.col("doc_id").alias(side), F.col("signature").alias(f"s_{side}")), side)
     likely = stored(likely.filter(agreement("s_a", "s_b") >= _LOW).select("a", "b"), "near-likely")
-    full = sets
-    ends = likely.select(F.col("a").alias("doc_id")).unionAll(likely.select(F.col("b").alias("doc_id"))).distinct()
-    held = stored(full.join(ends, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles array<long>"), "near-sets")
+    ends = likely.select(F.col("a").alias("doc_id")).unionAll(likely.select(F.col("b").alias("doc_id")))
+    held = stored(_sets_of(texts, ends), "near-sets")
     both = likely
     for side in ("a", "b"):
         both = both.join(held.select(F.col("doc_id").alias(side), F.col("shingles").alias(f"s_{side}")), side)
@@ -153,18 +158,31 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, signatures: DataFrame, percent
     return out
 
 
-def _blocks_compared(block: pd.DataFrame) -> pd.DataFrame:
-    """Likely pairs of one block pair of a bucket: sides 0 and 1, or one block against itself."""
-    ids, groups, side = block["doc_id"].to_numpy(), block["component"].to_numpy(), block["side"].to_numpy()
+def _blocks_compared(block: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links between components found in one block pair of a bucket (sides 0 and 1, or one block against itself).
+
+    Pairs are passed over by size bound, then by signature, then confirmed on their full sets here, so only links leave
+    the task; two components that have met are one from then on, so at most one link fewer than components is found.
+    """
+    ids, side, size = block["doc_id"].to_numpy(), block["side"].to_numpy(), block["n_shingles"].to_numpy()
+    root = block["component"].to_numpy().copy()
     minima = np.frombuffer(b"".join(block["signature"]), np.uint32).reshape(len(block), -1)
-    found = []
+    sets = block["shingles"].to_numpy()
     one_block = block["i"].iloc[0] == block["j"].iloc[0]
     left = np.flatnonzero(side == 0)
     right = left if one_block else np.flatnonzero(side == 1)
+    found = []
     for x in left:
-        y = right[(groups[right] != groups[x]) & ((ids[right] > ids[x]) | (not one_block))]
+        y = right[right > x] if one_block else right
+        y = y[(root[y] != root[x]) & (100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x]))]
         y = y[(minima[y] == minima[x]).mean(axis=1) >= _LOW]
-        found += [(min(ids[x], ids[k]), max(ids[x], ids[k])) for k in y]
+        for k in y:
+            if root[k] == root[x]:
+                continue
+            common = len(np.intersect1d(sets[x], sets[k], assume_unique=True))
+            if 100 * common >= percent * (size[x] + size[k] - common):
+                found.append((min(ids[x], ids[k]), max(ids[x], ids[k])))
+                root[root == root[k]] = root[x]
     return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
 
@@ -172,9 +190,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per row of ``docs``: doc_id, n_shingles, component_id (least id reachable), kept.
 
     Words are runs without white space after folding A-Z; a set holds the distinct runs of five words, or the whole
-    sequence if shorter. Rows with 100 * common >= percent * union are linked. A null, empty or blank text has an empty
-    set, is linked with nothing and kept. Rows are compared by text, ids only name them: repeated rows get equal results,
-    and a row with a null id takes no part in links, has a null component and is kept. An empty table gives an empty
+    sequence if shorter. Rows with 100 * common >= percent * union are linked. Different texts under one id share its
+    component. A null, empty or blank text has an empty
+    set, is linked with nothing and kept. Repeated rows get equal results, and a row with a null id takes no part in links, has a null component and is kept. An empty table gives an empty
     result; other columns are ignored. Shingles are compared by 64-bit hashes, sets of equal texts by 128 bits.
     """
     picked = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
@@ -184,7 +202,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = stored(members.groupBy(*key).agg(F.min("doc_id").alias("class_id")), "near-classes")
     heads = sketches.join(classes, [*[sketches[k] == classes[k] for k in key], sketches["doc_id"] == classes["class_id"]], "left_semi")
     # one row per representative: an id repeated with one text has one signature
-    heads = stored(heads.groupBy("doc_id", *key).agg(F.first("signature").alias("signature")).select("doc_id", "signature"), "near-heads")
+    heads = heads.groupBy("doc_id", *key).agg(F.first("signature").alias("signature"))
+    heads = stored(heads.select("doc_id", "n_shingles", "signature"), "near-heads")
     keys = stored(heads.mapInArrow(_band_keys, "doc_id long, key long"), "near-bands")
     buckets = keys.groupBy("key").agg(F.min("doc_id").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     buckets = stored(buckets, "near-buckets")
@@ -199,25 +218,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component = F.coalesce(F.col("component"), F.col("doc_id"))
     grouped = placed.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", component)
     grouped = stored(grouped, "near-grouped")
-    torn = grouped.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n"))
-    torn = stored(torn.filter("x != y").select("key", F.ceil(F.col("n") / _BLOCK).alias("blocks")), "near-torn")
-    inside = grouped.select("key", "doc_id", "component").join(torn, "key").join(heads, "doc_id")
+    sized = grouped.join(heads.select("doc_id", "n_shingles"), "doc_id")
+    blocks = F.ceil(F.sum("n_shingles") / _BLOCK).alias("blocks")
+    torn = sized.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), blocks)
+    inside = stored(sized.select("key", "doc_id", "component").join(torn.filter("x != y"), "key"), "near-torn")
+    held = _sets_of(head_texts, inside.select("doc_id")).join(heads, "doc_id")
     own = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
     dealt = inside.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select(
-        "key", "doc_id", "component", "signature",
+    dealt = dealt.join(held, "doc_id").select(
+        "key", "doc_id", "component", "n_shingles", "signature", "shingles",
         F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"),
     )
-    more = dealt.groupBy("key", "i", "j").applyInPandas(_blocks_compared, "a long, b long").distinct()
-    more = stored(more.join(star, ["a", "b"], "left_anti"), "near-more")
-    extra = _confirmed(more, head_texts, heads, percent)
+    extra = dealt.groupBy("key", "i", "j").applyInPandas(lambda block: _blocks_compared(block, percent), "a long, b long")
+    extra = stored(extra.distinct(), "near-extra")
     if not extra.isEmpty():
         found = stored(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(extra)), "near-components")
     labels = classes.join(found, classes["class_id"] == found["node"], "left").select(
         *key, F.coalesce("component", "class_id").alias("__component")
     )
     labels = stored(labels, "near-labels")
-    for spent in (placed, grouped, buckets, torn, heads, classes, more, links, extra):
+    for spent in (placed, grouped, buckets, inside, heads, classes, links, extra):
         release(spent)
     named = sketches.select("doc_id", *key).join(labels, key, "left")
     one = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("__component")).otherwise(F.col("doc_id"))

@@ -1,6 +1,6 @@
 """All queries of the subpackage."""
 
-from cohortry.llm import decontaminate, minhash, pieces, secrets, sharding  # noqa: F401
+from cohortry.llm import decontaminate, minhash, pieces, secrets, sequences, sharding  # noqa: F401
 from cohortry.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

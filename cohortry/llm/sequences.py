@@ -34,7 +34,8 @@ from cohortry.llm.common import query, stored, table, text_slices, texts_of
 from cohortry.session import shared_dir
 
 _BATCH_ROWS = 256  # sequences in one record batch
-_HELD = 800_000  # segments held by a Python worker, about 170 MB
+_HELD = 1_200_000  # words held by a Python worker, about 200 MB
+_SLICE = 4 << 20  # text bytes encoded together
 # a space ahead of one of these characters may belong to a run of white space, so no cut is made there
 _UNSURE = r"\t\n\v\f\r\x1c-\x20\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
 _UNSURE_SPACE = re.compile(f" (?:[{_UNSURE}]|$)")
@@ -47,6 +48,17 @@ def opened(folder: str) -> tuple[pa.fs.FileSystem, str]:
     return pa.fs.FileSystem.from_uri(folder) if ":/" in folder else (pa.fs.LocalFileSystem(), folder)
 
 
+class _Held(dict):
+    """Ids of words, kept from slice to slice; of a slice's other segments, for that slice only."""
+
+    def __init__(self):
+        super().__init__()
+        self.passing: dict[str, bytes] = {}
+
+    def __missing__(self, segment: str) -> bytes:
+        return self.passing[segment]
+
+
 class TextEncoder:
     """Ids of whole texts, by encoding distinct segments with the tokenizers library once and holding them for a while.
 
@@ -60,7 +72,7 @@ class TextEncoder:
         self.tokenizer = Tokenizer.from_str(tokenizer)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
-        self.spaced: dict[str, bytes] = {}  # ids of a segment behind its space, by what follows the space
+        self.spaced = _Held()  # ids of a segment behind its space, by what follows the space
         self.bare: dict[str, bytes] = {}  # of others
 
     @classmethod
@@ -90,12 +102,12 @@ class TextEncoder:
             self.bare[part] = array(self.kind, encoding.ids).tobytes()
 
     def _learn(self, new: set[str]) -> None:
-        """Hold the ids of segments behind a space.
+        """Find the ids of segments behind a space.
 
-        They are looked up in shorter independent parts first, so that a word met with other signs or lines around it
-        is not encoded again.
+        They are looked up in shorter independent parts, so that a word met with other signs or lines around it is not
+        encoded again; only the parts are held for later slices.
         """
-        spaced, pairs, lined, words, signs = self.spaced, [], [], set(), set()
+        spaced, passing, pairs, lined, words, signs = self.spaced, {}, [], [], set(), set()
         for segment in new:
             if "\n" in segment:
                 first, *others = _LINE.split(segment)
@@ -117,22 +129,22 @@ class TextEncoder:
             spaced[word] = array(self.kind, encoding.ids).tobytes()
         bare = self.bare
         for segment, word, tail in pairs:
-            spaced[segment] = spaced[word] + bare[tail]
+            passing[segment] = spaced[word] + bare[tail]
         for segment, first, others in lined:
-            spaced[segment] = bare["\n"].join([spaced[first], *[bare[p] for p in others]])
+            passing[segment] = bare["\n"].join([spaced[first], *[bare[p] for p in others]])
+        spaced.passing = passing
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of every text, as bytes of ``kind``."""
         if len(self.spaced) + len(self.bare) > _HELD:
-            self.spaced, self.bare = {}, {}
+            self.spaced, self.bare = _Held(), {}
         keys = [self._segments(t) for t in texts]
         first = [k[0] for k in keys]
         for k in keys:
             k[0] = ""  # of no segment's own
         new = set(chain.from_iterable(keys)).difference(self.spaced)
         new.discard("")
-        if new:
-            self._learn(new)
+        self._learn(new)
         self._encode_bare(set(first))
         self.spaced[""] = b""
         found = self.spaced.__getitem__
@@ -158,11 +170,13 @@ class SequenceWriter:
             self._flush(False)
 
     def _flush(self, last: bool) -> None:
+        """Write full batches; at the end the other whole sequences, too, and the padded last one."""
         ids = np.frombuffer(b"".join(self.waiting), self.kind)
-        whole = len(ids) // self.length * self.length
+        full = _BATCH_ROWS * self.length
+        whole = len(ids) // self.length * self.length if last else len(ids) // full * full
         rest = ids[whole:]
-        for at in range(0, whole, _BATCH_ROWS * self.length):
-            self._write(ids[at : min(whole, at + _BATCH_ROWS * self.length)], None)
+        for at in range(0, whole, full):
+            self._write(ids[at : min(whole, at + full)], None)
         if last and len(rest):
             self._write(np.pad(rest, (0, self.length - len(rest))), len(rest))
             rest = rest[:0]
@@ -184,12 +198,19 @@ class SequenceReader:
     def __init__(self, source):
         self.file = pa.ipc.open_file(source)
         self.length = self.file.schema.field("ids").type.list_size
-        self.sizes: list[int] = []
-        self.at = -1
+        self.last_first: int | None = None
+        self.held: tuple[int, pa.RecordBatch | None, np.ndarray | None] = (-1, None, None)
 
     def batch(self, i: int) -> pa.RecordBatch:
         return self.file.get_batch(i)
 
+    def ids(self, i: int) -> np.ndarray:
+        """A view of all ids of one batch; the last one asked for stays at hand."""
+        if self.held[0] != i:
+            part = self.batch(i)
+            self.held = (i, part, part.column("ids").flatten().to_numpy(zero_copy_only=True))
+        return self.held[2]
+
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids (a view of the file) and mask of sequence ``i``. All batches but the last two are full."""
         for b in range(min(i // _BATCH_ROWS, self.file.num_record_batches - 1), self.file.num_record_batches):
@@ -203,12 +224,19 @@ class SequenceReader:
     def _before(self, b: int) -> int:
         return (b - 1) * _BATCH_ROWS + self.batch(b - 1).num_rows if b else 0
 
+    def _last_first(self) -> int:
+        """First token of the last batch."""
+        if self.last_first is None:
+            self.last_first = self._before(self.file.num_record_batches - 1) * self.length
+        return self.last_first
+
     def tokens(self, start: int, n: int) -> Iterator[np.ndarray]:
         """Views of the ids from token ``start`` on, batch by batch."""
-        b = min(start // (_BATCH_ROWS * self.length), self.file.num_record_batches - 1)
-        first = self._before(b) * self.length
+        full = _BATCH_ROWS * self.length
+        b = min(start // full, self.file.num_record_batches - 1)
+        first = b * full if b < self.file.num_record_batches - 1 else self._last_first()
         while n > 0:
-            ids = self.batch(b).column("ids").flatten().to_numpy(zero_copy_only=True)
+            ids = self.ids(b)
             if start < first + len(ids):
                 part = ids[start - first : start - first + n]
                 yield part
@@ -229,7 +257,7 @@ def _written(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, end
     path = f"{base}/{uuid.uuid4().hex}"
     end = array(encoder.kind, [end_id]).tobytes()
     width = len(end)
-    for batch in text_slices(batches):
+    for batch in text_slices(batches, limit=_SLICE):
         if writer is None:
             fs.create_dir(base, recursive=True)
             sinks = [fs.open_output_stream(f"{path}.{kind}.arrow") for kind in ("ids", "docs")]

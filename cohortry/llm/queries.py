@@ -1,6 +1,6 @@
 """All queries of the subpackage."""
 
-from cohortry.llm import chunks, decontaminate, factorisation, minhash, pieces, quality, secrets, sequences, sharding  # noqa: F401
+from cohortry.llm import chunks, decontaminate, factorisation, minhash, pieces, privacy, quality, secrets, sequences, sharding  # noqa: F401
 from cohortry.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

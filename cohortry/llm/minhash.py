@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import DoubleType
 
 from cohortry.llm.common import (
     WHITE,
@@ -125,7 +126,7 @@ def _band_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys.reshape(-1).view(np.int64))], names=["doc_id", "key"])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of equal minima of two signatures."""
     if not len(a):

@@ -5,8 +5,8 @@
 3. Band keys are grouped to their least member; every other member of the bucket is linked to that centre: a bucket
    of n rows gives n - 1 pairs. Pairs that pass the signature estimate are confirmed on full shingle sets.
 4. Components of the confirmed pairs are found. A bucket whose members all lie in one component needs no more. In any
-   other, members of different components are compared, too, block against block inside tasks: signatures first, then
-   full sets. Only links leave a task, and components that have met count as one. So no link that joins two components
+   other, members of different components are compared, too, block against block inside tasks, a pair in the first
+   bucket that it shares: signatures first, then full sets of the rows that have a likely partner. Only links leave a task, and components that have met count as one. So no link that joins two components
    is lost, and a group of near copies never yields all its pairs.
 """
 
@@ -23,6 +23,7 @@ from pyspark.sql.types import DoubleType
 from cohortry.llm.common import (
     WHITE,
     buffer_of,
+    maybe_among,
     mixed,
     query,
     release,
@@ -39,6 +40,7 @@ from cohortry.llm.graph import components
 SHINGLE = 5  # words
 BANDS, ROWS = 32, 4  # a pair at 0.75 misses every band with probability (1 - 0.75^4)^32 = 5e-6
 _LOW = 0.55  # signature estimates below it are not confirmed: over 5 standard errors under 0.75 at 128 minima
+_MEMBERS = 1024  # of a bucket in one block where only signatures are compared
 _BLOCK = 1 << 20  # shingles of a bucket's members in one block, on average: 8 MB
 _HASHED_AT_ONCE = 1 << 16  # shingles
 
@@ -114,7 +116,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _band_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, key): a 64-bit key for every band of every signature; the band's number is part of the key."""
+    """(doc_id, band, key): a 64-bit key for every band of every signature; the band's number is part of the key."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -123,7 +125,9 @@ def _band_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in range(ROWS):
             keys = mixed(keys + minima[:, :, k].astype(np.uint64))
         ids = np.repeat(np.asarray(batch.column("doc_id")), BANDS)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(keys.reshape(-1).view(np.int64))], names=["doc_id", "key"])
+        bands = np.tile(np.arange(BANDS, dtype=np.int32), batch.num_rows)
+        columns = [pa.array(ids), pa.array(bands), pa.array(keys.reshape(-1).view(np.int64))]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "band", "key"])
 
 
 @F.pandas_udf(DoubleType())
@@ -136,8 +140,13 @@ def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def _sets_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, shingles) of the named texts."""
-    return texts.join(ids.distinct(), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles array<long>")
+    """(doc_id, shingles) of the named texts.
+
+    A Bloom filter of the ids passes over most other texts where they are read, so they are not shuffled for the join.
+    """
+    wanted = stored(ids.distinct(), "near-wanted")
+    likely = texts.filter(maybe_among(wanted, "doc_id"))
+    return likely.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles array<long>")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
@@ -159,31 +168,60 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, signatures: DataFrame, percen
     return out
 
 
-def _blocks_compared(block: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Links between components found in one block pair of a bucket (sides 0 and 1, or one block against itself).
+def _tiled(rows: DataFrame, blocks: str) -> DataFrame:
+    """Rows of a bucket dealt to pairs of its ``blocks`` (i <= j, side 0 or 1): every two rows meet in one pair of blocks."""
+    own = F.pmod(F.xxhash64("doc_id"), F.col(blocks))
+    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1)))
+    i, j = F.least("own", "other"), F.greatest("own", "other")
+    return dealt.withColumns({"i": i, "j": j, "side": (F.col("own") > F.col("other")).cast("int")}).drop("own", "other", blocks)
 
-    Pairs are passed over by size bound, then by signature, then confirmed on their full sets here, so only links leave
-    the task; two components that have met are one from then on, so at most one link fewer than components is found.
-    """
-    ids, side, size = block["doc_id"].to_numpy(), block["side"].to_numpy(), block["n_shingles"].to_numpy()
-    root = block["component"].to_numpy().copy()
+
+def _likely_pairs(block: pd.DataFrame, percent: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each left row the right rows of other components (an array that the caller may change) that pass the size bound
+    and the signature, and that do not agree in an earlier band: they are compared in that band's bucket."""
+    side, size, root = block["side"].to_numpy(), block["n_shingles"].to_numpy(), block["component"].to_numpy().copy()
     minima = np.frombuffer(b"".join(block["signature"]), np.uint32).reshape(len(block), -1)
-    sets = block["shingles"].to_numpy()
     one_block = block["i"].iloc[0] == block["j"].iloc[0]
+    band = int(block["band"].iloc[0])
     left = np.flatnonzero(side == 0)
     right = left if one_block else np.flatnonzero(side == 1)
-    found = []
     for x in left:
         y = right[right > x] if one_block else right
         y = y[(root[y] != root[x]) & (100 * np.minimum(size[y], size[x]) >= percent * np.maximum(size[y], size[x]))]
-        y = y[(minima[y] == minima[x]).mean(axis=1) >= _LOW]
-        for k in y:
-            if root[k] == root[x]:
+        equal = minima[y] == minima[x]
+        likely = equal.mean(axis=1) >= _LOW
+        y, equal = y[likely], equal[likely]
+        if len(y):
+            y = y[equal.reshape(len(y), BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
+        if len(y):
+            yield x, y, root
+
+
+def _with_partners(block: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """The rows of a block pair that have a likely partner in it."""
+    marked = np.zeros(len(block), bool)
+    for x, y, _ in _likely_pairs(block, percent):
+        marked[x] = True
+        marked[y] = True
+    return block.loc[marked, ["key", "band", "doc_id"]]
+
+
+def _links_between(block: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links between components found in one block pair of a bucket.
+
+    Likely pairs are confirmed on their full sets here, so only links leave the task; two components that have met are
+    one from then on, so fewer links than components are found.
+    """
+    ids, size, sets = block["doc_id"].to_numpy(), block["n_shingles"].to_numpy(), block["shingles"].to_numpy()
+    found = []
+    for x, others, root in _likely_pairs(block, percent):
+        for y in others:
+            if root[y] == root[x]:
                 continue
-            common = len(np.intersect1d(sets[x], sets[k], assume_unique=True))
-            if 100 * common >= percent * (size[x] + size[k] - common):
-                found.append((min(ids[x], ids[k]), max(ids[x], ids[k])))
-                root[root == root[k]] = root[x]
+            common = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+            if 100 * common >= percent * (size[x] + size[y] - common):
+                found.append((min(ids[x], ids[y]), max(ids[x], ids[y])))
+                root[root == root[y]] = root[x]
     return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
 
@@ -205,7 +243,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # one row per representative: an id repeated with one text has one signature
     heads = heads.groupBy("doc_id", *key).agg(F.first("signature").alias("signature"))
     heads = stored(heads.select("doc_id", "n_shingles", "signature"), "near-heads")
-    keys = stored(heads.mapInArrow(_band_keys, "doc_id long, key long"), "near-bands")
+    keys = stored(heads.mapInArrow(_band_keys, "doc_id long, band int, key long"), "near-bands")
     buckets = keys.groupBy("key").agg(F.min("doc_id").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     buckets = stored(buckets, "near-buckets")
     placed = stored(keys.join(buckets, "key"), "near-placed")
@@ -219,18 +257,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component = F.coalesce(F.col("component"), F.col("doc_id"))
     grouped = placed.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", component)
     grouped = stored(grouped, "near-grouped")
-    sized = grouped.join(heads.select("doc_id", "n_shingles"), "doc_id")
-    blocks = F.ceil(F.sum("n_shingles") / _BLOCK).alias("blocks")
-    torn = sized.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), blocks)
-    inside = stored(sized.select("key", "doc_id", "component").join(torn.filter("x != y"), "key"), "near-torn")
-    held = _sets_of(head_texts, inside.select("doc_id")).join(heads, "doc_id")
-    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks"))
-    dealt = inside.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.join(held, "doc_id").select(
-        "key", "doc_id", "component", "n_shingles", "signature", "shingles",
-        F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"),
-    )
-    extra = dealt.groupBy("key", "i", "j").applyInPandas(lambda block: _blocks_compared(block, percent), "a long, b long")
+    torn = grouped.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n"))
+    torn = torn.filter("x != y").select("key", F.ceil(F.col("n") / _MEMBERS).alias("blocks"))
+    inside = stored(grouped.join(torn, "key").join(heads, "doc_id"), "near-torn")
+    marked = _tiled(inside, "blocks").groupBy("key", "i", "j").applyInPandas(
+        lambda block: _with_partners(block, percent), "key long, band int, doc_id long"
+    )
+    marked = stored(marked.distinct(), "near-marked")
+    rows = marked.join(grouped.select("key", "doc_id", "component"), ["key", "doc_id"]).join(heads, "doc_id")
+    blocks = rows.groupBy("key").agg(F.ceil(F.sum("n_shingles") / _BLOCK).alias("blocks"))
+    full = rows.join(_sets_of(head_texts, marked.select("doc_id")), "doc_id").join(blocks, "key")
+    extra = _tiled(full, "blocks").groupBy("key", "i", "j").applyInPandas(
+        lambda block: _links_between(block, percent), "a long, b long"
+    )
     extra = stored(extra.distinct(), "near-extra")
     if not extra.isEmpty():
         found = stored(components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(extra)), "near-components")
@@ -238,7 +277,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         *key, F.coalesce("component", "class_id").alias("__component")
     )
     labels = stored(labels, "near-labels")
-    for spent in (placed, grouped, buckets, inside, heads, classes, links, extra):
+    for spent in (placed, grouped, buckets, inside, marked, heads, classes, links, extra):
         release(spent)
     named = sketches.select("doc_id", *key).join(labels, key, "left")
     one = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("__component")).otherwise(F.col("doc_id"))

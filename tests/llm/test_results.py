@@ -1,0 +1,405 @@
+"""Results against brute force, the tokenizer libraries, SQL and planted cases, on the small tables."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import oracle
+import public_tokenizers
+import pyarrow as pa
+import pytest
+import sentencepiece
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from cohortry.llm import chunks, minhash, pieces, privacy, quality, secrets, sequences, textstats
+from cohortry.llm.common import ORACLES, QUERIES
+from cohortry.llm.queries import QUERIES as ALL
+
+ODD = ["", " ", "  ", "a  b", "\n", " \n ", "▁a", "a▁b", "\x00a", "日本語 の\nテキスト", "x" * 300, "<|endoftext|> a", "don't 's", "a \x85b", "é ​﻿"]
+
+
+def odd_texts(n: int, letters: str, longest: int = 30) -> list[str]:
+    pick = random.Random(5)
+    return ODD + ["".join(pick.choice(letters) for _ in range(pick.randint(0, longest))) for _ in range(n)]
+
+
+@pytest.fixture(scope="module")
+def texts(spark, sf):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    return {r["doc_id"]: r["text"] for r in rows}
+
+
+@pytest.fixture(scope="module")
+def result(spark, sf):
+    held = {}
+
+    def get(name):
+        if name not in held:
+            held[name] = QUERIES[name](spark, sf).collect()
+        return held[name]
+
+    return get
+
+
+def test_one_query_per_operator():
+    assert sorted(int(n[2:].split("_")[0]) for n in ALL) == list(range(1, 11))
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_equals_sql(spark, sf, name):
+    assert oracle.compare(QUERIES[name](spark, sf), oracle.connect(sf), ORACLES[name]) is None
+
+
+# ---------------------------------------------------------------- secrets
+
+
+def plain_secrets(text: str) -> list[tuple[int, int, int]]:
+    # "letters in either case" means A-Z and a-z only, hence the flag
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    out = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[2]) >= 6]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    return sorted(out + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24])
+
+
+def test_secret_patterns(texts):
+    pick = random.Random(1)
+    parts = ["token", "Secret", "api_key", "apikey", '"', "'", " ", "=", ":", "abcdef", "0123456789abcdef", "AKIA", "ABCDEFGH12345678", "ſ", "\n", "."]
+    made = ["".join(pick.choice(parts) for _ in range(12)) for _ in range(3000)]
+    for text in [*texts.values(), *made]:
+        assert sorted((s, k, e) for k, s, e in secrets.base_spans(text)) == plain_secrets(text)
+
+
+def test_secret_report(texts, result):
+    for r in result("op1_credential_linking"):
+        base = plain_secrets(texts[r["doc_id"]])
+        named = ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in base)
+        assert r["base_sha256"] == hashlib.sha256(named.encode()).hexdigest()
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(sum(k == x for _, k, _ in base) for x in range(3))
+        assert set(filter(None, named.split(","))) <= set(r["spans"].split(","))
+
+
+def test_linking_needs_a_complement_in_reach_and_scope():
+    weak, host = "Qz8Kd03LmPw9TtRb", "https://api.example.com/v1"
+    found = lambda t: {k for k, _, _ in secrets.linked_spans(t, sorted(secrets.base_spans(t), key=lambda x: x[1:]), 50)}
+    assert found(f"use {weak} now") == set()
+    assert found(f"use {weak} at {host}") == {"secret", "endpoint"}
+    assert found(f"client_id: bob17 {weak}") == {"secret", "identifier"}
+    assert found(f"use {weak} at {'x' * 60} {host}") == set()
+    assert found(f"use {weak}\n\nat {host}") == set()
+    many = f"{host} {weak} " * 3000
+    assert len(secrets.linked_spans(many, [], 50)) == 6000
+
+
+# ---------------------------------------------------------------- sharding
+
+
+def test_shards_are_even_and_gapless(texts, result):
+    rows = result("op2_sampled_splitters")
+    assert sorted(r["doc_id"] for r in rows) == sorted(texts)
+    for r in rows:
+        raw = texts[r["doc_id"]].encode()
+        assert (r["size"], r["text_crc32"], r["law"], r["grown_shard"]) == (len(raw) + 1, zlib.crc32(raw), "bytes", None)
+    sizes = [sum(r["size"] for r in rows if r["shard"] == s) for s in range(8)]
+    assert max(sizes) - min(sizes) <= 2 * max(r["size"] for r in rows)
+    for s in range(8):
+        assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(sum(r["shard"] == s for r in rows)))
+
+
+def test_a_hot_group_is_cut(spark):
+    from cohortry.llm.sharding import shard_documents
+
+    docs = spark.range(3000).selectExpr("id doc_id", "CASE WHEN id % 3 < 2 THEN 'the same text' ELSE concat('text ', id) END text")
+    counts = {r["shard"]: r["n"] for r in shard_documents(docs).groupBy("shard").agg({"size": "sum"}).withColumnRenamed("sum(size)", "n").collect()}
+    assert set(counts) == set(range(8)) and max(counts.values()) - min(counts.values()) < 40
+
+
+# ---------------------------------------------------------------- token files
+
+
+def test_sequence_files(texts, result):
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    start = 0
+    for r in sorted(result("op3_arrow_sequences"), key=lambda r: r["doc_id"]):
+        ids = np.array([*library.encode(texts[r["doc_id"]], add_special_tokens=False).ids, 2], "<u4")
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)
+
+
+def test_segments_encode_as_the_library_does():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, library = sequences.TextEncoder(open(path).read()), Tokenizer.from_file(path)
+    odd = odd_texts(4000, " \n\tabth'sinñé日𝒳\x01\x1c\x85\xa0 　​.,0_")
+    for text, got in zip(odd, encoder.encode(odd)):
+        assert np.frombuffer(got, np.uint16).tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_random_access(tmp_path):
+    path = str(tmp_path / "x.arrow")
+    ids = np.arange(100_003, dtype=np.uint16)
+    writer = sequences.SequenceWriter(path, 16, "H")
+    for part in np.array_split(ids, [3, 50, 70_000]):  # one part longer than a batch
+        writer.append(part.tobytes())
+    writer.close()
+    reader = sequences.SequenceReader(pa.memory_map(path))
+    for i in (0, 255, 256, 4000, 6249):
+        got, mask = reader.sequence(i)
+        assert got.tolist() == ids[16 * i : 16 * i + 16].tolist() and mask.all()
+    got, mask = reader.sequence(6250)
+    assert got[mask].tolist() == ids[100_000:].tolist() and mask.sum() == 3
+    for start, n in ((0, 1), (5, 99_998), (99_990, 13)):
+        assert np.concatenate(list(reader.tokens(start, n))).tolist() == ids[start : start + n].tolist()
+
+
+# ---------------------------------------------------------------- quality
+
+
+def plain_counts(text: str) -> tuple[int, ...]:
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    twice = {w for w in windows if windows.count(w) > 1} if len(windows) < 3000 else {w for w, n in __import__("collections").Counter(windows).items() if n > 1}
+    hit = {i + k for i, w in enumerate(windows) if w in twice for k in range(5)}
+    return len(words), sum(map(len, words)), len(re.findall("[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(hit)
+
+
+def test_quality_counts(texts, result):
+    for r in result("op5_ngram_quality"):
+        want = plain_counts(texts[r["doc_id"]])
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want
+        assert r["base_failed"] == (want[0] < 10 or 100 * want[4] > 20 * want[0])
+        assert not (r["kept"] and r["base_failed"])
+    made = odd_texts(400, "ab \n\n\t#|é\x0b", 60)
+    s = textstats.stats_of(pa.record_batch([pa.array(made)], names=["text"]))
+    got = list(zip(*(x.tolist() for x in (s.n_words, s.word_chars, s.n_symbols, s.n_dup_lines, s.n_repeat_words))))
+    assert got == [plain_counts(t) for t in made]
+
+
+def test_quality_of_held_out_rows(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    held = labels.filter("doc_id % 4 = 0")
+    rows = quality.judge_quality(docs, labels.filter("doc_id % 4 <> 0")).join(held, "doc_id").filter("NOT base_failed").collect()
+    assert sum(r["kept"] == bool(r["quality"]) for r in rows) / len(rows) > 0.95
+    assert all(r["kept"] for r in rows if r["quality"])
+
+
+def test_machine_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = QUERIES["op6_factorisation_machine"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").collect()
+    held = [r for r in rows if r["held_out"]]
+    assert {r["held_out"] for r in rows} == {True, False}
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
+    assert sum(r["predicted"] == r["quality"] for r in held) / len(held) > 0.9
+    good, bad = ([r["score"] for r in held if r["quality"] == x] for x in (1, 0))
+    assert np.mean([[a > b for b in bad] for a in good]) > 0.9
+
+
+def test_interactions_in_linear_time_equal_all_pairs():
+    from cohortry.llm.factorisation import Machine
+
+    random_state = np.random.default_rng(2)
+    m = Machine(3)
+    m.v = random_state.normal(size=m.v.shape)
+    m.w = random_state.normal(size=m.w.shape)
+    words, values, dense = np.array([4, 9, 77]), np.array([0.5, 1.5, 0.2]), random_state.normal(size=(1, 3))
+    index, x = np.concatenate([words, len(m.w) - 3 + np.arange(3)]), np.concatenate([values, dense[0]])
+    pairs = sum(m.v[a] @ m.v[b] * x[i] * x[j] for i, a in enumerate(index) for j, b in enumerate(index) if i < j)
+    assert m.sums(np.zeros(3, int), words, values, dense)[0][0] == pytest.approx(m.bias + m.w[index] @ x + pairs)
+
+
+# ---------------------------------------------------------------- pieces
+
+
+def test_pieces(texts, result):
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    for r in result("op7_agenda_pieces"):
+        ids = sp.encode(texts[r["doc_id"]])
+        assert r["n_tokens"] == len(ids) and r["n_unequal"] == 0
+        assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(sp.decode(ids).encode()).hexdigest()
+
+
+def test_pieces_of_odd_texts():
+    model = open(public_tokenizers.path("piece_bpe_32k.model"), "rb").read()
+    sp, v = sentencepiece.SentencePieceProcessor(model_proto=model), pieces.Vocabulary.load(model)
+    odd = odd_texts(2000, " \n▁abtheinñé日𝒳\x01\t.,0") + odd_texts(40, "abtheinñé日.,0thing", 300) + [" " * 100 + "x", "日" * 200, "的" * 70 + "zq" * 90]
+    batch = pa.record_batch([pa.array(range(len(odd)), pa.int64()), pa.array(odd)], names=["doc_id", "text"])
+    for text, r in zip(odd, pa.Table.from_batches(pieces._encoded(iter([batch]), v, model)).to_pylist()):
+        ids = sp.encode(text)
+        assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), repr(text)
+        assert r["decoded_sha256"] == hashlib.sha256(sp.decode(ids).encode()).hexdigest() and not r["n_unequal"]
+
+
+# ---------------------------------------------------------------- personal data
+
+
+def plain_privacy(text: str) -> list[tuple[int, int, int]]:
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(p) < 256 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        if 14 <= len(digits(m[0])) <= 19 and privacy.luhn(digits(m[0])):
+            out.append((m.start(), 2, m.end()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 10 <= len(digits(m[0])) <= 15:
+            out.append((m.start(), 3, m.end()))
+    return sorted(out)
+
+
+def test_privacy_patterns(texts, result):
+    pick = random.Random(8)
+    parts = ["a", "b.c", "@", "x-y", ".", "12", "255", "300", "+1", " ", "(", ")", "-", "4845168114407329", "٣", "\n", "007"]
+    made = ["".join(pick.choice(parts) for _ in range(14)) for _ in range(5000)]
+    for text in [*texts.values(), *made]:
+        assert privacy.base_spans(text) == plain_privacy(text), repr(text)
+    for r in result("op8_semi_markov_pii"):
+        named = privacy.joined(plain_privacy(texts[r["doc_id"]]))
+        assert r["base_sha256"] == hashlib.sha256(named.encode()).hexdigest()
+        assert set(filter(None, named.split(","))) <= set(r["spans"].split(","))
+
+
+def test_field_likelihood_and_best_segmentation():
+    """Forward sums and the best score equal those over all segmentations of a short region."""
+    field = privacy.fit_field(["call +1 (212) 555-0153 now", "a.b@c.de and 10.2.3.4", "card 4845168114407329", "at 4.5.6.7 12 x"] * 5)
+    text = "10.2.3.4 12"
+    r = privacy.region(text, 0, len(text))
+    edges, pairs, n = field._edges(r), field._pairs(), privacy.OTHER + 1
+
+    def every(at, before, score, path):
+        if at == len(r.starts):
+            yield score, path
+            return
+        for j in range(at, len(r.starts)):
+            for i, k, s in edges[j]:
+                if i == at:
+                    yield from every(j + 1, k, score + pairs[before, k] + s, path + ([] if k == privacy.OTHER else [(i, j, k)]))
+
+    ways = list(every(0, n, 0.0, []))
+    assert field.best(r) == max(ways)[1]
+    assert (0, 6, 1) in field.best(r)
+
+
+def test_field_adds_what_patterns_miss():
+    field = privacy.fit_field(["card 4845168114407329 and 7536784127813050.", "x 83.55.126.196 y"] * 20)
+    base, every = privacy.find_spans("pay 7536784127813050 4845168114407329 now", field)
+    assert base == [] and len(every) == 2
+
+
+# ---------------------------------------------------------------- near duplicates and chunks
+
+
+def test_torn_buckets_lose_no_link(spark):
+    """A chain of texts, each close to its neighbours only, and many texts that share half of their words."""
+    pick = random.Random(4)
+    word = lambda: "".join(pick.choice("abcdefghij") for _ in range(6))
+    chain = [word() for _ in range(300)]
+    rows = []
+    for step in range(12):
+        rows.append((len(rows), " ".join(chain)))
+        at = pick.randrange(0, 270)
+        chain = [*chain[:at], *[word() for _ in range(14)], *chain[at + 14 :]]
+    shared = [word() for _ in range(60)]
+    for _ in range(150):
+        rows.append((len(rows), " ".join([*shared, *[word() for _ in range(pick.randint(8, 40))]])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs).collect()}
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    root = {i: i for i in sets}
+    for i in sets:
+        for j in range(i):
+            common = len(sets[i] & sets[j])
+            if 100 * common >= 75 * (len(sets[i]) + len(sets[j]) - common) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = {k: low if v == high else v for k, v in root.items()}
+    assert got == root
+
+
+def test_components_of_a_long_chain(spark):
+    from cohortry.llm.graph import components
+
+    ids = list(range(200))
+    random.Random(1).shuffle(ids)
+    edges = spark.createDataFrame(list(zip(ids, ids[1:])) + [(1000, 1001), (5000, 5000)], "a long, b long")
+    got = {r["node"]: r["component"] for r in components(edges).collect()}
+    assert got == {**dict.fromkeys(range(200), 0), 1000: 1000, 1001: 1000}
+
+
+def test_planted_passages(spark, sf):
+    pick = random.Random(6)
+    word = lambda: "".join(pick.choice("abcdefghijklmno") for _ in range(pick.randint(2, 9)))
+    prose = lambda n: [word() for _ in range(n)]
+    rows, pairs = [], []
+    for k in range(60):
+        passage = prose(52)
+        for _ in range(2):
+            rows.append((len(rows), " ".join([*prose(pick.randint(0, 60)), *passage, *prose(pick.randint(0, 60))])))
+        pairs.append((2 * k, 2 * k + 1))
+    clean = [(1000 + k, " ".join(prose(120))) for k in range(60)]
+    found = chunks.repeated_spans(spark.createDataFrame(rows + clean, "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in found} == {i for p in pairs for i in p}
+    assert all(r["removed"] == (r["doc_id"] % 2 == 1) and r["first_doc_id"] == r["doc_id"] // 2 * 2 for r in found)
+    text = dict(rows)
+    for r in found:
+        span = text[r["doc_id"]].encode()[r["start"] : r["stop"]].decode()
+        assert span in text[r["doc_id"] ^ 1] and len(span.split()) == r["n_words"]
+
+
+def test_chunks_fall_into_step_after_an_insertion():
+    pick = random.Random(2)
+    words = ["".join(pick.choice("abcdefg") for _ in range(5)) for _ in range(2000)]
+    cut = lambda ws: {x for x in _pieces(" ".join(ws))}
+    a, b = cut(words), cut([*words[:700], "inserted", *words[700:]])
+    assert len(a - b) <= 4
+
+
+def _pieces(text: str) -> list[bytes]:
+    raw = text.encode()
+    _, start, stop, _ = chunks.chunk_bounds(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    return [raw[i:j] for i, j in zip(start, stop)]
+
+
+# ---------------------------------------------------------------- pipeline
+
+
+def test_pipeline_against_its_parts(spark, sf, texts, result):
+    """Each stage on its predecessor's rows, by brute force where the stage is not trained."""
+    docs, kept = spark.read.parquet(f"{sf}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.stored(stage(spark, docs, sf), "test-stage")
+        kept[name] = {r["doc_id"]: r for r in docs.collect()}
+    assert set(kept["quality rules"]) == {r["doc_id"] for r in result("op5_ngram_quality") if r["kept"]}
+    sets = {i: minhash_set(texts[i]) for i in kept["quality rules"]}
+    left = set(kept["near duplicates"])
+    for i in sets:
+        near = [j for j in sets if j != i and sets[i] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+        if not near:
+            assert i in left
+        elif i in left:
+            assert all(j not in left for j in near)
+    windows = [w for t in spark.read.parquet(f"{sf}/benchmark.parquet").collect() for w in plain_windows(t["text"])]
+    for i in left:
+        words = f" {' '.join(plain_words(texts[i]))} "
+        assert (i in kept["benchmark decontamination"]) == (not any(f" {' '.join(w)} " in words for w in windows))
+    for i, r in kept["personal data"].items():
+        if not plain_privacy(texts[i]):
+            assert r["text"] == texts[i]
+        assert not plain_privacy(r["text"]) and r["n_chars"] == len(r["text"])
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    assert {i: r["n_tokens"] for i, r in kept["piece encoding"].items()} == {i: len(sp.encode(r["text"])) for i, r in kept["personal data"].items()}
+
+
+def minhash_set(text: str) -> set:
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
+def plain_words(text: str) -> list[str]:
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+
+
+def plain_windows(text: str) -> list[list[str]]:
+    words = plain_words(text)
+    return [words[k : k + 10] for k in range(max(1, len(words) - 9))] if words else []

@@ -11,11 +11,9 @@ import os
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.types import BooleanType
 
 from cohortry.session import shared_dir
 
@@ -59,30 +57,31 @@ def release(df: DataFrame) -> None:
 _MOST_BITS = 1 << 28  # of a Bloom filter: 32 MB, whatever the number of keys
 
 
-def maybe_among(keys: DataFrame, key: str) -> Column:
-    """A filter on the long column ``key`` of another frame: every key of ``keys`` passes, and few others.
+def bloom_places(key: str, bits: int) -> list[Column]:
+    """Three places of a long key in a Bloom filter."""
+    return [F.pmod(F.xxhash64(key, F.lit(k)), F.lit(bits)) for k in range(3)]
 
-    A Bloom filter with 16 bits a key, or fewer beyond its largest size, where more others pass but never fewer of the
-    right ones. Its 64-bit words are put together by an aggregation; the driver holds one filter.
+
+def bloom_filter(keys: DataFrame, key: str) -> np.ndarray:
+    """A Bloom filter of a long column as 64-bit words: 16 bits a key, or fewer beyond its largest size, where more other
+    keys pass but never fewer of the right ones.
+
+    The words are put together by an aggregation; the driver holds one filter.
     """
     bits = min(_MOST_BITS, 1 << max(16, (16 * keys.count()).bit_length()))
-    own = [F.pmod(F.xxhash64(key, F.lit(k)), F.lit(bits)) for k in range(3)]
-    places = keys.select(F.explode(F.array(*own)).alias("at"))
+    places = keys.select(F.explode(F.array(*bloom_places(key, bits))).alias("at"))
     words = places.groupBy(F.expr("at div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(at % 64 AS INT)))").alias("bits"))
     found = words.toArrow()
     table = np.zeros(bits // 64, np.int64)
     table[np.asarray(found["word"])] = np.asarray(found["bits"])
-    held = keys.sparkSession.sparkContext.broadcast(table.view(np.uint64))
+    return table.view(np.uint64)
 
-    @F.pandas_udf(BooleanType())
-    def among(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
-        words, out = held.value, np.ones(len(a), bool)
-        for at in (a, b, c):
-            at = at.to_numpy(np.int64)
-            out &= (words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
-        return pd.Series(out)
 
-    return among(*own)
+def bloom_passes(words: np.ndarray, places: Sequence[np.ndarray]) -> np.ndarray:
+    out = np.ones(len(places[0]), bool)
+    for at in places:
+        out &= (words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+    return out
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

@@ -22,8 +22,10 @@ from pyspark.sql.types import DoubleType
 
 from cohortry.llm.common import (
     WHITE,
+    bloom_filter,
+    bloom_passes,
+    bloom_places,
     buffer_of,
-    maybe_among,
     mixed,
     query,
     release,
@@ -108,11 +110,14 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in text_slices(batches):
-        hashes, begins = shingle_sets(batch)
-        arrays = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(hashes.view(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), arrays], names=["doc_id", "shingles"])
+def _sets(batches: Iterator[pa.RecordBatch], wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(doc_id, shingles) of the rows that pass a Bloom filter."""
+    for batch in batches:
+        passing = bloom_passes(wanted, [np.asarray(batch.column(f"p{k}")) for k in range(3)])
+        for part in text_slices(iter([batch.filter(pa.array(passing))])):
+            hashes, begins = shingle_sets(part)
+            arrays = pa.ListArray.from_arrays(pa.array(begins, pa.int32()), pa.array(hashes.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), arrays], names=["doc_id", "shingles"])
 
 
 def _band_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,11 +147,14 @@ def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
 def _sets_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
     """(doc_id, shingles) of the named texts.
 
-    A Bloom filter of the ids passes over most other texts where they are read, so they are not shuffled for the join.
+    A Bloom filter of the ids passes over most other texts where they are read, so only the sets wanted are shuffled.
     """
     wanted = stored(ids.distinct(), "near-wanted")
-    likely = texts.filter(maybe_among(wanted, "doc_id"))
-    return likely.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles array<long>")
+    words = bloom_filter(wanted, "doc_id")
+    held = texts.sparkSession.sparkContext.broadcast(words)
+    places = [p.alias(f"p{k}") for k, p in enumerate(bloom_places("doc_id", 64 * len(words)))]
+    sets = texts.select("doc_id", "text", *places).mapInArrow(lambda b: _sets(b, held.value), "doc_id long, shingles array<long>")
+    return sets.join(wanted, "doc_id", "left_semi")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:

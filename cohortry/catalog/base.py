@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortry.functions.columns import group_tag, rounded_ratio
 from cohortry.roles import ColumnRoles
-from cohortry.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,8 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def fact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem for work that costs more per row than the scan."""
-    return spread(table(spark, sf_dir, "lineitem"))
+    return table(spark, sf_dir, "lineitem")
 
 
 def r6(c):

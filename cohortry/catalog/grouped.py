@@ -18,14 +18,25 @@ from cohortry.operators.evaluation import bin_means, category_means, duration_co
 # ---------------------------------------------------------------- joins and reshapes
 
 
+def _pair_counts(spark, sf):
+    """Lines per part and supplier, and those returned; most pairs have none of the latter."""
+    rows = table(spark, sf, "lineitem")
+    return (
+        A.count_by(rows, ["l_partkey", "l_suppkey"], "n_lines"),
+        A.count_by(rows.filter("l_returnflag = 'R'"), ["l_partkey", "l_suppkey"], "n_returned"),
+    )
+
+
 @query(
     "j01_unpivot_years",
     """SELECT c_nationkey AS nation, CAST(year(o_orderdate) AS INTEGER) AS year, round(sum(o_totalprice), 2) AS total
-       FROM orders JOIN customer ON o_custkey = c_custkey WHERE year(o_orderdate) BETWEEN 1995 AND 2000 GROUP BY 1, 2""",
+       FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2""",
 )
 def _(spark, sf):
-    years = [str(y) for y in range(1995, 2001)]
-    joined = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    orders = table(spark, sf, "orders")
+    first, last = orders.agg(F.min(F.year("o_orderdate")), F.max(F.year("o_orderdate"))).first()
+    years = [str(y) for y in range(first, last + 1)]
+    joined = orders.join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     wide = joined.groupBy(F.col("c_nationkey").alias("nation")).agg(
         *[F.round(F.sum(F.when(F.year("o_orderdate") == int(y), F.col("o_totalprice"))), 2).alias(y) for y in years]
     )
@@ -36,17 +47,46 @@ def _(spark, sf):
     "j02_j03_j04_j05_dimension_chain",
     """SELECT s_suppkey, s_nationkey, n_name, r_name, k.n_parts FROM supplier JOIN nation ON s_nationkey = n_nationkey
        JOIN region ON n_regionkey = r_regionkey
-       LEFT JOIN (SELECT l_suppkey AS s_suppkey, count(*) AS n_parts FROM lineitem WHERE l_quantity > 49 GROUP BY 1) k USING (s_suppkey)""",
+       LEFT JOIN (SELECT l_suppkey AS s_suppkey, count(*) AS n_parts FROM lineitem GROUP BY 1) k USING (s_suppkey)""",
 )
 def _(spark, sf):
     supplier = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
     nation, region = table(spark, sf, "nation"), table(spark, sf, "region")
     with_nation = J.join_renamed(supplier.withColumn("key", F.col("s_nationkey")), nation, [("key", "n_nationkey")]).drop("key")
     with_region = J.join_renamed(with_nation, region, [("n_regionkey", "r_regionkey")]).drop("n_regionkey")
-    parts = A.count_by(table(spark, sf, "lineitem").filter("l_quantity > 49").withColumnRenamed("l_suppkey", "s_suppkey"), ["s_suppkey"], "n_parts")
+    parts = A.count_by(table(spark, sf, "lineitem").withColumnRenamed("l_suppkey", "s_suppkey"), ["s_suppkey"], "n_parts")
     return J.join_shared(with_region, parts, ["s_suppkey"], "left")
 
 
+@query(
+    "j03_two_renamed_keys",
+    """SELECT a.l_partkey, a.l_suppkey, a.n_lines, b.n_returned FROM (SELECT l_partkey, l_suppkey, count(*) AS n_lines FROM lineitem GROUP BY 1, 2) a
+       JOIN (SELECT l_partkey, l_suppkey, count(*) AS n_returned FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2) b USING (l_partkey, l_suppkey)""",
+)
+def _(spark, sf):
+    whole, returned = _pair_counts(spark, sf)
+    other_names = returned.withColumnsRenamed({"l_partkey": "part", "l_suppkey": "supp"})
+    return J.join_renamed(whole, other_names, [("l_partkey", "part"), ("l_suppkey", "supp")])
+
+
+@query(
+    "j04_j05_two_shared_keys_left",
+    """SELECT l_partkey, l_suppkey, count(*) AS n_lines, nullif(count(*) FILTER (WHERE l_returnflag = 'R'), 0) AS n_returned FROM lineitem GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    whole, returned = _pair_counts(spark, sf)
+    return J.join_shared(whole, returned, ["l_partkey", "l_suppkey"], "left")
+
+
+@query(
+    "j05_left_join_unmatched",
+    """SELECT source, count(*) AS n, count(quality) AS n_labelled FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1""",
+)
+def _(spark, sf):
+    joined = J.join_shared(table(spark, sf, "documents").select("doc_id", "source"), table(spark, sf, "labels"), ["doc_id"], "left")
+    return joined.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.count("quality").alias("n_labelled"))
+
+
 @query(
     "j06_fact_dimension_join",
     """SELECT p_brand, count(*) AS n, round(sum(l_extendedprice), 2) AS total FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1""",
@@ -122,6 +162,19 @@ def _(spark, sf):
     return rounded(A.mean_by(table(spark, sf, "lineitem"), NUMERIC, ["l_returnflag"]))
 
 
+@query(
+    "a04_mean_ignores_nan",
+    """SELECT l_returnflag, round(avg(l_tax) FILTER (WHERE l_linenumber <> 3), 6) AS l_tax, round(stddev_samp(l_tax) FILTER (WHERE l_linenumber <> 3), 6) AS std,
+       round(sum(l_tax) FILTER (WHERE l_linenumber <> 3), 4) AS total FROM lineitem GROUP BY 1""",
+)
+def _(spark, sf):
+    tax = F.when(F.col("l_linenumber") == 3, float("nan")).otherwise(F.col("l_tax"))
+    rows = table(spark, sf, "lineitem").select("l_returnflag", tax.alias("l_tax"))
+    spread = A.mean_with_interval(rows, "l_tax", ["l_returnflag"]).select("l_returnflag", ((F.col("high") - F.col("mean")) * F.sqrt("n") / 1.959963984540054).alias("std"))
+    total = A.sum_by(rows, "l_tax", ["l_returnflag"]).withColumn("total", F.round("l_tax", 4)).drop("l_tax")
+    return rounded(A.mean_by(rows, ["l_tax"], ["l_returnflag"]).join(spread, "l_returnflag").join(total, "l_returnflag"))
+
+
 @query(
     "a05_mean_by_two_keys",
     f"WITH {ROWS_SQL} SELECT side, l_returnflag, round(avg(ratio), 9) AS ratio FROM lines WHERE side IS NOT NULL GROUP BY 1, 2",

@@ -7,7 +7,7 @@ import json
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from cohortry.catalog.base import CATEGORICAL, NUMERIC, ROLES, ROWS_SQL, fact, lines, query, r6, rounded, table
 from cohortry.operators import attribution as T
@@ -246,6 +246,23 @@ def _(spark, sf):
     return C.cluster_sizes(C.predict_kmeans(model, rows, ROLES))
 
 
+@query("c06_nearest_centre", "SELECT count(*) AS n, count(*) AS n_nearest, CAST(3 AS BIGINT) AS n_clusters FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey")
+def _(spark, sf):
+    """Every row lies in the cluster whose centre is nearest, by distances worked out from the centres."""
+    rows = _columns(spark, sf)
+    model = C.fit_kmeans(rows, ROLES, 3, max_iter=10)
+    x = vector_to_array("kmeans_features")
+    far = [
+        F.aggregate(F.zip_with(x, F.array(*[F.lit(float(v)) for v in centre]), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)
+        for centre in model.stages[-1].clusterCenters()
+    ]
+    least = F.least(*far)
+    own = F.element_at(F.array(*far), F.col("cluster") + 1)
+    return model.transform(rows).select("cluster", (own <= least + 1e-9).alias("near")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("near").alias("n_nearest"), F.count_distinct("cluster").alias("n_clusters")
+    )
+
+
 # a cluster column SQL can reproduce
 _CLUSTERED = f"{ROWS_SQL}, k AS (SELECT *, CAST(l_linenumber % 3 AS INTEGER) AS cluster FROM lines)"
 
@@ -304,6 +321,26 @@ def _(spark, sf):
     return C.cluster_drivers(_fixed_model().transform(_columns(spark, sf)), ROLES, trees=10, depth=5)
 
 
+@query(
+    "c13_driver_names",
+    """SELECT feature, CAST(1.0 AS DOUBLE) AS total FROM (SELECT unnest(['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax']) AS feature
+       UNION SELECT 'l_returnflag_' || l_returnflag FROM lineitem UNION SELECT 'l_linestatus_' || l_linestatus FROM lineitem
+       UNION SELECT 'o_orderpriority_' || o_orderpriority FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)""",
+)
+def _(spark, sf):
+    """One driver per number and per category met, with importances that sum to one."""
+    drivers = C.cluster_drivers(_fixed_model().transform(_columns(spark, sf)), ROLES, trees=10, depth=5)
+    return drivers.select("feature", F.round(F.sum("importance").over(Window.partitionBy()), 9).alias("total"))
+
+
+@query("c14_rule_rows", "SELECT count(*) AS n, true AS pure FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey")
+def _(spark, sf):
+    """The rules of a tree part the rows: every row is in one leaf."""
+    rows = _fixed_model().transform(_columns(spark, sf))
+    rules = C.cluster_rules(rows, ROLES, depth=3)
+    return rules.agg(F.sum("n_rows").alias("n"), F.min(F.col("purity") >= 1 / 3).alias("pure"))
+
+
 @query("c14_cluster_rules")
 def _(spark, sf):
     return C.cluster_rules(_fixed_model().transform(_columns(spark, sf)), ROLES, depth=3)
@@ -381,6 +418,21 @@ def _(spark, sf):
     return E.metrics_report({g: m.transform(prepared[g].test) for g, m in models.items()})
 
 
+@query(
+    "m06_ridge_closed_form_per_group",
+    """SELECT o_orderstatus AS grp, round(sxy / (sxx + 10.0), 5) AS slope, round(my - sxy / (sxx + 10.0) * mx, 3) AS intercept FROM
+       (SELECT o_orderstatus, covar_pop(l_extendedprice, l_quantity) * count(*) AS sxy, var_pop(l_quantity) * count(*) AS sxx, avg(l_quantity) AS mx, avg(l_extendedprice) AS my
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus IN ('F', 'O') GROUP BY 1)""",
+)
+def _(spark, sf):
+    joined = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    rows = VectorAssembler(inputCols=["l_quantity"], outputCol="features").transform(joined.withColumnRenamed("l_extendedprice", "label"))
+    parts = {g: P.Prepared(rows.filter(F.col("o_orderstatus") == g), rows.limit(0), None, ROLES) for g in ("F", "O")}
+    models = M.fit_per_group(parts, lambda g, train: M.Ridge(alpha=10.0))
+    found = [(g, round(float(m.coefficients[0]), 5), round(float(m.intercept), 3)) for g, m in models.items()]
+    return spark.createDataFrame(found, "grp string, slope double, intercept double")
+
+
 @query("g01_g04_g05_grid_search")
 def _(spark, sf):
     prepared = {"all": _made(spark, sf)}
@@ -539,6 +591,20 @@ def _(spark, sf):
     return T.attribution_table(rows, P.feature_names(made.stages, made.roles))
 
 
+@query(
+    "e10_additivity",
+    f"WITH {ROWS_SQL} SELECT count(*) AS n, count(*) AS n_additive FROM lines WHERE {_BUCKET} < 20",
+)
+def _(spark, sf):
+    """On every test row the attributions sum to the prediction minus one baseline."""
+    made = _made(spark, sf)
+    model = M.fit_cached(M.forest({"n_estimators": 5, "max_depth": 4}), made.train)
+    total = F.aggregate("attributions", F.lit(0.0), lambda a, x: a + x)
+    rows = T.tree_attributions(model.transform(made.test), model).select((F.col("prediction") - total).alias("rest"))
+    base = F.lit(T.baseline(T.ensemble_leaves(spark, model)))
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.abs(F.col("rest") - base) < 1e-6 * F.abs(base)).alias("n_additive"))
+
+
 @query(
     "e11_permutation_attribution",
     """WITH bg AS (SELECT avg(l_quantity) AS q, avg(l_discount) AS d, avg(l_tax) AS t FROM

@@ -96,8 +96,9 @@ def _(spark, sf):
     stores.write_params(
         counts.select(F.lit("counts").alias("model"), F.col("o_orderstatus").alias("grp"), F.to_json(F.struct("n_orders")).alias("params")), path
     )
-    stored = spark.read.schema("model string, grp string, params string").json(path)
-    return stored.select("grp", F.from_json("params", "n_orders bigint")["n_orders"].alias("n_orders"))
+    groups = [r[0] for r in counts.select("o_orderstatus").collect()]  # one row per status
+    found = {g: stores.read_params(spark, path, "counts", g) for g in groups}
+    return spark.createDataFrame([(g, p["n_orders"]) for g, p in found.items()], "grp string, n_orders bigint")
 
 
 @query(
@@ -251,6 +252,15 @@ def _(spark, sf):
     return table(spark, sf, "lineitem").groupBy(X.code_text("l_quantity").alias("code")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "p22_large_codes",
+    "SELECT CAST(l_orderkey * 12345678 + 1 AS VARCHAR) AS code, count(*) AS n FROM lineitem GROUP BY 1",
+)
+def _(spark, sf):
+    code = (F.col("l_orderkey") * 12345678 + 1).cast("double")
+    return table(spark, sf, "lineitem").groupBy(X.code_text(code).alias("code")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "p23_p24_status_bins",
     f"""WITH {ROWS_SQL}, d AS (SELECT *, round_even(ratio - 1, 1) AS gap FROM lines)

@@ -23,6 +23,11 @@ def null_if_nan(c: Column | str) -> Column:
     return F.nanvl(_c(c), F.lit(None).cast("double"))
 
 
+def number(c: Column | str) -> Column:
+    """The column as a double with NaN as missing, for aggregates."""
+    return null_if_nan(_c(c).cast("double"))
+
+
 def difference(a: Column | str, b: Column | str) -> Column:
     return _c(a) - _c(b)
 
@@ -115,9 +120,12 @@ def coded_boolean(c: Column | str, true_code: float = 1.0, false_code: float = 2
 
 
 def code_text(c: Column | str) -> Column:
-    """One canonical text per category: 1, 1.0 and ``"1.0"`` all become ``"1"``."""
+    """One canonical text per category: 1, 1.0, ``"1.0"`` and ``"1.0E0"`` all become ``"1"``, at any size of a long."""
     text = _c(c).cast("string")
-    return F.when(text.rlike(r"^-?[0-9]+\.0+$"), F.split_part(text, F.lit("."), F.lit(1))).otherwise(text)
+    plain = F.when(text.rlike(r"^-?[0-9]+\.0+$"), F.split_part(text, F.lit("."), F.lit(1))).otherwise(text)
+    value = text.try_cast("double")
+    whole = text.rlike(r"^-?[0-9]+(\.[0-9]+)?[eE][+]?[0-9]+$") & (value == F.rint(value)) & (F.abs(value) < 9.2e18)
+    return F.when(whole, value.try_cast("bigint").cast("string")).otherwise(plain)
 
 
 def display_name(c: Column | str) -> Column:

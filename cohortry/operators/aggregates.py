@@ -1,17 +1,19 @@
 """Grouped and global aggregates over missing-aware columns.
 
-Missing keys never form a group. Value counts for many columns come from one pass with grouping sets, so each column
+NaN counts as missing in means, deviations and sums of floating-point columns; missing keys never form a group. Value counts for many columns come from one pass with grouping sets, so each column
 keeps its own type and the shuffle carries counts, not rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from operator import and_
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from cohortry.functions.columns import number
 from cohortry.operators.order_stats import medians
 
 _Z95 = 1.959963984540054
@@ -23,13 +25,13 @@ def keyed(df: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def mean_by(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    return keyed(df, by).groupBy(*by).agg(*[F.avg(c).alias(c) for c in columns])
+    return keyed(df, by).groupBy(*by).agg(*[F.avg(number(c)).alias(c) for c in columns])
 
 
 def mean_and_std(df: DataFrame, columns: Sequence[str], population: bool = False) -> DataFrame:
     """One row: ``<c>_mean`` and ``<c>_std`` for every column."""
     std = F.stddev_pop if population else F.stddev_samp
-    return df.agg(*[a for c in columns for a in (F.avg(c).alias(f"{c}_mean"), std(F.col(c).cast("double")).alias(f"{c}_std"))])
+    return df.agg(*[a for c in columns for a in (F.avg(number(c)).alias(f"{c}_mean"), std(number(c)).alias(f"{c}_std"))])
 
 
 def count_by(df: DataFrame, by: Sequence[str], name: str = "count") -> DataFrame:
@@ -37,7 +39,8 @@ def count_by(df: DataFrame, by: Sequence[str], name: str = "count") -> DataFrame
 
 
 def sum_by(df: DataFrame, column: str, by: Sequence[str]) -> DataFrame:
-    return keyed(df, by).groupBy(*by).agg(F.sum(column).alias(column))
+    value = number(column) if dict(df.dtypes)[column] in ("double", "float") else F.col(column)
+    return keyed(df, by).groupBy(*by).agg(F.sum(value).alias(column))
 
 
 def sizes_by_side(df: DataFrame, by: Sequence[str], value: str, sides: dict[str, Column]) -> DataFrame:
@@ -91,11 +94,28 @@ def distinct_counts(df: DataFrame, columns: Sequence[str], approximate: bool = F
 
 
 def low_cardinality(df: DataFrame, columns: Sequence[str], threshold: int = 50) -> list[str]:
-    """Columns with at most ``threshold`` distinct values (one row of counts reaches the driver)."""
+    """Columns with at most ``threshold`` distinct values.
+
+    Every task keeps at most ``threshold + 1`` values of a column, which is enough to know; a column with more in one task is
+    settled there, and the other columns' few values are put together.
+    """
     if not columns:
         return []
-    row = distinct_counts(df, columns).first()
-    return [c for c in columns if row[c] <= threshold]
+    most = threshold + 1
+
+    def few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: list[set[str]] = [set() for _ in columns]
+        for batch in batches:
+            for own, values in zip(seen, batch.columns):
+                if len(own) < most:
+                    own.update(v for v in values.unique().to_pylist() if v is not None)
+        rows = [(i, v) for i, own in enumerate(seen) for v in sorted(own)[:most]]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.string())], names=["at", "v"])
+
+    texts = df.select(*[F.col(f"`{c}`").cast("string").alias(f"c{i}") for i, c in enumerate(columns)])
+    counts = texts.mapInArrow(few, "at int, v string").groupBy("at").agg(F.count_distinct("v").alias("n")).collect()
+    found = {r["at"]: r["n"] for r in counts}
+    return [c for i, c in enumerate(columns) if found.get(i, 0) <= threshold]
 
 
 def mean_with_interval(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
@@ -104,14 +124,14 @@ def mean_with_interval(df: DataFrame, value: str, by: Sequence[str]) -> DataFram
     return (
         keyed(df, by)
         .groupBy(*by)
-        .agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.count(value).alias("n"))
+        .agg(F.avg(number(value)).alias("mean"), F.stddev_samp(number(value)).alias("std"), F.count(number(value)).alias("n"))
         .select(*by, "n", "mean", (F.col("mean") - half).alias("low"), (F.col("mean") + half).alias("high"))
     )
 
 
 def mean_order(df: DataFrame, key: str, value: str, name: str = "mean_value") -> DataFrame:
     """Attach the mean of ``value`` per ``key``, the order in which a comparison lists its keys (report-sized input)."""
-    return df.join(df.groupBy(key).agg(F.avg(value).alias(name)), key)
+    return df.join(df.groupBy(key).agg(F.avg(number(value)).alias(name)), key)
 
 
 def medians_and_modes(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:

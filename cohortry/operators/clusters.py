@@ -11,19 +11,27 @@ from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
+from cohortry.functions.columns import number
 from cohortry.operators.aggregates import count_by, keyed, mean_by, modes
 from cohortry.operators.features import encoding_stages, feature_names, helper_columns
 from cohortry.operators.hypothesis import long_categories
 from cohortry.operators.regression import fit_cached
 from cohortry.operators.trees import tree_paths
 from cohortry.roles import ColumnRoles
+from cohortry.session import FIT_PARTITIONS, cached, laid_out
 
 
-def fit_kmeans(df: DataFrame, roles: ColumnRoles, k: int, seed: int = 42, max_iter: int = 100, label: str = "cluster") -> PipelineModel:
-    """Scaling, encoding and full-batch k-means in one pipeline, so scoring cannot use a different preparation."""
+def fit_kmeans(
+    df: DataFrame, roles: ColumnRoles, k: int, seed: int = 42, max_iter: int = 100, label: str = "cluster", partitions: int = FIT_PARTITIONS
+) -> PipelineModel:
+    """Scaling, encoding and full-batch k-means in one pipeline, so scoring cannot use a different preparation.
+
+    Starts are drawn per partition, so the rows are laid out by their own content first.
+    """
     stages = encoding_stages(roles, "kmeans_features")
     kmeans = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="kmeans_features", predictionCol=label)
-    return Pipeline(stages=[*stages, kmeans]).fit(df)
+    with cached(laid_out(df, partitions)) as rows:
+        return Pipeline(stages=[*stages, kmeans]).fit(rows)
 
 
 def predict_kmeans(model: PipelineModel, df: DataFrame, roles: ColumnRoles) -> DataFrame:
@@ -48,7 +56,7 @@ def _z(mean, overall, std):
 
 def numeric_importance(df: DataFrame, numeric: Sequence[str], cluster: str = "cluster") -> DataFrame:
     """(cluster, feature, value = null, z): how far a cluster's mean lies from the overall mean, in sample deviations."""
-    stats = F.struct(*[F.struct(F.avg(c).alias("m"), F.stddev_samp(F.col(c).cast("double")).alias("s")).alias(c) for c in numeric])
+    stats = F.struct(*[F.struct(F.avg(number(c)).alias("m"), F.stddev_samp(number(c)).alias("s")).alias(c) for c in numeric])
     overall = df.agg(stats.alias("o")).scalar()
     means = mean_by(df, numeric, [cluster]).withColumn("o", overall)
     z = means.select(cluster, *[_z(F.col(c), F.col("o")[c]["m"], F.col("o")[c]["s"]).alias(c) for c in numeric])
@@ -99,7 +107,7 @@ def wide_importance(importance: DataFrame, names: Sequence[str], cluster: str =
 
 def _encoded(df: DataFrame, roles: ColumnRoles, cluster: str):
     stages = Pipeline(stages=encoding_stages(roles)).fit(df)
-    ready = stages.transform(df).select("features", F.col(cluster).cast("double").alias("label"))
+    ready = stages.transform(df).select("*", F.col(cluster).cast("double").alias("label"))
     return ready.filter(F.col("label").isNotNull()), feature_names(stages, roles)
 
 

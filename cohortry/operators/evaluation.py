@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from cohortry.functions.columns import base_feature_name, binary_label, difference, display_name, status_closed_right
+from cohortry.functions.columns import base_feature_name, binary_label, difference, display_name, number, status_closed_right
 from cohortry.operators.aggregates import count_by, mean_order, sum_by
 from cohortry.operators.hypothesis import long_categories
 from cohortry.operators.order_stats import medians, quantile_bins
@@ -15,9 +15,9 @@ from cohortry.operators.reshape import stack, top_rows
 
 def regression_metrics(scored: DataFrame, label: str = "label", prediction: str = "prediction", by: Sequence[str] = ()) -> DataFrame:
     """(by..., n, mse, r2) in one pass; r2 is null when the label does not vary."""
-    miss = F.col(label) - F.col(prediction)
+    miss = number(F.col(label) - F.col(prediction))
     mse = F.avg(miss * miss)
-    return scored.groupBy(*by).agg(F.count(miss).alias("n"), mse.alias("mse"), (1 - F.try_divide(mse, F.var_pop(label))).alias("r2"))
+    return scored.groupBy(*by).agg(F.count(miss).alias("n"), mse.alias("mse"), (1 - F.try_divide(mse, F.var_pop(F.when(miss.isNotNull(), number(label))))).alias("r2"))
 
 
 def metrics_report(scored: Mapping[str, DataFrame]) -> DataFrame:
@@ -74,7 +74,7 @@ def status_counts(df: DataFrame, status: str = "status_conclusao", group: str |
 def category_means(df: DataFrame, features: Sequence[str], value: str, side: str) -> DataFrame:
     """(side, feature, category, n, mean) for every category of every feature in one pass."""
     long = long_categories(df, features, [side, value]).filter(F.col(side).isNotNull())
-    return long.groupBy(side, "feature", "category").agg(F.count(value).alias("n"), F.avg(value).alias("mean"))
+    return long.groupBy(side, "feature", "category").agg(F.count(number(value)).alias("n"), F.avg(number(value)).alias("mean"))
 
 
 def bin_means(df: DataFrame, features: Sequence[str], value: str, side: str, bins: int = 10) -> DataFrame:

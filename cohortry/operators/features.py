@@ -213,15 +213,12 @@ def prepare_kprototypes(df: DataFrame, roles: ColumnRoles) -> tuple[DataFrame, P
     return model.transform(df), model
 
 
-def dummy_columns(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = (), max_categories: int = 50) -> DataFrame:
-    """Wide 0/1 columns named ``column_value``; a missing value is zero everywhere.
+def dummy_columns(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """Wide 0/1 columns named ``column_value``, one per value; a missing value is zero everywhere.
 
-    Only for columns within ``max_categories`` values: one column per value is made. The long form
-    (:func:`cohortry.operators.hypothesis.long_categories`) has no such limit.
+    The values become column names, so they are collected. For columns with very many values take the long form
+    (:func:`cohortry.operators.hypothesis.long_categories`), which has one row per value instead.
     """
-    kept = low_cardinality(df, columns, max_categories)
-    if set(kept) != set(columns):
-        raise ValueError(f"more than {max_categories} values: {sorted(set(columns) - set(kept))}")
     text = df.select(*keep, *[code_text(c).alias(c) for c in columns])
     values = text.agg(*[F.sort_array(F.collect_set(c)).alias(c) for c in columns]).first()
     flags = [

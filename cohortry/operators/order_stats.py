@@ -14,11 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from cohortry.functions.columns import null_if_nan
-from cohortry.session import local_table
+from cohortry.session import local_table, stored
 
 _SKETCH = 10_000  # accuracy of the quantile sketch: rank error at most rows / _SKETCH
-_MARGIN = 5 / _SKETCH  # half width of a bracket around a quantile, as a share of the rows
-_BRACKETED = 100_000  # smaller groups keep all their values: a bracket must span many ranks
+# half widths of a bracket around a quantile, as shares of a group's rows; the first that spans enough ranks is taken
+_MARGINS = (5 / _SKETCH, 10 * 5 / _SKETCH, 100 * 5 / _SKETCH, 1.0)
+_RANKS = 3
+_BROADCAST_BYTES = 64 << 20  # of a bracket table; larger ones are joined by a shuffle
 
 
 def long_values(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -27,6 +29,16 @@ def long_values(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ())
     return wide.unpivot(list(keep), list(columns), "feature", "value").filter(F.col("value").isNotNull())
 
 
+def _cuts_below(cuts, value, n: int):
+    """How many of ``n`` ascending cuts lie below the value: a binary search, one array access per halving."""
+    found, step = F.lit(0), 1 << max(0, n.bit_length() - 1)
+    while step:
+        tried = found + step
+        found = F.when((tried <= n) & (F.get(cuts, tried - 1) < value), tried).otherwise(found)
+        step //= 2
+    return found
+
+
 def with_counts_below(counts: DataFrame, keys: Sequence[str], value: str, n: str) -> DataFrame:
     """Add ``below`` (rows of the key with a smaller value) and ``key_rows`` to distinct (keys, value) counts."""
     keys = list(keys)
@@ -39,7 +51,7 @@ def with_counts_below(counts: DataFrame, keys: Sequence[str], value: str, n: str
         placed = (
             counts.withColumn("__cuts", cuts)
             # never null, or Spark would test the bucket for null on every input row ahead of the counting
-            .withColumn("__bucket", F.coalesce(F.size(F.filter("__cuts", lambda cut: cut < F.col(value))), F.lit(0)))
+            .withColumn("__bucket", F.coalesce(_cuts_below(F.col("__cuts"), F.col(value), buckets - 1), F.lit(0)))
             .drop("__cuts")
         )
     before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -75,27 +87,42 @@ def average_ranks(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFram
     return ranked.select(*by, value, "n", (F.col("below") + (F.col("n") + 1) / 2).alias("avg_rank"))
 
 
-def quantiles(
-    df: DataFrame,
-    columns: Sequence[str],
-    probs: Sequence[float],
-    by: Sequence[str] = (),
-    few_groups: bool = True,
-) -> DataFrame:
+def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """Exact interpolated quantiles: (by..., feature, n_rows, q), ``q`` in the (ascending) order of ``probs``.
 
-    Pass one sketches a bracket around every quantile, with a margin several times the sketch's error bound. Pass two
-    counts rows outside the brackets per gap and keeps single values only inside them, so a shuffle carries about
-    0.1 % of the rows per quantile (all values for groups below 100,000 rows). A quantile outside its bracket would stop
-    the query, never give a wrong value. Without ``by`` the brackets (one row per column) are found at once and enter
-    pass two as a local table. ``few_groups`` says that the groups in ``by`` are bounded (bins, clusters), which allows the
-    bracket table to be broadcast; otherwise Spark decides by measured size.
+    Pass one sketches a bracket around every quantile, several times as wide as the sketch's error bound and at least a
+    few ranks. Pass two counts rows outside the brackets per gap and keeps single values only inside them, so of large
+    groups a shuffle carries about 0.1 % of the rows per quantile. Where a bracket still misses its quantile, the group is
+    counted once more with all its values. The table of brackets is written out and broadcast only if it is small.
     """
     if list(probs) != sorted(probs):
         raise ValueError("probs must ascend")
     keys = [*by, "feature"]
-    edges = [e for p in probs for e in (max(0.0, p - _MARGIN), min(1.0, p + _MARGIN))]
-    everything = F.array(*[F.lit(float(x)) for _ in probs for x in ("-inf", "inf")])
+    rows = long_values(df.dropna("any", subset=list(by)) if by else df, columns, by)
+    edges = [e for p in probs for m in _MARGINS for e in (max(0.0, p - m), min(1.0, p + m))]
+    n, margin = F.count("value"), F.lit(len(_MARGINS) - 1)
+    for i in reversed(range(len(_MARGINS) - 1)):
+        margin = F.when(n * _MARGINS[i] >= _RANKS, i).otherwise(margin)
+    sketched = rows.groupBy(*keys).agg(F.percentile_approx("value", edges, _SKETCH).alias("__s"), margin.alias("__m"))
+    at = lambda i, side: F.get("__s", 2 * (i * len(_MARGINS) + F.col("__m")) + side)
+    brackets = sketched.select(*keys, F.array(*[at(i, side) for i in range(len(probs)) for side in (0, 1)]).alias("__e"))
+    if by:
+        brackets = stored(brackets, "brackets")
+        small = brackets.count() * (16 * len(probs) + 64 * len(keys)) <= _BROADCAST_BYTES
+    else:  # one row per column
+        found = [tuple(r) for r in brackets.collect()]
+        brackets, small = local_table(df.sparkSession, {"feature": pa.string(), "__e": pa.list_(pa.float64())}, found), True
+    done = stored(_inside_brackets(rows, F.broadcast(brackets) if small else brackets, keys, probs), "quantiles")
+    missed = F.exists("q", lambda v: v.isNull())
+    if done.filter(missed).isEmpty():
+        return done
+    whole = F.array(*[F.lit(float(x)) for _ in probs for x in ("-inf", "inf")]).alias("__e")
+    again = done.filter(missed).select(*keys, whole)
+    return done.filter(~missed).unionByName(_inside_brackets(rows.join(again.select(*keys), keys, "left_semi"), again, keys, probs))
+
+
+def _inside_brackets(rows: DataFrame, brackets: DataFrame, keys: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """Quantiles from (keys..., value) rows and a bracket per quantile; null where a quantile lies outside its bracket."""
 
     def inside_or_gap(v, e):
         """The value itself inside a bracket, else the end of the bracket below it."""
@@ -104,14 +131,7 @@ def quantiles(
             kept = F.when(v > e[2 * i + 1], e[2 * i + 1]).when(v >= e[2 * i], v).otherwise(kept)
         return kept
 
-    rows = long_values(df.dropna("any", subset=list(by)) if by else df, columns, by)
-    sketched = F.percentile_approx("value", edges, _SKETCH)
-    brackets = rows.groupBy(*keys).agg(F.when(F.count("value") < _BRACKETED, everything).otherwise(sketched).alias("__e"))
-    if not by:
-        found = [tuple(r) for r in brackets.collect()]
-        brackets = local_table(df.sparkSession, {"feature": pa.string(), "__e": pa.list_(pa.float64())}, found)
-    joined = rows.join(F.broadcast(brackets) if few_groups else brackets, keys)
-    kept_rows = joined.select(*keys, inside_or_gap(F.col("value"), F.col("__e")).alias("__kept"), "value")
+    kept_rows = rows.join(brackets, list(keys)).select(*keys, inside_or_gap(F.col("value"), F.col("__e")).alias("__kept"), "value")
     counts = (
         kept_rows.groupBy(*keys, F.col("__kept").alias("value"))
         .agg(F.count(F.lit(1)).alias("__n"), F.count_if(F.col("__kept") == F.col("value")).alias("__inside"))
@@ -131,15 +151,13 @@ def quantiles(
     for i, p in enumerate(probs):
         at = (F.col("n_rows") - 1) * F.lit(float(p))
         lo, hi = F.col(f"__lo{i}"), F.col(f"__hi{i}")
-        between = lo + (hi - lo) * (at - F.floor(at))
-        missed = F.raise_error(F.lit(f"quantile {p} lies outside its sketched bracket")).cast("double")
-        q.append(F.when(between.isNotNull(), between).otherwise(missed))
+        q.append(lo + (hi - lo) * (at - F.floor(at)))
     return found.select(*keys, "n_rows", F.array(*q).alias("q"))
 
 
-def medians(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), few_groups: bool = True) -> DataFrame:
+def medians(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Exact medians, one row per group and one column per input column."""
-    long = quantiles(df, columns, [0.5], by, few_groups)
+    long = quantiles(df, columns, [0.5], by)
     return long.groupBy(*by).agg(*[F.max(F.when(F.col("feature") == c, F.col("q")[0])).alias(c) for c in columns])
 
 

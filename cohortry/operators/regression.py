@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import warnings
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
@@ -16,10 +17,9 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, functions as F
 
-from cohortry.session import cached
+from cohortry.session import FIT_PARTITIONS, cached, laid_out
 
-MAX_DEPTH = 30  # Spark's limit; an unlimited or deeper tree is cut there
-_NORMAL_SOLVER_FEATURES = 4096
+MAX_DEPTH = 30  # Spark's limit
 
 # Default forest parameters per group.
 FOREST_DEFAULTS = {
@@ -32,8 +32,12 @@ _IGNORED = {"criterion", "n_jobs", "random_state", "verbose", "solver"}
 NO_COUNTERPART = {"min_samples_split": 2, "num_leaves": None, "reg_alpha": 0.0, "reg_lambda": 0.0}
 
 
-def _depth(value, unlimited=(None, -1)) -> int:
-    return MAX_DEPTH if value in unlimited else min(int(value), MAX_DEPTH)
+def _depth(value) -> int:
+    """Spark's depth; unlimited or deeper trees stop at its limit, and a warning says so."""
+    if value in (None, -1) or int(value) > MAX_DEPTH:
+        warnings.warn(f"max_depth={value}: Spark's trees stop at depth {MAX_DEPTH}", stacklevel=4)
+        return MAX_DEPTH
+    return int(value)
 
 
 def _translate(params: Mapping, table: Mapping[str, Callable], refused: Mapping[str, object] = {}) -> dict:
@@ -101,28 +105,29 @@ class Ridge(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, DefaultPar
     """Least squares plus ``alpha * |w|^2`` in raw units.
 
     Spark divides the loss by the rows and rescales the penalty by the label's deviation; both are taken from the rows
-    of each fit, so the penalty is also right inside a cross-validation fold.
+    of each fit, so the penalty is also right inside a cross-validation fold. ``solver`` is ``normal`` (one pass, at most
+    4,096 features) or ``l-bfgs`` (any number).
     """
 
     alpha = Param(Params._dummy(), "alpha", "weight of the penalty", TypeConverters.toFloat)
+    solver = Param(Params._dummy(), "solver", "normal or l-bfgs", TypeConverters.toString)
 
     @keyword_only
-    def __init__(self, *, featuresCol="features", labelCol="label", predictionCol="prediction", alpha=1.0):
+    def __init__(self, *, featuresCol="features", labelCol="label", predictionCol="prediction", alpha=1.0, solver="normal"):
         super().__init__()
-        self._setDefault(alpha=1.0)
+        self._setDefault(alpha=1.0, solver="normal")
         self._set(**self._input_kwargs)
 
     def _fit(self, df):
         features, label = self.getFeaturesCol(), self.getLabelCol()
-        slots = df.schema[features].metadata.get("ml_attr", {}).get("num_attrs")
-        normal = (slots or len(df.select(features).first()[0])) <= _NORMAL_SOLVER_FEATURES
+        normal = self.getOrDefault(self.solver) == "normal"
         n, sigma = df.agg(F.count(label), (F.stddev_pop if normal else F.stddev_samp)(label)).first()
         fitter = LinearRegression(
             featuresCol=features,
             labelCol=label,
             predictionCol=self.getPredictionCol(),
             elasticNetParam=0.0,
-            solver="normal" if normal else "l-bfgs",
+            solver=self.getOrDefault(self.solver),
             regParam=self.getOrDefault(self.alpha) / n * sigma,
             standardization=False,
             maxIter=500,
@@ -334,10 +339,10 @@ def spark_params(family: str, params: Mapping) -> dict:
     return {k: v for k, v in params.items() if k not in _IGNORED}
 
 
-def fit_cached(estimator: Estimator, train: DataFrame):
-    """Fit on the training columns alone, held for the passes of the fit only."""
+def fit_cached(estimator: Estimator, train: DataFrame, partitions: int = FIT_PARTITIONS):
+    """Fit on the training columns alone, held for the passes of the fit only, in a layout fixed by the rows themselves."""
     columns = [c for c in ("features", "label", "fold") if c in train.columns]
-    with cached(train.select(*columns)) as rows:
+    with cached(laid_out(train, partitions).select(*columns)) as rows:
         return estimator.fit(rows)
 
 

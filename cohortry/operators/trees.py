@@ -8,8 +8,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from cohortry.session import shared_dir
 
-_PATH_NODES = 1 << 16  # rule tables are for shallow trees
-
 
 def node_table(spark, model) -> DataFrame:
     """(tree, id, prediction, stats, n, left, right, slot, threshold, flipped) of every node of a tree or forest."""
@@ -63,9 +61,7 @@ def leaf_paths(nodes: dict[int, dict]) -> list[tuple[dict, list[tuple[int, float
 
 
 def tree_paths(spark, model, names: list[str]) -> DataFrame:
-    """(leaf, rule, cluster, n_rows, purity) of one classification tree."""
-    if model.numNodes > _PATH_NODES:
-        raise ValueError(f"a rule table is for shallow trees, this one has {model.numNodes} nodes")
+    """(leaf, rule, cluster, n_rows, purity) of one classification tree (a model's size, not the data's)."""
     rows = []
     for leaf, path in leaf_paths(load_trees(spark, model)[0]):
         tests = [f"{names[slot]} {'<=' if below else '>'} {threshold:.6g}" for slot, threshold, below, _ in path]

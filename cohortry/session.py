@@ -9,7 +9,9 @@ from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+_OWN_FOLDERS: dict[str, str] = {}  # by application, where no shared folder is named
 
 
 def build_session(app: str = "cohortry", **conf: str) -> SparkSession:
@@ -33,15 +35,24 @@ def build_session(app: str = "cohortry", **conf: str) -> SparkSession:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh path under the folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests on one machine) a temporary folder is chosen and kept for the session.
+    Where that is unset, a session on this machine alone (tests) gets a temporary folder of its own; on a cluster that
+    folder would be out of reach of the others, so the setting is required there.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
-        base = tempfile.mkdtemp(prefix="cohortry-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if spark.conf.get("spark.master", "").split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _OWN_FOLDERS.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="cohortry-"))
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows written to the shared folder and read back, which cuts the lineage and survives lost executors."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def local_table(spark: SparkSession, schema: dict[str, pa.DataType], rows: list[tuple]) -> DataFrame:
     """A few rows known to the driver, as a relation inside the plan (no job, no Python rows)."""
     columns = list(zip(*rows)) if rows else [[] for _ in schema]
@@ -49,31 +60,26 @@ def local_table(spark: SparkSession, schema: dict[str, pa.DataType], rows: list[
     return spark.createDataFrame(pa.table(arrays, names=list(schema)))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a scan out when it has fewer partitions than the cluster has cores.
+#: Partitions of what a fit reads. It is part of a fit's outcome (rows are drawn per partition), so it never follows
+#: from the cluster; give more of them for larger tables.
+FIT_PARTITIONS = 32
+
 
-    Meant for a scan ahead of costly per-row work: a small file with one row group would keep a single core busy. A scan
-    of many files or row groups is left alone, so large input is never shuffled for this.
+def laid_out(df: DataFrame, partitions: int = FIT_PARTITIONS) -> DataFrame:
+    """The same rows in a layout that depends on them alone: dealt by a hash of all columns and sorted by it.
+
+    Fits that draw rows per partition then give the same model whatever the files, cores or executors. Rows that are
+    equal in every column share a partition; keep a row key among the columns where many rows are.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    return df.withColumn("__row", row).repartition(partitions, "__row").sortWithinPartitions("__row").drop("__row")
 
 
 @contextmanager
 def cached(df: DataFrame) -> Iterator[DataFrame]:
-    """The frame persisted (memory, then disk) for several passes, and released afterwards.
-
-    Lost blocks are computed again from their source. Input with fewer partitions than the cluster has cores is dealt
-    out once, so that every pass can use them all; larger input keeps its partitions and is not shuffled.
-    """
+    """The frame persisted (memory, then disk) for several passes, and released afterwards; lost blocks are computed again."""
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    spread = None
     try:
-        if kept.rdd.getNumPartitions() < cores:
-            spread = kept.repartition(cores).persist(StorageLevel.MEMORY_AND_DISK)
-        yield kept if spread is None else spread
+        yield kept
     finally:
-        if spread is not None:
-            spread.unpersist()
         kept.unpersist()

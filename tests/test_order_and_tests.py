@@ -23,15 +23,16 @@ def skewed(spark, n=4000, seed=1):
     return rows, spark.createDataFrame(rows, "k string, x double, side string")
 
 
-def test_quantiles_equal_numpy(spark):
+def test_quantiles_equal_numpy(spark, monkeypatch):
     rows, df = skewed(spark)
     probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
     want = np.quantile([x for _, x, _ in rows if x is not None], probs)
     for parts in (1, 9):
         got = O.quantiles(df.repartition(parts), ["x"], probs).first()
         np.testing.assert_allclose(got.q, want, rtol=1e-12)
-    for few in (True, False):
-        by_key = {r.k: r.q for r in O.quantiles(df, ["x"], probs, ["k"], few_groups=few).collect()}
+    for bound in (O._BROADCAST_BYTES, 0):
+        monkeypatch.setattr(O, "_BROADCAST_BYTES", bound)
+        by_key = {r.k: r.q for r in O.quantiles(df, ["x"], probs, ["k"]).collect()}
         for k in {k for k, _, _ in rows}:
             np.testing.assert_allclose(by_key[k], np.quantile([x for kk, x, _ in rows if kk == k and x is not None], probs), rtol=1e-12)
 
@@ -44,6 +45,22 @@ def test_quantiles_with_many_distinct_values(spark):
     np.testing.assert_allclose(O.quantiles(df, ["x"], probs).first().q, np.quantile(x, probs), rtol=1e-12)
 
 
+def test_missed_brackets_are_counted_again(spark, monkeypatch):
+    """Brackets that are far too narrow give the same quantiles by a second count."""
+    monkeypatch.setattr(O, "_MARGINS", (0.0,))
+    monkeypatch.setattr(O, "_SKETCH", 20)
+    x = np.random.RandomState(5).standard_normal(5000)
+    df = spark.createDataFrame([(int(i % 3), float(v)) for i, v in enumerate(x)], "k int, x double")
+    for r in O.quantiles(df, ["x"], [0.1, 0.5, 0.9], ["k"]).collect():
+        np.testing.assert_allclose(r.q, np.quantile(x[r.k :: 3], [0.1, 0.5, 0.9]), rtol=1e-12)
+
+
+def test_medians_of_many_groups(spark):
+    df = spark.range(300_000).selectExpr("id % 100000 AS k", "CAST(id AS double) AS x")
+    wrong = O.medians(df, ["x"], ["k"]).filter("x <> k + 100000")
+    assert wrong.isEmpty()
+
+
 def test_empty_and_missing_columns(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 3.0)], "x double, y double")
     row = O.medians(df, ["x", "y"]).first()

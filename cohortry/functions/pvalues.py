@@ -77,12 +77,17 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
     return h
 
 
+_LARGE_DOF = 1e6  # beyond it the expansion errs by less than 1e-8 of the tail
+
+
 def student_two_sided(t: float, df: float) -> float:
     """Two-sided tail of Student's t."""
     if math.isnan(t) or math.isnan(df):
         return math.nan
     if math.isinf(t):
         return 0.0
+    if df > _LARGE_DOF:  # next to the normal limit; the fraction below would lose digits
+        return math.erfc(abs(t) * (1 - 1 / (4 * df)) / math.sqrt(2 * (1 + t * t / (2 * df))))
     x, a, b = df / (df + t * t), df / 2, 0.5
     if x in (0.0, 1.0):
         return float(x)

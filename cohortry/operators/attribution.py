@@ -135,8 +135,11 @@ def permutation_attributions(
 
     Every permutation starts from its own background row and replaces one column after another by the row's own value. The
     values of a row sum to its prediction minus the mean prediction of the background rows. All variants of a row are
-    made by one explode in the row's task and scored in one ``transform``; ``keys`` must identify rows.
+    made by one explode in the row's task and scored in one ``transform``; ``keys`` must identify rows, or a ValueError
+    is raised.
     """
+    if not df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        raise ValueError(f"{list(keys)} do not identify the rows")
     p, m = len(features), permutations
     background = sample_rows(df.select(*features, *[k for k in keys if k not in features]), m, keys, seed).collect()
     draw = np.random.RandomState(seed)

@@ -12,6 +12,12 @@ from cohortry.functions.columns import decimal_comma, null_if_nan, to_double, to
 LATIN1 = "ISO-8859-1"
 
 
+def files_of(spark: SparkSession, path: str | Sequence[str]) -> list[str]:
+    """The files of a path, glob or list that hold anything, in name order (one listing, no content)."""
+    found = spark.read.format("binaryFile").load(path).filter("length > 0").select("path")
+    return sorted(r["path"] for r in found.collect())
+
+
 def read_delimited(
     spark: SparkSession,
     path: str | Sequence[str],
@@ -21,26 +27,29 @@ def read_delimited(
 ) -> DataFrame:
     """Scan ``path`` (a glob or a list) and keep the declared columns, each cast without raising.
 
-    Columns are found by header name, so files may hold more of them; files of one scan must agree on the header,
-    and Spark stops the scan when one does not. ``columns`` maps a name to ``string``, ``double``, ``bigint`` or ``int``.
+    Columns are found by header name in every file, so files may order them differently and hold others besides; a
+    file that lacks one stops the scan. ``columns`` maps a name to ``string``, ``double``, ``bigint`` or ``int``.
     """
-    raw = (
-        spark.read.option("header", True)
-        .option("sep", sep)
-        .option("encoding", encoding)
-        .option("enforceSchema", False)
-        .csv(path)
-    )
-    missing = [c for c in columns if c not in raw.columns]
-    if missing:
-        raise ValueError(f"{path} lacks the columns {missing}")
+    options = {"header": True, "sep": sep, "encoding": encoding, "enforceSchema": False}
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for file in files_of(spark, path):  # only each file's first line is read here
+        by_header.setdefault(tuple(spark.read.options(**options).csv(file).columns), []).append(file)
+    parts = []
+    for header, files in by_header.items():
+        missing = [c for c in columns if c not in header]
+        if missing:
+            raise ValueError(f"{files[0]} lacks the columns {missing}")
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
+        parts.append(spark.read.options(**options).schema(schema).csv(files))
+    if not parts:
+        raise ValueError(f"no files at {path}")
     casts = {
         "string": lambda c: F.col(c),
         "double": to_double,
         "bigint": to_long,
         "int": lambda c: to_long(c).cast("int"),
     }
-    return raw.select(*[casts[kind](f"`{name}`").alias(name) for name, kind in columns.items()])
+    return reduce(DataFrame.unionByName, [p.select(*[casts[kind](f"`{name}`").alias(name) for name, kind in columns.items()]) for p in parts])
 
 
 def write_report(df: DataFrame, path: str, sep: str = ",") -> None:
@@ -68,40 +77,40 @@ def read_locale_report(spark: SparkSession, path: str, columns: Mapping[str, str
     return text.select(*[pick[kind](f"`{c}`").alias(c) for c, kind in columns.items()])
 
 
-def header_report(spark: SparkSession, expected: Mapping[str, tuple[str, Sequence[str]]]) -> DataFrame:
-    """One row per named source: delimiter, columns found, and expected columns that are missing.
+def header_report(spark: SparkSession, expected: Mapping[str, tuple[str, Sequence[str]]], encoding: str = LATIN1) -> DataFrame:
+    """One row per file of every named source: delimiter, columns found, and expected columns that are missing.
 
-    ``expected`` maps a name to (path, column names). Only the first line of a source is read; a path that does not
-    exist is reported with ``exists = false``.
+    ``expected`` maps a name to (path, column names). Only first lines are read. The delimiter is the one of ``;`` and
+    ``,`` that the line holds more of, and alone splits it. A path without files is one row with ``exists = false``.
     """
     rows = []
     for name, (path, columns) in expected.items():
-        wanted = F.array(*[F.lit(c) for c in columns])
         try:
-            line = (
-                spark.read.text(path)
-                .filter(F.col("_metadata.file_block_start") == 0)
-                .limit(1)
-                .select(F.col("value").alias("line"))
-            )
+            files = files_of(spark, path)
         except Exception as error:  # the analyser reports a missing path
             if "PATH_NOT_FOUND" not in str(error):
                 raise
-            line = spark.range(1).select(F.lit(None).cast("string").alias("line"))
-        semicolons = F.length("line") - F.length(F.translate("line", ";", ""))
-        commas = F.length("line") - F.length(F.translate("line", ",", ""))
-        sep = F.when(semicolons > commas, ";").when(F.col("line").isNotNull(), ",")
-        found = F.transform(F.split("line", "[;,]"), lambda c: F.trim(F.translate(c, '"﻿', "")))
-        rows.append(
-            line.select(F.lit(name).alias("source"), F.col("line").isNotNull().alias("exists"), sep.alias("delimiter"), found.alias("columns"))
-            .withColumn("missing", F.array_except(wanted, F.coalesce("columns", F.array().cast("array<string>"))))
-            .withColumn("n_columns", F.when(F.col("exists"), F.size("columns")))
-        )
-    return reduce(DataFrame.unionByName, rows)
+            files = []
+        for file in files or [None]:
+            line = None
+            if file is not None:
+                line = spark.read.option("encoding", encoding).option("sep", "\x01").option("quote", "").csv(file).first()[0] or ""
+            sep = None if line is None else ";" if line.count(";") > line.count(",") else ","
+            # a byte-order mark shows as itself or as its latin1 reading
+            found = None if line is None else [c.strip().strip('"').removeprefix("\ufeff").removeprefix("ï»¿").strip('"') for c in line.split(sep)]
+            missing = [c for c in columns if c not in (found or ())]
+            rows.append((name, file, line is not None, sep, found, missing, len(found) if found is not None else None))
+    return spark.createDataFrame(
+        rows, "source string, file string, exists boolean, delimiter string, columns array<string>, missing array<string>, n_columns int"
+    )
 
 
 def clean_nan(df: DataFrame) -> DataFrame:
     """NaN becomes null in every floating-point column (done once, at ingestion)."""
     return df.withColumns(
-        {f.name: null_if_nan(f"`{f.name}`") for f in df.schema.fields if isinstance(f.dataType, T.DoubleType)}
+        {
+            f.name: null_if_nan(f"`{f.name}`").cast(f.dataType)
+            for f in df.schema.fields
+            if isinstance(f.dataType, (T.DoubleType, T.FloatType))
+        }
     )

@@ -23,7 +23,7 @@ from cohortry.operators.reshape import stack
 from cohortry.plans.study import compare_cluster_counts, policy_report, run_study, study_reports
 from cohortry.roles import ColumnRoles
 from cohortry.session import shared_dir
-from cohortry.sources.stores import load_model_with_features, save_model
+from cohortry.sources.stores import load_model_with_features, params_frame, read_params, save_model, write_params
 
 KEYS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
 TARGETED = ColumnRoles(("l_quantity", "l_discount", "l_tax"), tuple(CATEGORICAL), "l_extendedprice", KEYS)
@@ -439,6 +439,21 @@ def _(spark, sf):
     return G.search_groups(prepared, "Ridge", "grid", candidates=G.grid_candidates({"alpha": [0.1, 1.0, 10.0]}), folds=3)[1]
 
 
+@query(
+    "g05_tuned_parameters_per_group",
+    """SELECT 'F' AS grp, CAST(10.0 AS DOUBLE) AS alpha, count(*) > 0 AS scored FROM orders WHERE o_orderstatus = 'F'
+       UNION ALL SELECT 'O', CAST(0.5 AS DOUBLE), count(*) > 0 FROM orders WHERE o_orderstatus = 'O'""",
+)
+def _(spark, sf):
+    """Stored per group, read back, and the model that a group's study fits."""
+    path = shared_dir(spark, "tuned")
+    write_params(params_frame(spark, [("Ridge", "F", {"alpha": 10.0}), ("Ridge", "O", {"alpha": 0.5}), ("SVR", "O", {"C": 2.0})]), path)
+    roles = ColumnRoles(("l_quantity", "l_discount", "l_tax"), ("l_returnflag",), "l_extendedprice", KEYS)
+    studies = run_study(_columns(spark, sf), ["F", "O"], roles, "o_orderstatus", family="Ridge", params={"alpha": 1.0}, tuned=path)
+    found = [(g, float(read_params(spark, path, "Ridge", g)["alpha"]), s.scored.filter("prediction IS NOT NULL").count() > 0) for g, s in studies.items()]
+    return spark.createDataFrame(found, "grp string, alpha double, scored boolean")
+
+
 @query("g02_random_search")
 def _(spark, sf):
     return G.search_groups({"all": _made(spark, sf)}, "Ridge", "random", n_iter=3)[1]

@@ -29,7 +29,7 @@ FOREST_DEFAULTS = {
 # Parameters that name an engine detail with no meaning here.
 _IGNORED = {"criterion", "n_jobs", "random_state", "verbose", "solver"}
 # Parameters of other tree libraries without a counterpart, and the value at which they do nothing.
-NO_COUNTERPART = {"min_samples_split": 2, "num_leaves": None, "reg_alpha": 0.0, "reg_lambda": 0.0}
+NO_COUNTERPART = {"reg_alpha": 0.0, "reg_lambda": 0.0}
 
 
 def _depth(value) -> int:
@@ -40,6 +40,25 @@ def _depth(value) -> int:
     return int(value)
 
 
+def _tree_limits(params: Mapping) -> dict:
+    """The parameters with those rewritten that Spark states otherwise.
+
+    ``num_leaves`` bounds the depth: trees grow by level here, and the least depth with room for so many leaves is taken
+    where ``max_depth`` is unlimited or larger. ``min_samples_split`` bounds the rows of a child: half as many on either side
+    can only come from a node of that size (a node may also stay whole that the other rule would have split unevenly).
+    """
+    out = dict(params)
+    leaves, split = out.pop("num_leaves", None), out.pop("min_samples_split", None)
+    if leaves is not None:
+        room = max(1, (int(leaves) - 1).bit_length())
+        depth = out.get("max_depth")
+        out["max_depth"] = room if depth in (None, -1) else min(int(depth), room)
+    if split is not None:
+        least = next((n for n in ("min_samples_leaf", "min_child_samples") if n in out), "min_samples_leaf")
+        out[least] = max(int(out.get(least, 1)), -(-int(split) // 2))
+    return out
+
+
 def _translate(params: Mapping, table: Mapping[str, Callable], refused: Mapping[str, object] = {}) -> dict:
     """Spark names for the given parameters; unknown ones raise, ``refused`` ones only at a value that matters."""
     out = {}
@@ -70,7 +89,7 @@ def forest_params(params: Mapping) -> dict:
         "min_samples_leaf": ("minInstancesPerNode", int),
         "bootstrap": ("bootstrap", bool),
     }
-    return {"numTrees": 100, **_translate(params, table, NO_COUNTERPART)}
+    return {"numTrees": 100, **_translate(_tree_limits(params), table, NO_COUNTERPART)}
 
 
 def forest(params: Mapping | None = None, group: str = "publica", seed: int = 42) -> RandomForestRegressor:
@@ -88,7 +107,7 @@ def boosting_params(params: Mapping) -> dict:
         "min_samples_leaf": ("minInstancesPerNode", int),
         "min_child_samples": ("minInstancesPerNode", int),
     }
-    return _translate(params, table, NO_COUNTERPART)
+    return _translate(_tree_limits(params), table, NO_COUNTERPART)
 
 
 def boosting(params: Mapping | None = None, seed: int = 42) -> GBTRegressor:

@@ -62,7 +62,7 @@ def local_table(spark: SparkSession, schema: dict[str, pa.DataType], rows: list[
 
 #: Partitions of what a fit reads. It is part of a fit's outcome (rows are drawn per partition), so it never follows
 #: from the cluster; give more of them for larger tables.
-FIT_PARTITIONS = 32
+FIT_PARTITIONS = 16
 
 
 def laid_out(df: DataFrame, partitions: int = FIT_PARTITIONS) -> DataFrame:

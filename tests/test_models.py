@@ -111,10 +111,13 @@ def test_parameter_names():
     forest = M.forest({"max_depth": None, "max_features": 0.5, "min_samples_leaf": 3, "min_samples_split": 2, "criterion": "squared_error"})
     assert (forest.getNumTrees(), forest.getMaxDepth(), forest.getFeatureSubsetStrategy(), forest.getMinInstancesPerNode()) == (100, 30, "0.5", 3)
     assert M.forest(None, "privada").getNumTrees() == 600
+    assert M.forest({"min_samples_split": 5, "min_samples_leaf": 2}).getMinInstancesPerNode() == 3
+    for leaves, depth, want in ((70, -1, 7), (31, -1, 5), (31, 3, 3), (64, 10, 6)):
+        assert M.histogram_boosting({"num_leaves": leaves, "max_depth": depth}).getMaxDepth() == want
+    with pytest.warns(UserWarning):
+        assert M.forest({"max_depth": 100}).getMaxDepth() == 30
     with pytest.raises(ValueError):
-        M.forest({"min_samples_split": 5})
-    with pytest.raises(ValueError):
-        M.histogram_boosting({"num_leaves": 31})
+        M.histogram_boosting({"reg_alpha": 0.5})
     with pytest.raises(ValueError):
         M.forest({"no_such": 1})
 
@@ -174,8 +177,7 @@ def test_search_with_encoding_inside_folds(prepared):
 
 def test_candidates():
     assert len(G.grid_candidates(G.GRIDS["SVR"])) == 12
-    with pytest.warns(UserWarning):
-        assert len(G.grid_candidates(G.GRIDS["RandomForest"])) == 12  # 24 without the parameter Spark lacks
+    assert len(G.grid_candidates(G.GRIDS["RandomForest"])) == 24
     a, b = (G.random_candidates(G.RANGES["SVR"], 5, seed=s) for s in (1, 1))
     assert a == b and all(0.1 <= c["C"] <= 10.1 for c in a)
 

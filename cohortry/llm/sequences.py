@@ -15,12 +15,13 @@ The shared folder must be one that pyarrow can write to (a mounted path, HDFS wi
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import sys
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -40,6 +41,10 @@ _SLICE = 4 << 20  # text bytes encoded together
 _UNSURE = r"\t\n\v\f\r\x1c-\x20\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
 _UNSURE_SPACE = re.compile(f" (?:[{_UNSURE}]|$)")
 _LINE = re.compile(r"(?<=[!-~])\n(?=[!-~])")
+_LATIN = "\u0250"  # below it, letters are letters to every version of the Unicode tables
+#: How byte-level vocabularies write bytes: visible ones of latin1 as themselves, the others as characters from U+0100 on.
+_PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_SHOWN = {b: chr(b) for b in _PLAIN} | {b: chr(0x100 + i) for i, b in enumerate(sorted(set(range(256)) - set(_PLAIN)))}
 # ASCII signs without the apostrophe, which may begin a word part of its own
 _SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -72,6 +77,11 @@ class TextEncoder:
         self.tokenizer = Tokenizer.from_str(tokenizer)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        layout = json.loads(tokenizer)
+        split = layout.get("pre_tokenizer") or {}
+        #: a word of letters is one unit of the byte-level pattern, so the library's merges can be asked for it directly
+        self.by_word = layout.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex", True)
+        self.by_word = self.by_word and not split.get("add_prefix_space", False)
         self.spaced = _Held()  # ids of a segment behind its space, by what follows the space
         self.bare: dict[str, bytes] = {}  # of others
 
@@ -96,10 +106,20 @@ class TextEncoder:
             return text.split(" ")
         return re.split(f" (?=[^{_UNSURE}])", text)
 
-    def _encode_bare(self, parts: set[str]) -> None:
-        found = list(parts.difference(self.bare))
-        for part, encoding in zip(found, self.tokenizer.encode_batch_fast(found, add_special_tokens=False)):
-            self.bare[part] = array(self.kind, encoding.ids).tobytes()
+    def _encode_parts(self, parts: Iterable[str], ahead: str, into: dict[str, bytes]) -> None:
+        """Ids of every part behind ``ahead`` (a space or nothing) that is not held yet, from the library."""
+        kind, tokenize, others = self.kind, self.tokenizer.model.tokenize, []
+        shown = "".join(map(_SHOWN.__getitem__, ahead.encode()))
+        for part in parts:
+            if part in into:
+                continue
+            if self.by_word and part.isalpha() and max(part) < _LATIN:
+                word = part if part.isascii() else part.encode().decode("latin-1").translate(_SHOWN)
+                into[part] = array(kind, [t.id for t in tokenize(shown + word)]).tobytes()
+            else:
+                others.append(part)
+        for part, encoding in zip(others, self.tokenizer.encode_batch_fast([ahead + p for p in others], add_special_tokens=False)):
+            into[part] = array(kind, encoding.ids).tobytes()
 
     def _learn(self, new: set[str]) -> None:
         """Find the ids of segments behind a space.
@@ -123,10 +143,8 @@ class TextEncoder:
                 signs.add(pairs[-1][2])
             else:
                 words.add(segment)
-        self._encode_bare(signs | {"\n"})
-        found = list(words.difference(spaced))
-        for word, encoding in zip(found, self.tokenizer.encode_batch_fast([" " + w for w in found], add_special_tokens=False)):
-            spaced[word] = array(self.kind, encoding.ids).tobytes()
+        self._encode_parts(signs | {"\n"}, "", self.bare)
+        self._encode_parts(words, " ", spaced)
         bare = self.bare
         for segment, word, tail in pairs:
             passing[segment] = spaced[word] + bare[tail]
@@ -145,7 +163,7 @@ class TextEncoder:
         new = set(chain.from_iterable(keys)).difference(self.spaced)
         new.discard("")
         self._learn(new)
-        self._encode_bare(set(first))
+        self._encode_parts(set(first), "", self.bare)
         self.spaced[""] = b""
         found = self.spaced.__getitem__
         return [self.bare[f] + b"".join(map(found, k)) for f, k in zip(first, keys)]

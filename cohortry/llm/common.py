@@ -98,6 +98,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit:
             stop = max(begin + 1, int(np.searchsorted(ends, done + limit, side="right")))
             yield batch.slice(begin, stop - begin)
             begin = stop
+        pa.default_memory_pool().release_unused()  # Python workers live on between tasks
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:

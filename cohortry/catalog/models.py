@@ -551,6 +551,30 @@ def _(spark, sf):
     return rounded(W.impact_by_feature(_scenarios(spark, sf), ["l_returnflag", "faixa"]), 4)
 
 
+@query(
+    "e06_scenarios_by_group",
+    """WITH m AS (SELECT l_linestatus, l_returnflag, avg(l_quantity) AS y FROM lineitem GROUP BY 1, 2),
+       g AS (SELECT f.flag AS l_returnflag, s.grupo, s.code, b.faixa, b.v, c.cluster FROM (SELECT DISTINCT l_returnflag AS flag FROM lineitem) f,
+         (VALUES ('first', 'F', 3), ('second', 'O', 2)) s(grupo, code, k), (VALUES (1, 0.5), (5, 4.5)) b(faixa, v), (SELECT unnest(range(3)) AS cluster) c WHERE c.cluster < s.k)
+       SELECT grupo, g.l_returnflag, faixa, CAST(cluster AS INTEGER) AS cluster, round(y * CAST(v AS DOUBLE) + cluster, 2) AS previsao_anos FROM g JOIN m ON m.l_linestatus = g.code AND m.l_returnflag = g.l_returnflag""",
+)
+def _(spark, sf):
+    """Two groups, each with its code, its clusters and its own scoring."""
+    rows = table(spark, sf, "lineitem")
+    means = rows.groupBy("l_linestatus", "l_returnflag").agg(F.avg("l_quantity").alias("y"))
+
+    def scorer(code):
+        own = means.filter(F.col("l_linestatus") == code).drop("l_linestatus")
+        return lambda grid: grid.join(own, "l_returnflag").withColumn("prediction", F.col("y") * F.col("v") + F.col("cluster"))
+
+    flags = [r[0] for r in rows.select("l_returnflag").distinct().collect()]
+    out = W.scenarios_by_group(
+        spark, {"l_returnflag": flags}, {"first": scorer("F"), "second": scorer("O")}, "ideal", "code", {"first": "F", "second": "O"},
+        ("faixa", "v", {1: 0.5, 5: 4.5}), {"first": [0, 1, 2], "second": [0, 1]}, {"ideal": 4.0}, prediction_is_ratio=False,
+    )
+    return out.select("grupo", "l_returnflag", "faixa", "cluster", "previsao_anos")
+
+
 @query("e06_scenarios_with_model")
 def _(spark, sf):
     made = _made(spark, sf, ColumnRoles(("l_quantity", "l_discount"), ("l_returnflag", "l_linestatus"), "ratio", KEYS))

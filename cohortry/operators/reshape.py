@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from math import prod
 
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -24,9 +25,14 @@ def expand_values(df: DataFrame, values: Mapping[str, Sequence]) -> DataFrame:
 
 
 def value_grid(spark, values: Mapping[str, Sequence]) -> DataFrame:
-    """The cartesian product of the lists alone."""
-    seed = spark.range(1).select(F.lit(0).alias("__seed"))
-    return expand_values(seed, values).drop("__seed")
+    """The cartesian product of the lists alone: every number of a range is read as one place per list, so that tasks share the grid."""
+    places, stride = {}, prod(len(items) for items in values.values())
+    grid = spark.range(stride)
+    for name, items in values.items():
+        stride //= max(1, len(items))
+        at = F.expr(f"CAST((id div {max(1, stride)}) % {max(1, len(items))} AS INT)")
+        places[name] = F.get(F.array(*[F.lit(v) for v in items]), at)
+    return grid.select(*[c.alias(name) for name, c in places.items()])
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], newest: str, tie_break: Sequence[str] = ()) -> DataFrame:

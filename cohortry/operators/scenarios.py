@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from cohortry.functions.columns import code_text, label_map, status_strict
 from cohortry.operators.aggregates import count_by, mean_with_interval
-from cohortry.operators.reshape import expand_values, stack, value_grid
+from cohortry.operators.reshape import stack, value_grid
 
 # The profile of the published scenario study.
 SCENARIO_LABELS = {
@@ -56,12 +56,15 @@ def scenario_grid(
 
     ``band`` is (band column, value column, {band: value}).
     """
-    grid = value_grid(spark, values)
+    lists = dict(values)
     if band:
-        name, target, table = band
-        grid = expand_values(grid, {name: list(table)}).withColumn(target, label_map(name, table).cast("double"))
+        lists[band[0]] = list(band[2])
     if clusters:
-        grid = expand_values(grid, {"cluster": list(clusters)})
+        lists["cluster"] = list(clusters)
+    grid = value_grid(spark, lists)
+    if band:
+        name, target, table = band
+        grid = grid.withColumn(target, label_map(name, table).cast("double"))
     return grid.withColumns({c: F.lit(v) for c, v in defaults.items()})
 
 
@@ -93,6 +96,26 @@ def score_scenarios(
     )
 
 
+def scenarios_by_group(
+    spark,
+    values: Mapping[str, Sequence],
+    scorers: Mapping[str, Callable[[DataFrame], DataFrame]],
+    ideal: Column | str,
+    code: str,
+    codes: Mapping[str, object] = SCENARIO_GROUP_CODES,
+    band: tuple[str, str, Mapping] | None = None,
+    clusters: Mapping[str, Sequence[int]] = {},
+    defaults: Mapping[str, object] = {},
+    prediction_is_ratio: bool = True,
+) -> DataFrame:
+    """The grid of every group, with the group's code and its own clusters, scored by the group's own model, stacked."""
+    parts = []
+    for group, score in scorers.items():
+        grid = scenario_grid(spark, values, band, clusters.get(group, ()), {**defaults, code: codes[group]})
+        parts.append(score_scenarios(grid, score, ideal, group, prediction_is_ratio))
+    return stack(parts)
+
+
 def scenario_report(scored: DataFrame, labels: Mapping[str, Mapping] = SCENARIO_LABELS, titles: Mapping[str, str] = SCENARIO_TITLES, band: str = "faixa") -> DataFrame:
     """The published column names."""
     return scored.select(

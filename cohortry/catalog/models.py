@@ -236,7 +236,7 @@ def _(spark, sf):
 @query("c05_k_sweep")
 def _(spark, sf):
     estimator = K.KPrototypes(numericCols=NUMERIC, categoricalCols=CATEGORICAL, nInit=1, maxIter=5)
-    return K.k_sweep(_prepared(spark, sf), estimator, [2, 3, 4])
+    return K.k_sweep(_prepared(spark, sf), estimator, [2, 3, 4])[0]
 
 
 @query("c06_c07_kmeans")

@@ -120,12 +120,15 @@ def coded_boolean(c: Column | str, true_code: float = 1.0, false_code: float = 2
 
 
 def code_text(c: Column | str) -> Column:
-    """One canonical text per category: 1, 1.0, ``"1.0"`` and ``"1.0E0"`` all become ``"1"``, at any size of a long."""
+    """One canonical text per category: 1, 1.0, ``"1.0"`` and ``"1.0E0"`` all become ``"1"``.
+
+    Large doubles, which Spark writes with an exponent, are written out (up to 32 digits). The input is named three times
+    only, as these expressions are nested in plans.
+    """
     text = _c(c).cast("string")
-    plain = F.when(text.rlike(r"^-?[0-9]+\.0+$"), F.split_part(text, F.lit("."), F.lit(1))).otherwise(text)
-    value = text.try_cast("double")
-    whole = text.rlike(r"^-?[0-9]+(\.[0-9]+)?[eE][+]?[0-9]+$") & (value == F.rint(value)) & (F.abs(value) < 9.2e18)
-    return F.when(whole, value.try_cast("bigint").cast("string")).otherwise(plain)
+    digits = F.regexp_replace(text.try_cast("decimal(38,6)").cast("string"), r"\.?0+$", "")
+    written_out = F.when(text.rlike(r"^-?[0-9]+(\.[0-9]+)?[eE][+]?[0-9]+$"), digits)
+    return F.coalesce(written_out, F.regexp_replace(text, r"^(-?[0-9]+)\.0+$", "$1"))
 
 
 def display_name(c: Column | str) -> Column:

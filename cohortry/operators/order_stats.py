@@ -30,13 +30,13 @@ def long_values(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ())
 
 
 def _cuts_below(cuts, value, n: int):
-    """How many of ``n`` ascending cuts lie below the value: a binary search, one array access per halving."""
-    found, step = F.lit(0), 1 << max(0, n.bit_length() - 1)
-    while step:
-        tried = found + step
-        found = F.when((tried <= n) & (F.get(cuts, tried - 1) < value), tried).otherwise(found)
-        step //= 2
-    return found
+    """How many of ``n`` ascending cuts lie below the value: a binary search, one look into the array per halving."""
+    steps = [1 << i for i in reversed(range(n.bit_length()))]
+
+    def halve(found, step):
+        return F.when((found + step <= n) & (F.get(cuts, found + step - 1) < value), found + step).otherwise(found)
+
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), halve)
 
 
 def with_counts_below(counts: DataFrame, keys: Sequence[str], value: str, n: str) -> DataFrame:

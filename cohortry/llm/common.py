@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from cohortry.session import shared_dir
 
 #: Text bytes handled at once by array code; one longer text makes a slice of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,7 +34,19 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let the session send this many rows to Python at once, where it would send more.
+
+    Texts are long rows: Spark's default of 10,000 of them is tens of megabytes on either side of every task.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

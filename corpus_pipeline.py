@@ -12,7 +12,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from cohortry.llm.common import release, stored, table
+from cohortry.llm.common import release, small_batches, stored, table
 from cohortry.llm.decontaminate import find_contamination
 from cohortry.llm.minhash import near_duplicates
 from cohortry.llm.pieces import encode_texts
@@ -27,6 +27,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies stays, the one with the least id; of fully equal rows one stays."""
+    small_batches(spark)
     kept = near_duplicates(docs).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("kept_id")).distinct()
     named = docs.join(kept, docs["doc_id"].cast("long") == F.col("kept_id"), "left_semi")
     return named.dropDuplicates().unionByName(docs.filter(F.col("doc_id").isNull()))
@@ -41,11 +42,13 @@ def benchmark_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def personal_data_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind in the text."""
+    small_batches(spark)
     return redact(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per document the number and digest of its piece ids, and the digest of the text decoded from them."""
+    small_batches(spark)
     return encode_texts(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 

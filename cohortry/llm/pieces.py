@@ -25,6 +25,7 @@ from cohortry.llm.common import query, table, text_slices, texts_of
 
 MARK = "▁"  # stands for a space inside pieces
 _LONG = 64  # symbols; longer segments have a heap of their own and are not held
+_SLICE = 1 << 20  # text bytes worked off together
 _HELD = 250_000  # segments held by a task, about 100 MB
 _NO_PAIR = np.int64(1) << 62
 
@@ -277,7 +278,7 @@ _DDL = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_
 
 def _encoded(batches: Iterator[pa.RecordBatch], v: Vocabulary, model: bytes) -> Iterator[pa.RecordBatch]:
     encoder = Encoder(v, model)
-    for batch in text_slices(batches):
+    for batch in text_slices(batches, limit=_SLICE):
         keys = [segment_keys(t) for t in texts_of(batch)]
         encoder.learn(keys)
         places, ids, counts, decoded, unequal = encoder.places, encoder.ids, encoder.counts, encoder.decoded, encoder.unequal

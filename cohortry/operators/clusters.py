@@ -107,7 +107,7 @@ def wide_importance(importance: DataFrame, names: Sequence[str], cluster: str =
 
 def _encoded(df: DataFrame, roles: ColumnRoles, cluster: str):
     stages = Pipeline(stages=encoding_stages(roles)).fit(df)
-    ready = stages.transform(df).withColumn("label", F.col(cluster).cast("double"))
+    ready = stages.transform(df).drop(*helper_columns(roles)).withColumn("label", F.col(cluster).cast("double"))
     return ready.filter(F.col("label").isNotNull()), feature_names(stages, roles)
 
 

@@ -69,9 +69,11 @@ def laid_out(df: DataFrame, partitions: int = FIT_PARTITIONS) -> DataFrame:
     """The same rows in a layout that depends on them alone: dealt by a hash of all columns and sorted by it.
 
     Fits that draw rows per partition then give the same model whatever the files, cores or executors. Rows that are
-    equal in every column share a partition; keep a row key among the columns where many rows are.
+    equal in every column share a partition; keep a row key among the columns where many rows are. Vectors are left out
+    where there are other columns: they are derived, and the last digits of a scaled number follow from the order of sums.
     """
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
+    plain = [c for c, kind in df.dtypes if kind != "vector"]
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in plain or df.columns])
     return df.withColumn("__row", row).repartition(partitions, "__row").sortWithinPartitions("__row").drop("__row")
 
 

@@ -1,9 +1,10 @@
 """Multipart credential linking.
 
-Single-part secrets are found by pattern. A token that looks like a secret but carries no keyword (a *weak candidate*) is
-reported only where a complementary part, an access identifier or an endpoint, lies within reach inside the same scope:
-an interval join of the parts of a text, done as a sweep over their sorted positions, so a text with very many parts
-never yields all their pairs. Every text is one row and is handled whole; there is no shuffle.
+Single-part secrets are found by pattern and always reported. A token that looks like a secret but carries no keyword (a
+*weak candidate*) is reported only where a complementary part, an access identifier or an endpoint, lies within reach
+inside the same scope; such parts are reported beside secrets of either sort. This is an interval join of the parts of a
+text, done as a sweep over their sorted positions, so a text with very many parts never yields all their pairs. Every text
+is one row and is handled whole; there is no shuffle.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ _ASSIGN = re.compile(
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # 20 characters with the prefix; a shorter run is consumed and dropped anyway
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _ASSIGN_LEAST = 6
+_SECRETS = ("secret", "assign", "hex")  # kinds on the secret side of a link
 
 # parts of the linking method
 _LABELLED_ID = re.compile(
@@ -78,9 +80,10 @@ def _looks_secret(token: str) -> bool:
 
 
 def linked_spans(text: str, base: list[tuple[int, int, int]], reach: int) -> list[tuple[str, int, int]]:
-    """Weak candidates with a complementary part in reach and scope, and the parts they are linked to.
+    """Secrets with a complementary part in reach and scope, and the parts they are linked to.
 
-    A scope ends at an empty line. A part reaches ``reach`` code points to either side of itself. For each candidate only
+    Secrets are weak candidates and the assign and hex spans of ``base``; a hex span inside an assign span is the same
+    secret. A part that overlaps a secret does not complement it. A scope ends at an empty line. A part reaches ``reach`` code points to either side of itself. For each candidate only
     the nearest complement on either side is looked at, by binary search in positions sorted once.
     """
     strong = sorted((s, e) for _, s, e in base)
@@ -92,7 +95,13 @@ def linked_spans(text: str, base: list[tuple[int, int, int]], reach: int) -> lis
         return not i or furthest[i - 1] <= start
 
     weak = [(m.start(), m.end()) for m in _WEAK.finditer(text) if _looks_secret(m[0]) and free(m.start(), m.end())]
-    if not weak:
+    candidates = [("secret", s, e) for s, e in weak] + [("assign", s, e) for k, s, e in base if k == 0]
+    assigned = [(s, e) for k, s, e in base if k == 0]  # of one kind, so both starts and ends ascend
+    for k, s, e in base:
+        i = bisect_right(assigned, (s, len(text))) if k == 2 else 0
+        if k == 2 and not (i and e <= assigned[i - 1][1]):
+            candidates.append(("hex", s, e))
+    if not candidates:
         return []
     parts = [("identifier", s, e) for k, s, e in base if k == 1]
     parts += [("identifier", m.start(1), m.end(1)) for m in _LABELLED_ID.finditer(text)]
@@ -105,7 +114,7 @@ def linked_spans(text: str, base: list[tuple[int, int, int]], reach: int) -> lis
     by_end = sorted(range(len(parts)), key=lambda i: parts[i][2])
     part_ends = [parts[i][2] for i in by_end]
     out: set[tuple[str, int, int]] = set()
-    for start, end in weak:
+    for own, start, end in candidates:
         after = bisect_left(starts, end)
         before = bisect_right(part_ends, start) - 1
         near = [parts[after]] if after < len(parts) else []
@@ -114,7 +123,7 @@ def linked_spans(text: str, base: list[tuple[int, int, int]], reach: int) -> lis
             gap = s - end if s >= end else start - e
             low, high = min(e, end), max(s, start)
             if 0 <= gap <= reach and bisect_left(breaks, low) == bisect_left(breaks, high):
-                out |= {("secret", start, end), (kind, s, e)}
+                out |= {(own, start, end), (kind, s, e)}
     return sorted(out, key=lambda x: x[1:])
 
 
@@ -128,12 +137,13 @@ def _scan(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.RecordBa
         for text in texts_of(batch):
             base = sorted(base_spans(text), key=lambda x: (x[1], x[0]))
             named = [(KINDS[k], s, e) for k, s, e in base]
-            extra = [x for x in linked_spans(text, base, reach) if ("access", *x[1:]) not in named]
+            linked, known = linked_spans(text, base, reach), set(named)
+            extra = [x for x in linked if x not in known and ("access", *x[1:]) not in known]
             order = {k: i for i, k in enumerate((*KINDS, "identifier", "secret", "endpoint"))}
             every = sorted(named + extra, key=lambda x: (x[1], order[x[0]]))
             counts = [sum(x[0] == k for x in base) for k in range(3)]
             digest = hashlib.sha256(joined(named).encode()).hexdigest()
-            rows.append((*counts, digest, joined(every), sum(k == "secret" for k, _, _ in extra)))
+            rows.append((*counts, digest, joined(every), sum(k in _SECRETS for k, _, _ in linked)))
         ids = batch.column("doc_id")
         columns = list(zip(*rows))
         yield pa.RecordBatch.from_arrays([ids, *[pa.array(c, f.type) for c, f in zip(columns, list(_SCHEMA)[1:])]], schema=_SCHEMA)
@@ -142,8 +152,8 @@ def _scan(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[pa.RecordBa
 def link_credentials(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 200) -> DataFrame:
     """One row per row of ``docs``: counts of base spans, their digest, and all spans with the linked parts.
 
-    Span kinds beside the base ones: ``secret`` (a weak candidate), ``identifier``, ``endpoint`` (the parts that made it
-    reportable). A null or empty text has no spans (digest of the empty string). Repeated rows give repeated results, a
+    Span kinds beside the base ones: ``secret`` (a weak candidate), ``identifier``, ``endpoint`` (parts linked to a secret).
+    ``n_linked`` counts the secrets with a part, whether weak or base spans (assign, hex). A null or empty text has no spans (digest of the empty string). Repeated rows give repeated results, a
     null id stays null, an empty table gives an empty result, other columns are ignored whatever their names. Spans of
     one kind never overlap, so ties in start are between kinds only and follow the order of the kinds.
     """

@@ -83,8 +83,9 @@ def linked_spans(text: str, base: list[tuple[int, int, int]], reach: int) -> lis
     """Secrets with a complementary part in reach and scope, and the parts they are linked to.
 
     Secrets are weak candidates and the assign and hex spans of ``base``; a hex span inside an assign span is the same
-    secret. A part that overlaps a secret does not complement it. A scope ends at an empty line. A part reaches ``reach`` code points to either side of itself. For each candidate only
-    the nearest complement on either side is looked at, by binary search in positions sorted once.
+    secret. A part that overlaps a secret does not complement it. A scope ends at an empty line. A part reaches ``reach``
+    code points to either side of itself. Every secret with some part in reach and scope is given, and every part with
+    some secret there: two sweeps of binary searches, no pairs.
     """
     strong = sorted((s, e) for _, s, e in base)
 
@@ -106,25 +107,24 @@ def linked_spans(text: str, base: list[tuple[int, int, int]], reach: int) -> lis
     parts = [("identifier", s, e) for k, s, e in base if k == 1]
     parts += [("identifier", m.start(1), m.end(1)) for m in _LABELLED_ID.finditer(text)]
     parts += [("endpoint", m.start(), m.end()) for m in _ENDPOINT.finditer(text)]
-    if not parts:
-        return []
     breaks = [m.start() for m in _BREAK.finditer(text)]
-    parts.sort(key=lambda p: p[1:])
-    starts = [p[1] for p in parts]
-    by_end = sorted(range(len(parts)), key=lambda i: parts[i][2])
-    part_ends = [parts[i][2] for i in by_end]
-    out: set[tuple[str, int, int]] = set()
-    for own, start, end in candidates:
-        after = bisect_left(starts, end)
-        before = bisect_right(part_ends, start) - 1
-        near = [parts[after]] if after < len(parts) else []
-        near += [parts[by_end[before]]] if before >= 0 else []
-        for kind, s, e in near:
-            gap = s - end if s >= end else start - e
-            low, high = min(e, end), max(s, start)
-            if 0 <= gap <= reach and bisect_left(breaks, low) == bisect_left(breaks, high):
-                out |= {(own, start, end), (kind, s, e)}
-    return sorted(out, key=lambda x: x[1:])
+    return sorted({*_near(candidates, parts, breaks, reach), *_near(parts, candidates, breaks, reach)}, key=lambda x: x[1:])
+
+
+def _near(
+    spans: list[tuple[str, int, int]], others: list[tuple[str, int, int]], breaks: list[int], reach: int
+) -> Iterator[tuple[str, int, int]]:
+    """The spans with any of the others in reach and scope, on either side.
+
+    The nearest one on a side tells: one further off has a longer gap and at least the same breaks in it.
+    """
+    starts, ends = sorted(s for _, s, _ in others), sorted(e for _, _, e in others)
+    for kind, start, end in spans:
+        after, before = bisect_left(starts, end), bisect_right(ends, start) - 1
+        gaps = [(end, starts[after])] if after < len(starts) else []
+        gaps += [(ends[before], start)] if before >= 0 else []
+        if any(high - low <= reach and bisect_left(breaks, low) == bisect_left(breaks, high) for low, high in gaps):
+            yield kind, start, end
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:

@@ -1,7 +1,8 @@
 """Substring deduplication by content-defined chunking with a gear rolling hash.
 
 A rolling gear hash over the last bytes is taken at every word end; a chunk ends where that hash is the least among the
-word ends around it, so cuts depend on nearby content only and fall back into step a few words after an insertion.
+word ends around it, so cuts depend on nearby content only and fall back into step a few words after an insertion. One to
+three words again and again have no such least hash: there cuts follow the period, at a phase that its words give.
 Chunks are known by digest. A digest met twice anywhere is repeated; a run of neighbouring repeated chunks that is
 long enough in words is a repeated span. The first place of a chunk (least id, then position) keeps it.
 
@@ -20,8 +21,9 @@ from pyspark.sql import DataFrame, functions as F
 from cohortry.llm.common import WHITE, buffer_of, mixed, query, release, span_hashes, stored, table, text_slices, word_bounds
 
 REACH = 3  # a cut is the least of this many word ends on either side: chunks have 4 words at least, 7 on average
-_WINDOW = 16  # bytes that the gear hash looks back
-_MOST = 64  # words of a chunk; runs without a cut (one word again and again) are cut by count
+_WINDOW = 16  # bytes that the gear hash looks back; a longer word is hashed whole
+_STEP = 6  # words between cuts inside a periodic stretch: a multiple of its period of 1 to REACH words
+_MOST = 64  # words of a chunk; what else has no cut is cut by count
 LEAST_WORDS = 16  # of a repeated span. Of 51 shared words of prose, 41 are found in the median and under 16 in 1 of 1,000
 _GEAR = np.random.default_rng(4242).integers(0, 1 << 63, 256, dtype=np.uint64)
 
@@ -38,6 +40,42 @@ def gear_hashes(data: np.ndarray) -> np.ndarray:
     return mixed(out)
 
 
+def periodic_cuts(value: np.ndarray, text: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """The last words of chunks inside stretches that repeat 1 to REACH words, where the hash has no least value.
+
+    A stretch is a run of word ends whose hash equals that of ``period`` words before. The first cut is where the least
+    rotation of the period's hashes begins, wherever the run begins; then every _STEP words, so that all these chunks are
+    the same bytes; the last is the end of the run. ``whole`` says that a word's window lies inside its text.
+    """
+    n = len(value)
+    covered, cut = np.zeros(n, bool), np.zeros(n, bool)
+    for period in range(1, REACH + 1):
+        equal = np.zeros(n + 2, bool)  # with a border on either side
+        equal[period + 1 : -1] = (value[period:] == value[:-period]) & (text[period:] == text[:-period]) & whole[:-period]
+        equal[1:-1] &= ~covered
+        begin, stop = np.flatnonzero(equal[1:] & ~equal[:-1]), np.flatnonzero(equal[:-1] & ~equal[1:])
+        long = stop - begin >= _STEP
+        begin, stop = begin[long], stop[long]
+        phase = np.zeros(len(begin), np.int64)
+        for k in range(1, period):
+            better, open_ = np.zeros(len(begin), bool), np.ones(len(begin), bool)
+            for j in range(period):
+                a, b = value[begin + (k + j) % period], value[begin + (phase + j) % period]
+                better |= open_ & (a < b)
+                open_ &= a == b
+            phase[better] = k
+        first = begin + phase
+        times = (stop - 1 - first) // _STEP + 1
+        nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        cut[np.repeat(first, times) + nth * _STEP] = True
+        cut[stop - 1] = True
+        edge = np.zeros(n + 1, np.int64)
+        edge[begin] += 1
+        edge[stop] -= 1
+        covered |= np.cumsum(edge[:-1]) > 0
+    return cut
+
+
 def chunk_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """Of all texts: text, first byte, end byte and number of words of every chunk, in order.
 
@@ -49,8 +87,13 @@ def chunk_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...
         return (np.empty(0, np.int64),) * 4
     text = np.searchsorted(offsets, starts, "right") - 1
     value = gear_hashes(data)[ends - 1]
+    beyond = np.flatnonzero(ends - starts > _WINDOW)  # such words count whole, so that one end does not make them equal
+    if len(beyond):
+        sizes = (ends - starts)[beyond]
+        stop = np.cumsum(sizes)
+        value[beyond] = span_hashes(data[np.arange(stop[-1]) + np.repeat(starts[beyond] - stop + sizes, sizes)], stop - sizes, stop)
     cut = np.ones(n, bool)
-    for k in range(1, REACH + 1):  # the first of equal values wins, so one word again and again has no cut of its own
+    for k in range(1, REACH + 1):  # the first of equal values wins, so one word again and again has no cut here
         # beyond a text's ends there is nothing to compare with
         same = text[k:] == text[:-k]
         cut[k:] &= ~same | (value[k:] < value[:-k])
@@ -62,6 +105,7 @@ def chunk_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...
     # the edge of a text is no content, so nothing is cut within reach of its begin for lack of neighbours
     position = np.arange(n) - np.maximum.accumulate(np.where(first, np.arange(n), 0))
     cut &= position >= REACH
+    cut |= periodic_cuts(value, text, ends - _WINDOW >= offsets[text])
     cut |= last
     began = np.maximum.accumulate(np.where(np.concatenate([[True], cut[:-1]]), np.arange(n), 0))
     cut |= (np.arange(n) - began + 1) % _MOST == 0

@@ -382,6 +382,27 @@ def test_planted_passages(spark, sf):
         assert span in text[r["doc_id"] ^ 1] and len(span.split()) == r["n_words"]
 
 
+def test_passages_of_a_few_words_again_and_again(spark):
+    pick = random.Random(8)
+    word = lambda letters, n: "".join(pick.choice(letters) for _ in range(n))
+    prose = lambda: [word("fghijklmno", pick.randint(1, 9)) for _ in range(pick.randint(0, 60))]
+    rows, sizes = [], []
+    for k in range(120):
+        n, size = k % 3 + 1, (1, 2, 5, 17)[k % 4]
+        own = list({word("abcdePQRS", size) + "z" * j: 0 for j in range(n)})
+        sizes.append(pick.randint(51, 120))
+        for turn in range(2):  # the second copy starts at another word of the period
+            passage = [own[(i + turn) % n] for i in range(sizes[-1])]
+            rows.append((len(rows), " ".join([*prose(), *passage, *prose()])))
+    same_end = [word("abcde", 6) + "x" * 16 for _ in range(69)]
+    rows += [(len(rows), " ".join(same_end)), (len(rows) + 1, " ".join(same_end[9:]))]
+    found = {}
+    for r in chunks.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        found[r["doc_id"]] = max(found.get(r["doc_id"], 0), r["n_words"])
+    assert all(found.get(2 * k + t, 0) >= n - 25 for k, n in enumerate(sizes) for t in range(2))
+    assert min(found[240], found[241]) >= 41
+
+
 def test_chunks_fall_into_step_after_an_insertion():
     pick = random.Random(2)
     words = ["".join(pick.choice("abcdefg") for _ in range(5)) for _ in range(2000)]

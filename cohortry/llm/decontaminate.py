@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from cohortry.llm.common import buffer_of, gap_table, query, span_hashes, table, text_slices, window_hashes, word_bounds, word_ranges
+from cohortry.llm.common import buffer_of, gap_table, query, release, span_hashes, stored, table, text_slices, window_hashes, word_bounds, word_ranges
 
 WINDOW = 10  # words; the contract's value
 _SHINGLE = 3  # words of the tokens that are joined on; shorter windows use their own length
@@ -163,10 +163,12 @@ def _merged(flat: list[int]) -> list[int]:
 
 
 def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int = _BLOCK_BYTES) -> Iterator[Block]:
-    """The benchmark's windows, block after block; rows are dealt to blocks by a hash, so a block is bounded on average."""
+    """The benchmark's windows, block after block; its distinct rows are dealt to blocks by a hash, so a block is bounded on
+    average, however many copies of a row there are."""
     rows = benchmark.select(
         F.coalesce(benchmark[item_col].cast("string"), F.lit("null")).alias("item"), benchmark[text_col].cast("string").alias("text")
     ).filter(F.col("text").isNotNull())
+    rows = stored(rows.distinct(), "benchmark-rows")
     whole = rows.agg(F.sum(F.octet_length(F.encode("text", "UTF-8")))).first()[0] or 0
     n = -(-whole // block_bytes)
     for k in range(n):
@@ -178,6 +180,7 @@ def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_b
                 block.add(item, words, int(words.ranges[i]), int(words.ranges[i + 1]))
         if block.words:
             yield block
+    release(rows)
 
 
 def find_contamination(

@@ -89,6 +89,16 @@ def test_decontaminate(docs, empty, benchmark):
     assert sorted(map(repr, in_blocks)) == sorted(map(repr, report))
 
 
+def test_copies_of_a_benchmark_row_are_read_once(spark, monkeypatch):
+    seen, plain = [], decontaminate.text_slices
+    monkeypatch.setattr(decontaminate, "text_slices", lambda b: plain(seen.append(x.num_rows) or x for x in b))
+    rows = [(1, "one item that many rows repeat word by word")] * 300 + [(k, f"another item with number {k}") for k in range(20)]
+    bench = spark.createDataFrame(rows, "item_id long, text string")
+    blocks = list(decontaminate.benchmark_blocks(bench, "item_id", "text", 100))
+    assert sum(seen) == 21 and max(seen) < 15
+    assert set().union(*(i for b in blocks for i in b.items.values())) == {str(k) for k in range(20)}
+
+
 def test_quality(docs, empty, labels):
     rows = quality.judge_quality(docs, labels).collect()
     assert len(rows) == len(ROWS)

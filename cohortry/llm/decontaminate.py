@@ -19,6 +19,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
 from cohortry.llm.common import buffer_of, gap_table, query, release, span_hashes, stored, table, text_slices, window_hashes, word_bounds, word_ranges
 
@@ -119,11 +120,14 @@ def _counted(batches: Iterator[pa.RecordBatch], tokens: np.ndarray, widths: list
     yield pa.RecordBatch.from_arrays([pa.array(known.tokens[seen].view(np.int64)), pa.array(total[seen])], names=["token", "n"])
 
 
-_MATCH_DDL = "n_words long, hits array<long>, items array<string>"
+_MATCH = StructType().add("n_words", LongType()).add("hits", ArrayType(LongType())).add("items", ArrayType(StringType()))
 
 
 def _matched(batches: Iterator[pa.RecordBatch], block: Block, first: bool) -> Iterator[pa.RecordBatch]:
-    """Add this block's hit ranges (word positions, flat pairs) and items to those of the blocks before."""
+    """Add this block's hit ranges (word positions, flat pairs) and items to those of the blocks before.
+
+    All other columns pass unchanged.
+    """
     known, widths = _Known(np.array(sorted(block.by_token), np.uint64)), block.widths()
     for batch in text_slices(batches):
         words = words_of(batch)
@@ -147,9 +151,10 @@ def _matched(batches: Iterator[pa.RecordBatch], block: Block, first: bool) -> It
                         hits[text] += [begin - low, begin - low + len(own)]
                         items[text] |= block.items[key]
         merged = [_merged(h) for h in hits]
-        columns = [batch.column("doc_id"), batch.column("text"), pa.array(np.diff(words.ranges), pa.int64())]
+        carried = [c for c in batch.schema.names if c not in _MATCH.names]
+        columns = [*[batch.column(c) for c in carried], pa.array(np.diff(words.ranges), pa.int64())]
         columns += [pa.array(merged, pa.list_(pa.int64())), pa.array([sorted(i) for i in items], pa.list_(pa.string()))]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "n_words", "hits", "items"])
+        yield pa.RecordBatch.from_arrays(columns, names=[*carried, *_MATCH.names])
 
 
 def _merged(flat: list[int]) -> list[int]:
@@ -199,22 +204,37 @@ def find_contamination(
     benchmark leaves every document clean. Other columns of either table are ignored. Windows equal in words are one
     window with several items.
     """
-    spark = docs.sparkSession
     picked = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    found = _find(picked, benchmark_blocks(benchmark, item_col, item_text_col, block_bytes))
+    return found.select("doc_id", "n_words", "hits", "items")
+
+
+def _find(picked: DataFrame, blocks: Iterator[Block]) -> DataFrame:
+    """The rows of ``picked`` (text and any columns not named as those of the match) with their n_words, hits and items."""
+    spark, schema = picked.sparkSession, StructType([*picked.schema.fields, *_MATCH.fields])
     found, first = picked, True
-    for block in benchmark_blocks(benchmark, item_col, item_text_col, block_bytes):
+    for block in blocks:
         tokens, widths = block.tokens(), block.widths()
-        counted = picked.mapInArrow(lambda b, t=tokens, w=widths: _counted(b, t, w), "token long, n long")
+        counted = picked.select("text").mapInArrow(lambda b, t=tokens, w=widths: _counted(b, t, w), "token long, n long")
         counts = {r["token"] & (1 << 64) - 1: r["n"] for r in counted.groupBy("token").agg(F.sum("n").alias("n")).collect()}
         block.choose(counts)
         held = spark.sparkContext.broadcast(block)
-        found = found.mapInArrow(
-            lambda b, h=held, f=first: _matched(b, h.value, f), f"doc_id long, text string, {_MATCH_DDL}"
-        )
+        found = found.mapInArrow(lambda b, h=held, f=first: _matched(b, h.value, f), schema)
         first = False
     if first:  # nothing to look for: the same step with an empty block counts the words
-        found = found.mapInArrow(lambda b: _matched(b, Block(by_token={0: []}), True), f"doc_id long, text string, {_MATCH_DDL}")
-    return found.select("doc_id", "n_words", "hits", "items")
+        found = found.mapInArrow(lambda b: _matched(b, Block(by_token={0: []}), True), schema)
+    return found
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, block_bytes: int = _BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and any others) in which ``find_contamination`` has no hit, with all their columns.
+
+    Each row is judged by its own text, whatever its id.
+    """
+    others = F.struct(*[docs[f"`{c}`"] for c in docs.columns if c != "text"]).alias("row")
+    found = _find(docs.select("text", others), benchmark_blocks(benchmark, "item_id", "text", block_bytes))
+    back = [F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns]
+    return found.filter(F.size("hits") == 0).select(*back)
 
 
 def contamination_report(found: DataFrame) -> DataFrame:

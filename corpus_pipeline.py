@@ -13,7 +13,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from cohortry.llm.common import release, small_batches, stored, table
-from cohortry.llm.decontaminate import find_contamination
+from cohortry.llm.decontaminate import keep_clean
 from cohortry.llm.minhash import near_duplicates
 from cohortry.llm.pieces import encode_texts
 from cohortry.llm.privacy import redact
@@ -34,10 +34,8 @@ def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def benchmark_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
-    found = find_contamination(docs, table(spark, sf_dir, "benchmark"))
-    hit = found.filter(F.size("hits") > 0).select(F.col("doc_id").alias("hit_id")).distinct()
-    return docs.join(hit, docs["doc_id"].cast("long") == F.col("hit_id"), "left_anti")
+    """Rows that hold a window of a benchmark item go, whatever their id."""
+    return keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -179,3 +179,14 @@ def test_stages(spark, docs, empty, tables, k):
         text = {r["doc_id"]: r["text"] for r in rows}
         assert text[5].endswith("mail <EMAIL> token = abcdef123456") and text[2] is None
         assert "<PHONE>" in next(r["text"] for r in rows if r["doc_id"] is None and r["text"])
+
+
+def test_contaminated_rows_go_whatever_their_id(spark, tables):
+    hit, clean = "so the fox jumps over the lazy dog and then some more words came", "nothing of that kind is in here"
+    rows = [(None, hit, "a", 1), (None, clean, "b", 2), (3, hit, "c", 3), (3, clean, None, 4), (4, clean, "e", None), (4, None, "f", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, hits string, row int")
+    out = corpus_pipeline.benchmark_removal(spark, docs, tables)
+    assert out.columns == docs.columns
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(repr(r) for r in rows if r[1] != hit)
+    in_blocks = decontaminate.keep_clean(docs, spark.read.parquet(f"{tables}/benchmark.parquet"), 8)
+    assert sorted(map(repr, in_blocks.collect())) == sorted(map(repr, out.collect()))

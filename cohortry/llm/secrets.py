@@ -32,14 +32,14 @@ _HEX = re.compile(r"[0-9a-f]{24,}")
 _ASSIGN_LEAST = 6
 _SECRETS = ("secret", "assign", "hex")  # kinds on the secret side of a link
 
-# parts of the linking method
+# parts of the linking method, of any length; possessive repeats keep the scans linear
 _LABELLED_ID = re.compile(
-    r"""(?:client_?id|account_?id|access_?key_?id|user_?name|login)["']?\x20{0,4}[:=]\x20{0,4}["']?([A-Za-z0-9@._-]{3,128})""",
+    r"""(?:client_?id|account_?id|access_?key_?id|user_?name|login)["']?\x20*+[:=]\x20*+["']?([A-Za-z0-9@._-]{3,}+)""",
     re.IGNORECASE | re.ASCII,
 )
 _ENDPOINT = re.compile(
-    r"(?:https?|ftp|ssh|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[^\s\"'<>]{3,2048}"
-    r"|(?<![A-Za-z0-9.-])(?:[a-z0-9-]{1,63}\.){1,8}(?:internal|local|com|net|org|io)(?::[0-9]{2,5})?(?![A-Za-z0-9.-])",
+    r"(?:https?|ftp|ssh|postgres(?:ql)?|mysql|mongodb|redis|amqp|s3)://[^\s\"'<>]{3,}+"
+    r"|(?<![A-Za-z0-9.-])(?:[a-z0-9-]++\.)+(?:internal|local|com|net|org|io)(?::[0-9]{2,5})?(?![A-Za-z0-9.-])",
     re.ASCII,
 )
 _WEAK = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}(?![A-Za-z0-9+/_=-])")

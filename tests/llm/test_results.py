@@ -128,6 +128,14 @@ def test_all_parts_in_reach_are_linked(spark):
         assert set(secrets.linked_spans(text, base, 40)) == near
 
 
+def test_long_parts_are_reported_whole(spark):
+    weak, name, url = "Qz8Kd03LmPw9TtRb", "n" * 500, "https://api.example.com/" + "v" * 5000
+    host = "a." * 12 + "example.com"
+    assert reported(spark, f"login{' ' * 9}:{' ' * 9}{name} {weak}") == ({("identifier", name), ("secret", weak)}, 1)
+    assert reported(spark, f"{url} {weak}") == ({("endpoint", url), ("secret", weak)}, 1)
+    assert reported(spark, f"{host} {weak}") == ({("endpoint", host), ("secret", weak)}, 1)
+
+
 # ---------------------------------------------------------------- sharding
 
 

@@ -1,6 +1,8 @@
 """All queries of the subpackage."""
 
-from cohortry.llm import chunks, decontaminate, factorisation, minhash, pieces, privacy, quality, secrets, sequences, sharding  # noqa: F401
+from cohortry.llm import (  # noqa: F401
+    chunks, decontaminate, factorisation, lexical, minhash, negatives, pieces, privacy, quality, retrieval, secrets, sequences, sharding,
+)
 from cohortry.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -640,7 +640,7 @@ def _(spark, sf):
     model = M.fit_cached(M.forest({"n_estimators": 5, "max_depth": 4}), made.train)
     total = F.aggregate("attributions", F.lit(0.0), lambda a, x: a + x)
     rows = T.tree_attributions(model.transform(made.test), model).select((F.col("prediction") - total).alias("rest"))
-    base = F.lit(T.baseline(T.ensemble_leaves(spark, model)))
+    base = F.lit(T.model_baseline(model))
     return rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.abs(F.col("rest") - base) < 1e-6 * F.abs(base)).alias("n_additive"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from math import factorial
@@ -11,11 +11,10 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from cohortry.operators.rows import sample_rows
-from cohortry.operators.trees import leaf_paths, load_trees
-
-_LEAVES_PER_BROADCAST = 100_000
+from cohortry.operators.trees import leaf_paths
 
 
 @dataclass(frozen=True)
@@ -29,7 +28,7 @@ class Leaf:
     share: np.ndarray  # part of the training rows that passes the tests of a feature
 
 
-def _leaf(node: dict, path: list, weight: float) -> Leaf:
+def _leaf(value: float, path: list) -> Leaf:
     low, high, share = {}, {}, {}
     for slot, threshold, below, part in path:
         low.setdefault(slot, -np.inf), high.setdefault(slot, np.inf), share.setdefault(slot, 1.0)
@@ -40,19 +39,19 @@ def _leaf(node: dict, path: list, weight: float) -> Leaf:
         share[slot] *= part
     slots = sorted(share)
     take = lambda d: np.array([d[s] for s in slots], dtype=float)
-    return Leaf(node["prediction"] * weight, np.array(slots, dtype=int), take(low), take(high), take(share))
+    return Leaf(value, np.array(slots, dtype=int), take(low), take(high), take(share))
+
+
+def tree_leaves(part: Sequence[dict]) -> Iterator[Leaf]:
+    """The leaves of a part of a model, with their values times the tree's weight."""
+    for tree in part:
+        for leaf, path in leaf_paths(tree):
+            yield _leaf(float(tree["value"][leaf]) * tree["weight"], path)
 
 
-def ensemble_leaves(spark, model) -> list[Leaf]:
-    """All leaves with their value times the tree's weight."""
-    trees = load_trees(spark, model)
-    if hasattr(model, "treeWeights"):
-        weights = list(model.treeWeights)
-        if "RandomForest" in type(model).__name__:
-            weights = [w / sum(weights) for w in weights]
-    else:
-        weights = [1.0]
-    return [_leaf(node, path, w) for nodes, w in zip(trees, weights) for node, path in leaf_paths(nodes)]
+def model_baseline(model) -> float:
+    """The prediction of a model where no feature is known, part by part."""
+    return model.getOrDefault(model.base) + sum(baseline(list(tree_leaves(part))) for part in model.parts())
 
 
 def baseline(leaves: Sequence[Leaf]) -> float:
@@ -60,7 +59,7 @@ def baseline(leaves: Sequence[Leaf]) -> float:
     return float(sum(leaf.value * leaf.share.prod() for leaf in leaves))
 
 
-def path_attributions(x: np.ndarray, leaves: Sequence[Leaf]) -> np.ndarray:
+def path_attributions(x: np.ndarray, leaves: Iterable[Leaf]) -> np.ndarray:
     """Shapley values of every row: a leaf's game is a product, so coalitions of equal size share one coefficient."""
     out = np.zeros(x.shape)
     for leaf in leaves:
@@ -87,27 +86,25 @@ def path_attributions(x: np.ndarray, leaves: Sequence[Leaf]) -> np.ndarray:
 
 
 def tree_attributions(df: DataFrame, model, features: str = "features", output: str = "attributions") -> DataFrame:
-    """Add an array with one attribution per slot; they sum to the prediction minus the baseline.
+    """Add an array with one attribution per slot; they sum to the prediction minus the model's baseline.
 
-    Leaves are broadcast in parts of bounded size, and the parts' arrays are added.
+    Trees are sent as rows of arrays in parts of bounded size; tasks walk them to their leaves, one leaf at a time, and the
+    parts' arrays are added.
     """
     spark = df.sparkSession
-    leaves = ensemble_leaves(spark, model)
     x = vector_to_array(features)
 
     def part_udf(part):
-        # plain tuples: a broadcast, unlike a function, cannot carry this package's classes to the executors
-        shared = spark.sparkContext.broadcast([(l.value, l.slots, l.low, l.high, l.share) for l in part])
+        shared = spark.sparkContext.broadcast(part)
 
         @F.pandas_udf("array<double>")
         def attribute(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            own = [Leaf(*fields) for fields in shared.value]
             for batch in batches:
-                yield pd.Series(list(path_attributions(np.vstack(batch), own)) if len(batch) else [], dtype=object)
+                yield pd.Series(list(path_attributions(np.vstack(batch), tree_leaves(shared.value))) if len(batch) else [], dtype=object)
 
         return attribute
 
-    parts = [part_udf(leaves[i : i + _LEAVES_PER_BROADCAST])(x) for i in range(0, len(leaves), _LEAVES_PER_BROADCAST)]
+    parts = [part_udf(part)(x) for part in model.parts()]
     return df.withColumn(output, reduce(lambda a, b: F.zip_with(a, b, lambda u, v: u + v), parts))
 
 
@@ -134,36 +131,50 @@ def permutation_attributions(
     """(keys..., feature, phi) for any model: sampled-permutation Shapley values of the input columns.
 
     Every permutation starts from its own background row and replaces one column after another by the row's own value. The
-    values of a row sum to its prediction minus the mean prediction of the background rows. All variants of a row are
-    made by one explode in the row's task and scored in one ``transform``; ``keys`` must identify rows, or a ValueError
-    is raised.
+    values of a row sum to its prediction minus the mean prediction of the background rows. Only mixed variants are made
+    per row (and one of the row itself); the background is scored once. A row's variants share a 128-bit hash of its
+    columns; each carries a fixed coefficient per feature, so a row's variants are summed in their own task before the
+    shuffle, which moves one sum per row and feature. Rows equal in all given columns have equal values; each gets its own.
     """
-    if not df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
-        raise ValueError(f"{list(keys)} do not identify the rows")
     p, m = len(features), permutations
-    background = sample_rows(df.select(*features, *[k for k in keys if k not in features]), m, keys, seed).collect()
+    own = [k for k in keys if k not in features]
+    background = sample_rows(df.select(*features, *own), m, keys, seed).collect()
     draw = np.random.RandomState(seed)
     orders = [draw.permutation(p).tolist() for _ in range(m)]
     place = np.argsort(np.array(orders), axis=1)
-    variant = F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("__m")
-    rows = df.select("*", variant).select("*", F.explode(F.sequence(F.lit(0), F.lit(p))).alias("__step"))
+    starts = [background[j % len(background)] for j in range(m)] if background else []
+    steps = [(j, k) for j in range(m) for k in range(1, p)] + [(-1, p)]
+    weights = np.zeros((p, len(steps)), int)
+    for at, (j, k) in enumerate(steps):
+        for order in [orders[j]] if j >= 0 else orders:
+            weights[order[k - 1], at] += 1
+            if k < p:
+                weights[order[k], at] -= 1
+    row = [F.xxhash64(F.lit(i), *[F.col(c) for c in dict.fromkeys((*features, *own))]).alias(f"__row{i}") for i in (0, 1)]
+    variants = df.select("*", *row, F.explode(F.sequence(F.lit(1), F.lit(len(steps)))).alias("__at"))
     mixed = {}
     for i, c in enumerate(features):
         kind = df.schema[c].dataType
-        start = F.array(*[F.lit(background[j % len(background)][c]).cast(kind) for j in range(m)])
-        position = F.array(*[F.lit(int(place[j, i])) for j in range(m)])
-        at = F.col("__m") + 1
-        mixed[c] = F.when(F.element_at(position, at) < F.col("__step"), F.col(c)).otherwise(F.element_at(start, at))
-    own = {k: F.col(k) for k in keys}
-    kept = rows.withColumns({f"__key_{k}": c for k, c in own.items()}).withColumns(mixed)
+        # the background row whose value a variant takes, 0 where it takes the row's own
+        source = [0 if j < 0 or place[j, i] < k else j + 1 for j, k in steps]
+        values = F.array(*[F.lit(s[c]).cast(kind) for s in starts])
+        from_row = F.element_at(F.array(*map(F.lit, source)), F.col("__at"))
+        mixed[c] = F.when(from_row == 0, F.col(c)).otherwise(F.get(values, from_row - 1))
+    kept = variants.withColumns({f"__key_{k}": F.col(k) for k in keys}).withColumns(mixed)
     scored = score(kept)
-    order = F.array(*[F.array(*[F.lit(features[i]) for i in o]) for o in orders])
-    here = F.element_at(order, F.col("__m") + 1)
-    step = F.col("__step")
-    gain = F.when(step > 0, F.struct(F.try_element_at(here, F.greatest(step, F.lit(1))).alias("feature"), F.col("prediction").alias("d")))
-    loss = F.when(step < p, F.struct(F.try_element_at(here, step + 1).alias("feature"), (-F.col("prediction")).alias("d")))
-    moves = scored.select(*[F.col(f"__key_{k}").alias(k) for k in keys], F.inline(F.array_compact(F.array(gain, loss))))
-    return moves.groupBy(*keys, "feature").agg((F.sum("d") / m).alias("phi"))
+    first = starts and score(df.sparkSession.createDataFrame([(j, *s) for j, s in enumerate(starts)], _background_schema(df, features, own))).select("__m", "prediction").collect()
+    base = np.zeros(p)
+    for r in first:
+        base[orders[r["__m"]][0]] -= r["prediction"]
+    sums = [F.sum(F.col("prediction") * F.element_at(F.array(*map(F.lit, w.tolist())), F.col("__at"))).alias(f"__s{i}") for i, w in enumerate(weights)]
+    copies = F.count_if(F.col("__at") == 1)
+    by_row = scored.groupBy("__row0", "__row1").agg(*[F.first(f"__key_{k}").alias(k) for k in keys], copies.alias("__n"), *sums)
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), ((F.col(f"__s{i}") / F.col("__n") + F.lit(float(base[i]))) / m).alias("phi")) for i, c in enumerate(features)])
+    return by_row.select(*keys, F.explode(F.array_repeat(pairs, F.col("__n").cast("int"))).alias("__p")).select(*keys, F.inline("__p"))
+
+
+def _background_schema(df: DataFrame, features: Sequence[str], own: Sequence[str]) -> StructType:
+    return StructType([StructField("__m", IntegerType()), *[df.schema[c] for c in (*features, *own)]])
 
 
 def permutation_table(attributions: DataFrame) -> DataFrame:

@@ -5,8 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
@@ -15,23 +13,18 @@ from cohortry.functions.columns import number
 from cohortry.operators.aggregates import count_by, keyed, mean_by, modes
 from cohortry.operators.features import encoding_stages, feature_names, helper_columns
 from cohortry.operators.hypothesis import long_categories
-from cohortry.operators.regression import fit_cached
+from cohortry.operators.ensembles import ClassForest
+from cohortry.operators.kmeans import MiniBatchKMeans
 from cohortry.operators.trees import tree_paths
 from cohortry.roles import ColumnRoles
-from cohortry.session import FIT_PARTITIONS, cached, laid_out
 
 
 def fit_kmeans(
-    df: DataFrame, roles: ColumnRoles, k: int, seed: int = 42, max_iter: int = 100, label: str = "cluster", partitions: int = FIT_PARTITIONS
+    df: DataFrame, roles: ColumnRoles, k: int, seed: int = 42, max_iter: int = 100, label: str = "cluster", batches: int = 10, **options
 ) -> PipelineModel:
-    """Scaling, encoding and full-batch k-means in one pipeline, so scoring cannot use a different preparation.
-
-    Starts are drawn per partition, so the rows are laid out by their own content first.
-    """
-    stages = encoding_stages(roles, "kmeans_features")
-    kmeans = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="kmeans_features", predictionCol=label)
-    with cached(laid_out(df, partitions)) as rows:
-        return Pipeline(stages=[*stages, kmeans]).fit(rows)
+    """Scaling, encoding and mini-batch k-means in one pipeline, so scoring cannot use a different preparation."""
+    kmeans = MiniBatchKMeans(k=k, seed=seed, maxIter=max_iter, batches=batches, featuresCol="kmeans_features", predictionCol=label, **options)
+    return Pipeline(stages=[*encoding_stages(roles, "kmeans_features"), kmeans]).fit(df)
 
 
 def predict_kmeans(model: PipelineModel, df: DataFrame, roles: ColumnRoles) -> DataFrame:
@@ -114,7 +107,7 @@ def _encoded(df: DataFrame, roles: ColumnRoles, cluster: str):
 def cluster_drivers(df: DataFrame, roles: ColumnRoles, cluster: str = "cluster", trees: int = 100, depth: int = 10, seed: int = 42) -> DataFrame:
     """(feature, base, importance) of a forest that predicts the cluster, encoded categories included."""
     ready, names = _encoded(df, roles, cluster)
-    forest = fit_cached(RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed), ready)
+    forest = ClassForest(numTrees=trees, maxDepth=depth, seed=seed).fit(ready)
     weights = forest.featureImportances.toArray()
     rows = [(name, base, float(w)) for (name, base), w in zip(names, weights)]
     out = df.sparkSession.createDataFrame(rows, "feature string, base string, importance double")
@@ -124,8 +117,8 @@ def cluster_drivers(df: DataFrame, roles: ColumnRoles, cluster: str = "cluster",
 def cluster_rules(df: DataFrame, roles: ColumnRoles, cluster: str = "cluster", depth: int = 3, seed: int = 42) -> DataFrame:
     """(leaf, rule, cluster, n_rows, purity): the leaves of a shallow tree as conjunctions over encoded features."""
     ready, names = _encoded(df, roles, cluster)
-    tree = fit_cached(DecisionTreeClassifier(maxDepth=depth, seed=seed), ready)
-    return tree_paths(df.sparkSession, tree, [name for name, _ in names])
+    tree = ClassForest(numTrees=1, maxDepth=depth, seed=seed, bootstrap=False, maxFeatures="all").fit(ready)
+    return tree_paths(tree, [name for name, _ in names])
 
 
 def mixed_projection(df: DataFrame, roles: ColumnRoles, k: int = 10, keep: Sequence[str] = ()) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import warnings
 from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
@@ -13,13 +12,12 @@ from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCol
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, functions as F
 
-from cohortry.session import FIT_PARTITIONS, cached, laid_out
-
-MAX_DEPTH = 30  # Spark's limit
+from cohortry.operators.ensembles import BoostedTrees, TreeForest
+from cohortry.session import cached
 
 # Default forest parameters per group.
 FOREST_DEFAULTS = {
@@ -28,96 +26,50 @@ FOREST_DEFAULTS = {
 }
 # Parameters that name an engine detail with no meaning here.
 _IGNORED = {"criterion", "n_jobs", "random_state", "verbose", "solver"}
-# Parameters of other tree libraries without a counterpart, and the value at which they do nothing.
-NO_COUNTERPART = {"reg_alpha": 0.0, "reg_lambda": 0.0}
-
-
-def _depth(value) -> int:
-    """Spark's depth; unlimited or deeper trees stop at its limit, and a warning says so."""
-    if value in (None, -1) or int(value) > MAX_DEPTH:
-        warnings.warn(f"max_depth={value}: Spark's trees stop at depth {MAX_DEPTH}", stacklevel=4)
-        return MAX_DEPTH
-    return int(value)
-
-
-def _tree_limits(params: Mapping) -> dict:
-    """The parameters with those rewritten that Spark states otherwise.
-
-    ``num_leaves`` bounds the depth: trees grow by level here, and the least depth with room for so many leaves is taken
-    where ``max_depth`` is unlimited or larger. ``min_samples_split`` bounds the rows of a child: half as many on either side
-    can only come from a node of that size (a node may also stay whole that the other rule would have split unevenly).
-    """
-    out = dict(params)
-    leaves, split = out.pop("num_leaves", None), out.pop("min_samples_split", None)
-    if leaves is not None:
-        room = max(1, (int(leaves) - 1).bit_length())
-        depth = out.get("max_depth")
-        out["max_depth"] = room if depth in (None, -1) else min(int(depth), room)
-    if split is not None:
-        least = next((n for n in ("min_samples_leaf", "min_child_samples") if n in out), "min_samples_leaf")
-        out[least] = max(int(out.get(least, 1)), -(-int(split) // 2))
-    return out
+# Names of tree parameters, and how their values are stated here: 0 for no limit of depth or leaves.
+_TREE_NAMES: dict[str, tuple[str, Callable]] = {
+    "n_estimators": ("numTrees", int),
+    "max_depth": ("maxDepth", lambda v: 0 if v in (None, -1) else int(v)),
+    "max_features": ("maxFeatures", lambda v: "all" if v in (None, 1.0) else str(v)),
+    "min_samples_split": ("minSplit", int),
+    "min_samples_leaf": ("minLeaf", int),
+    "min_child_samples": ("minLeaf", int),
+    "bootstrap": ("bootstrap", bool),
+    "learning_rate": ("stepSize", float),
+    "subsample": ("subsample", float),
+    "num_leaves": ("numLeaves", int),
+    "reg_alpha": ("l1", float),
+    "reg_lambda": ("l2", float),
+}
 
 
-def _translate(params: Mapping, table: Mapping[str, Callable], refused: Mapping[str, object] = {}) -> dict:
-    """Spark names for the given parameters; unknown ones raise, ``refused`` ones only at a value that matters."""
+def tree_params(params: Mapping) -> dict:
+    """The parameters by the names of the estimators here; unknown ones raise."""
     out = {}
     for name, value in params.items():
         if name in _IGNORED:
             continue
-        if name in table:
-            key, convert = table[name]
-            out[key] = convert(value)
-        elif name in refused:
-            if value != refused[name]:
-                raise ValueError(f"{name}={value!r} has no counterpart in Spark's trees (only {refused[name]!r})")
-        else:
+        if name not in _TREE_NAMES:
             raise ValueError(f"unknown parameter {name}")
+        key, convert = _TREE_NAMES[name]
+        out[key] = convert(value)
     return out
 
 
-def _subset(value) -> str:
-    """Share of features tried per split."""
-    return "all" if value in (None, 1.0) else str(value)
-
-
-def forest_params(params: Mapping) -> dict:
-    table = {
-        "n_estimators": ("numTrees", int),
-        "max_depth": ("maxDepth", _depth),
-        "max_features": ("featureSubsetStrategy", _subset),
-        "min_samples_leaf": ("minInstancesPerNode", int),
-        "bootstrap": ("bootstrap", bool),
-    }
-    return {"numTrees": 100, **_translate(_tree_limits(params), table, NO_COUNTERPART)}
-
-
-def forest(params: Mapping | None = None, group: str = "publica", seed: int = 42) -> RandomForestRegressor:
-    """Random forest; given parameters win over the group's defaults."""
+def forest(params: Mapping | None = None, group: str = "publica", seed: int = 42) -> TreeForest:
+    """Random forest (100 trees of any depth); given parameters win over the group's defaults."""
     chosen = FOREST_DEFAULTS.get(group, FOREST_DEFAULTS["publica"]) if params is None else params
-    return RandomForestRegressor(seed=seed, **forest_params(chosen))
-
+    return TreeForest(seed=seed, **tree_params(chosen))
 
-def boosting_params(params: Mapping) -> dict:
-    table = {
-        "n_estimators": ("maxIter", int),
-        "learning_rate": ("stepSize", float),
-        "max_depth": ("maxDepth", _depth),
-        "subsample": ("subsamplingRate", float),
-        "min_samples_leaf": ("minInstancesPerNode", int),
-        "min_child_samples": ("minInstancesPerNode", int),
-    }
-    return _translate(_tree_limits(params), table, NO_COUNTERPART)
 
-
-def boosting(params: Mapping | None = None, seed: int = 42) -> GBTRegressor:
+def boosting(params: Mapping | None = None, seed: int = 42) -> BoostedTrees:
     """Gradient boosting with stage-wise trees (100 rounds, rate 0.1, depth 3 unless given)."""
-    return GBTRegressor(seed=seed, **{"maxIter": 100, "stepSize": 0.1, "maxDepth": 3, **boosting_params(params or {})})
+    return BoostedTrees(seed=seed, **{"maxDepth": 3, **tree_params(params or {})})
 
 
-def histogram_boosting(params: Mapping | None = None, seed: int = 42, bins: int = 255) -> GBTRegressor:
-    """Boosting on binned features, as histogram libraries do."""
-    return GBTRegressor(seed=seed, maxBins=bins, **{"maxIter": 100, "stepSize": 0.1, "maxDepth": 5, "minInstancesPerNode": 20, **boosting_params(params or {})})
+def histogram_boosting(params: Mapping | None = None, seed: int = 42, bins: int = 255) -> BoostedTrees:
+    """Boosting of trees grown leaf by leaf, best gain first (100 rounds, 31 leaves of at least 20 rows unless given)."""
+    return BoostedTrees(seed=seed, maxBins=bins, **{"numLeaves": 31, "minLeaf": 20, **tree_params(params or {})})
 
 
 class Ridge(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, DefaultParamsReadable, DefaultParamsWritable):
@@ -349,19 +301,18 @@ def make_regressor(family: str, params: Mapping | None = None, group: str = "pub
     raise ValueError(f"unknown model family {family}")
 
 
-def spark_params(family: str, params: Mapping) -> dict:
-    """Spark parameter names and values for one candidate of a family."""
-    if family == "RandomForest":
-        return forest_params(params)
-    if family in ("GradientBoosting", "LightGBM"):
-        return boosting_params(params)
+def estimator_params(family: str, params: Mapping) -> dict:
+    """Names and values of one candidate of a family, as its estimator takes them."""
+    if family in ("RandomForest", "GradientBoosting", "LightGBM"):
+        return tree_params(params)
     return {k: v for k, v in params.items() if k not in _IGNORED}
 
 
-def fit_cached(estimator: Estimator, train: DataFrame, partitions: int = FIT_PARTITIONS):
-    """Fit on the training columns alone, held for the passes of the fit only, in a layout fixed by the rows themselves."""
-    columns = [c for c in ("features", "label", "fold") if c in train.columns]
-    with cached(laid_out(train, partitions).select(*columns)) as rows:
+def fit_cached(estimator: Estimator, train: DataFrame):
+    """Fit on the training rows, held for the passes of the fit only: trees hold binned rows, others features and label."""
+    if isinstance(estimator, (TreeForest, BoostedTrees)):
+        return estimator.fit(train)
+    with cached(train.select(*[c for c in ("features", "label", "fold") if c in train.columns])) as rows:
         return estimator.fit(rows)
 
 

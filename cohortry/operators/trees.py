@@ -1,72 +1,35 @@
-"""Fitted trees as tables: the node rows Spark ML stores with a model."""
+"""Fitted trees as paths: what has to hold on the way to each leaf."""
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+from pyspark.sql import DataFrame
 
-from cohortry.session import shared_dir
+from cohortry.operators.ensembles import TreeEnsemble
 
 
-def node_table(spark, model) -> DataFrame:
-    """(tree, id, prediction, stats, n, left, right, slot, threshold, flipped) of every node of a tree or forest."""
-    path = shared_dir(spark, "fitted-trees")
-    model.write().overwrite().save(path)
-    stored = spark.read.parquet(f"{path}/data")
-    if "nodeData" in stored.columns:
-        stored = stored.select(F.col("treeID").alias("tree"), "nodeData.*")
-    else:
-        stored = stored.select(F.lit(0).alias("tree"), "*")
-    split = F.col("split")
-    left_set, categories = split["leftCategoriesOrThreshold"], split["numCategories"]
-    return stored.select(
-        "tree",
-        "id",
-        "prediction",
-        F.col("impurityStats").alias("stats"),
-        F.col("rawCount").cast("double").alias("n"),
-        F.col("leftChild").alias("left"),
-        F.col("rightChild").alias("right"),
-        split["featureIndex"].alias("slot"),
-        # a 0/1 slot is stored as a set of values that go left; it becomes a threshold at one half
-        F.when(categories < 0, F.get(left_set, 0)).when(categories == 2, F.lit(0.5)).alias("threshold"),
-        F.when(categories == 2, F.array_contains(left_set, 1.0)).otherwise(False).alias("flipped"),
-    )
-
-
-def load_trees(spark, model) -> list[dict[int, dict]]:
-    """Nodes by id, one dictionary per tree (a model's size, which the driver already holds)."""
-    trees: dict[int, dict[int, dict]] = defaultdict(dict)
-    for row in node_table(spark, model).collect():
-        trees[row["tree"]][row["id"]] = row.asDict()
-    return [trees[t] for t in sorted(trees)]
-
-
-def leaf_paths(nodes: dict[int, dict]) -> list[tuple[dict, list[tuple[int, float, bool, float]]]]:
+def leaf_paths(tree: Mapping[str, np.ndarray]) -> list[tuple[int, list[tuple[int, float, bool, float]]]]:
     """(leaf, [(slot, threshold, x <= threshold, share of the parent's rows)]) for every leaf."""
     out, todo = [], [(0, [])]
     while todo:
         at, path = todo.pop()
-        node = nodes[at]
-        if node["left"] < 0:
-            out.append((node, path))
+        if tree["slot"][at] < 0:
+            out.append((at, path))
             continue
-        if node["threshold"] is None:
-            raise ValueError(f"slot {node['slot']} is split by more than two categories; one-hot encode it")
-        for child, below in ((node["left"], not node["flipped"]), (node["right"], node["flipped"])):
-            share = nodes[child]["n"] / node["n"] if node["n"] else 0.0
-            todo.append((child, [*path, (node["slot"], node["threshold"], below, share)]))
+        for child, below in ((int(tree["left"][at]), True), (int(tree["right"][at]), False)):
+            share = tree["n"][child] / tree["n"][at] if tree["n"][at] else 0.0
+            todo.append((child, [*path, (int(tree["slot"][at]), float(tree["threshold"][at]), below, float(share))]))
     return out
 
 
-def tree_paths(spark, model, names: list[str]) -> DataFrame:
-    """(leaf, rule, cluster, n_rows, purity) of one classification tree (a model's size, not the data's)."""
-    rows = []
-    for leaf, path in leaf_paths(load_trees(spark, model)[0]):
+def tree_paths(model: TreeEnsemble, names: list[str]) -> DataFrame:
+    """(leaf, rule, cluster, n_rows, purity) of the first tree of a class forest (a model's size, not the data's)."""
+    tree, classes = next(iter(model.parts()))[0], model.getOrDefault(model.classes)
+    shares, rows = tree["value"].reshape(-1, classes), []
+    for leaf, path in leaf_paths(tree):
         tests = [f"{names[slot]} {'<=' if below else '>'} {threshold:.6g}" for slot, threshold, below, _ in path]
-        total = sum(leaf["stats"])
-        rows.append(
-            (int(leaf["id"]), " AND ".join(tests) or "TRUE", int(leaf["prediction"]), int(leaf["n"]), max(leaf["stats"]) / total if total else None)
-        )
+        rows.append((leaf, " AND ".join(tests) or "TRUE", int(shares[leaf].argmax()), int(tree["n"][leaf]), float(shares[leaf].max())))
+    spark = model.rows.sparkSession
     return spark.createDataFrame(rows, "leaf int, rule string, cluster int, n_rows bigint, purity double").orderBy("leaf")

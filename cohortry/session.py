@@ -53,6 +53,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs that run inside send at most so many rows to Python at once; the session's setting is put back afterwards."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def local_table(spark: SparkSession, schema: dict[str, pa.DataType], rows: list[tuple]) -> DataFrame:
     """A few rows known to the driver, as a relation inside the plan (no job, no Python rows)."""
     columns = list(zip(*rows)) if rows else [[] for _ in schema]
@@ -60,23 +72,6 @@ def local_table(spark: SparkSession, schema: dict[str, pa.DataType], rows: list[
     return spark.createDataFrame(pa.table(arrays, names=list(schema)))
 
 
-#: Partitions of what a fit reads. It is part of a fit's outcome (rows are drawn per partition), so it never follows
-#: from the cluster; give more of them for larger tables.
-FIT_PARTITIONS = 16
-
-
-def laid_out(df: DataFrame, partitions: int = FIT_PARTITIONS) -> DataFrame:
-    """The same rows in a layout that depends on them alone: dealt by a hash of all columns and sorted by it.
-
-    Fits that draw rows per partition then give the same model whatever the files, cores or executors. Rows that are
-    equal in every column share a partition; keep a row key among the columns where many rows are. Vectors are left out
-    where there are other columns: they are derived, and the last digits of a scaled number follow from the order of sums.
-    """
-    plain = [c for c, kind in df.dtypes if kind != "vector"]
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in plain or df.columns])
-    return df.withColumn("__row", row).repartition(partitions, "__row").sortWithinPartitions("__row").drop("__row")
-
-
 @contextmanager
 def cached(df: DataFrame) -> Iterator[DataFrame]:
     """The frame persisted (memory, then disk) for several passes, and released afterwards; lost blocks are computed again."""

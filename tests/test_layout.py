@@ -9,6 +9,8 @@ from cohortry.operators import aggregates as A
 from cohortry.operators import clusters as C
 from cohortry.operators import evaluation as E
 from cohortry.operators import regression as M
+from cohortry.operators import tuning as G
+from cohortry.operators.features import Prepared
 from cohortry.roles import ColumnRoles
 from cohortry.session import shared_dir
 
@@ -54,6 +56,17 @@ def test_kmeans_and_drivers(layouts, rows):
     assert drivers[0] == drivers[1]
 
 
+@pytest.mark.parametrize(("family", "candidates"), [("RandomForest", [{"n_estimators": 3, "max_depth": 3}, {"n_estimators": 6, "max_depth": 3}]), ("LightGBM", [{"n_estimators": 2, "num_leaves": 5}])])
+def test_searches(layouts, family, candidates):
+    roles = ColumnRoles(("x", "y"), (), "label", ("id",))
+    found = []
+    for df in layouts:
+        made = train(df).select("id", "features", "label")
+        _, row = G.search(Prepared(made.filter("id % 5 > 0"), made.filter("id % 5 = 0"), None, roles), family, candidates, 3, "all", "grid")
+        found.append((*row[:5], *[round(v, 9) for v in row[5:]]))
+    assert found[0] == found[1]
+
+
 def test_code_text_at_any_size(spark):
     df = spark.createDataFrame([(1.0, "1.0"), (12345678.0, "12345678"), (-3e15, "1.5"), (0.5, "1e3"), (None, None)], "x double, t string")
     got = [tuple(r) for r in df.select(code_text("x"), code_text("t")).collect()]

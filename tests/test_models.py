@@ -108,16 +108,11 @@ def test_ridge_closed_form(frame, data, alpha):
 
 
 def test_parameter_names():
-    forest = M.forest({"max_depth": None, "max_features": 0.5, "min_samples_leaf": 3, "min_samples_split": 2, "criterion": "squared_error"})
-    assert (forest.getNumTrees(), forest.getMaxDepth(), forest.getFeatureSubsetStrategy(), forest.getMinInstancesPerNode()) == (100, 30, "0.5", 3)
-    assert M.forest(None, "privada").getNumTrees() == 600
-    assert M.forest({"min_samples_split": 5, "min_samples_leaf": 2}).getMinInstancesPerNode() == 3
-    for leaves, depth, want in ((70, -1, 7), (31, -1, 5), (31, 3, 3), (64, 10, 6)):
-        assert M.histogram_boosting({"num_leaves": leaves, "max_depth": depth}).getMaxDepth() == want
-    with pytest.warns(UserWarning):
-        assert M.forest({"max_depth": 100}).getMaxDepth() == 30
-    with pytest.raises(ValueError):
-        M.histogram_boosting({"reg_alpha": 0.5})
+    forest = M.forest({"max_depth": None, "max_features": 0.5, "min_samples_leaf": 3, "min_samples_split": 7, "criterion": "squared_error"})
+    assert [forest.get(n) for n in ("numTrees", "maxDepth", "maxFeatures", "minLeaf", "minSplit", "bootstrap")] == [100, 0, "0.5", 3, 7, True]
+    assert M.forest(None, "privada").get("numTrees") == 600 and M.forest(None, "privada").get("maxDepth") == 100
+    boosted = M.histogram_boosting({"num_leaves": 70, "max_depth": -1, "reg_alpha": 0.1, "reg_lambda": 0.2, "min_child_samples": 50})
+    assert [boosted.get(n) for n in ("numLeaves", "maxDepth", "l1", "l2", "minLeaf")] == [70, 0, 0.1, 0.2, 50]
     with pytest.raises(ValueError):
         M.forest({"no_such": 1})
 
@@ -185,29 +180,26 @@ def test_candidates():
 def tree_value(nodes, x, known):
     """Expected prediction when only the features in ``known`` are given."""
     def walk(i):
-        n = nodes[i]
-        if n["left"] < 0:
-            return n["prediction"]
-        left, right = (n["right"], n["left"]) if n["flipped"] else (n["left"], n["right"])
-        if n["slot"] in known:
-            return walk(left if x[n["slot"]] <= n["threshold"] else right)
-        return (nodes[left]["n"] * walk(left) + nodes[right]["n"] * walk(right)) / n["n"]
+        left, right = nodes["left"][i], nodes["right"][i]
+        if left < 0:
+            return nodes["value"][i]
+        if nodes["slot"][i] in known:
+            return walk(left if x[nodes["slot"][i]] <= nodes["threshold"][i] else right)
+        return (nodes["n"][left] * walk(left) + nodes["n"][right] * walk(right)) / nodes["n"][i]
 
     return walk(0)
 
 
 @pytest.mark.parametrize("family, params", [("RandomForest", {"n_estimators": 3, "max_depth": 4}), ("GradientBoosting", {"n_estimators": 3, "max_depth": 3})])
 def test_tree_attributions(spark, prepared, family, params):
-    from cohortry.operators.trees import load_trees
-
     model = M.make_regressor(family, params).fit(prepared.train)
     scored = T.tree_attributions(model.transform(prepared.test), model)
     x, rows = matrix(scored, "prediction", "attributions")
-    base = T.baseline(T.ensemble_leaves(spark, model))
+    base = T.model_baseline(model)
     phi = np.array([r[1] for r in rows])
     np.testing.assert_allclose(phi.sum(axis=1), [r[0] - base for r in rows], atol=1e-9)
-    trees = load_trees(spark, model)
-    weights = np.array(model.treeWeights) / (len(trees) if family == "RandomForest" else 1)
+    trees = [t for part in model.parts() for t in part]
+    weights = [t["weight"] for t in trees]
     p = x.shape[1]
     for row in range(3):
         want = np.zeros(p)

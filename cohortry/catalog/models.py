@@ -18,8 +18,10 @@ from cohortry.operators import kprototypes as K
 from cohortry.operators import regression as M
 from cohortry.operators import scenarios as W
 from cohortry.operators import tuning as G
+from cohortry.operators.kmeans import MiniBatchKMeans
 from cohortry.operators.hypothesis import long_categories
 from cohortry.operators.reshape import stack
+from cohortry.operators.rows import with_fold
 from cohortry.plans.study import compare_cluster_counts, policy_report, run_study, study_reports
 from cohortry.roles import ColumnRoles
 from cohortry.session import shared_dir
@@ -263,6 +265,19 @@ def _(spark, sf):
     )
 
 
+@query(
+    "c06_mini_batch_step",
+    """WITH a AS (SELECT l_quantity AS x, l_linenumber AS y, CASE WHEN (l_quantity - 10) ^ 2 + (l_linenumber - 2) ^ 2 <= (l_quantity - 40) ^ 2 + (l_linenumber - 5) ^ 2 THEN 0 ELSE 1 END AS c FROM lineitem)
+       SELECT CAST(c AS INTEGER) AS cluster, round(avg(x), 5) AS quantity, round(avg(y), 5) AS line FROM a GROUP BY 1""",
+)
+def _(spark, sf):
+    """One epoch of one batch moves every centre to the mean of the rows nearest to it."""
+    rows = VectorAssembler(inputCols=["l_quantity", "l_linenumber"], outputCol="features").transform(fact(spark, sf))
+    model = MiniBatchKMeans(k=2, batches=1, maxIter=1, start="[[10, 2], [40, 5]]").fit(rows)
+    found = [(i, round(float(x), 5), round(float(y), 5)) for i, (x, y) in enumerate(model.clusterCenters())]
+    return spark.createDataFrame(found, "cluster int, quantity double, line double")
+
+
 # a cluster column SQL can reproduce
 _CLUSTERED = f"{ROWS_SQL}, k AS (SELECT *, CAST(l_linenumber % 3 AS INTEGER) AS cluster FROM lines)"
 
@@ -388,7 +403,67 @@ def _(spark, sf):
 @query("m03_histogram_boosting")
 def _(spark, sf):
     made = _made(spark, sf)
-    return _metrics(M.fit_cached(M.histogram_boosting({"n_estimators": 5, "learning_rate": 0.1, "min_child_samples": 20}), made.train), made)
+    return _metrics(M.fit_cached(M.histogram_boosting({"n_estimators": 5, "learning_rate": 0.1, "num_leaves": 70, "max_depth": 20, "min_child_samples": 20, "reg_alpha": 0.1, "reg_lambda": 0.1}), made.train), made)
+
+
+_THREE = ("l_quantity", "l_discount", "l_tax")
+
+
+def _three(spark, sf):
+    """Lines with three numbers as features and the price as label."""
+    rows = table(spark, sf, "lineitem").select(*KEYS, "l_linestatus", *_THREE, F.col("l_extendedprice").alias("label"))
+    return VectorAssembler(inputCols=list(_THREE), outputCol="features").transform(rows)
+
+
+@query(
+    "m01_tree_to_the_leaves",
+    """SELECT l_linestatus, count(*) AS n, round(avg(p), 4) AS mean, round(avg(p * y) / 1e6, 4) AS product FROM
+       (SELECT l_linestatus, l_extendedprice AS y, avg(l_extendedprice) OVER (PARTITION BY l_quantity, l_discount, l_tax) AS p FROM lineitem) GROUP BY 1""",
+)
+def _(spark, sf):
+    """A tree without limits ends in leaves of equal features, so it predicts their mean label."""
+    rows = _three(spark, sf)
+    scored = M.fit_cached(M.forest({"n_estimators": 1, "max_depth": None, "bootstrap": False}), rows).transform(rows)
+    return scored.groupBy("l_linestatus").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("prediction"), 4).alias("mean"), F.round(F.avg(F.col("prediction") * F.col("label")) / 1e6, 4).alias("product")
+    )
+
+
+@query(
+    "m03_first_split_gain",
+    """WITH r AS (SELECT *, l_extendedprice - avg(l_extendedprice) OVER () AS g FROM lineitem),
+       u AS (SELECT unnest([{'f': 'l_quantity', 'v': l_quantity}, {'f': 'l_discount', 'v': l_discount}, {'f': 'l_tax', 'v': l_tax}], recursive := true), g FROM r),
+       v AS (SELECT f, v, count(*) AS n, sum(g) AS s FROM u GROUP BY 1, 2),
+       c AS (SELECT f, v, lead(v) OVER w AS nxt, sum(n) OVER w AS nl, sum(s) OVER w AS gl, sum(n) OVER a AS n, sum(s) OVER a AS g FROM v
+             WINDOW w AS (PARTITION BY f ORDER BY v), a AS (PARTITION BY f)),
+       p AS (SELECT f, (v + nxt) / 2 AS t, gl, nl, abs(gl) - 1000.0 AS tl, abs(g - gl) - 1000.0 AS tr, n - nl AS nr FROM c WHERE nxt IS NOT NULL AND nl >= 20 AND n - nl >= 20),
+       q AS (SELECT *, greatest(tl, 0) ^ 2 / (nl + 50.0) + greatest(tr, 0) ^ 2 / (nr + 50.0) AS gain FROM p ORDER BY gain DESC LIMIT 1)
+       SELECT f AS feature, round(t, 6) AS threshold, round(gain / 1e12, 5) AS gain, round(sign(gl) * greatest(tl, 0) / (nl + 50.0), 3) AS left_value FROM q""",
+)
+def _(spark, sf):
+    """The first split of leaf-wise boosting with both penalties: the best of all boundaries of all features."""
+    model = M.fit_cached(M.histogram_boosting({"n_estimators": 1, "learning_rate": 1.0, "num_leaves": 2, "reg_alpha": 1000.0, "reg_lambda": 50.0}), _three(spark, sf))
+    names = F.array(*map(F.lit, _THREE))
+    return model.rows.select(
+        F.element_at(names, F.get("slot", F.lit(0)) + 1).alias("feature"),
+        F.round(F.get("threshold", F.lit(0)), 6).alias("threshold"),
+        F.round(F.get("gain", F.lit(0)) / 1e12, 5).alias("gain"),
+        F.round(F.get("value", F.get("left", F.lit(0))), 3).alias("left_value"),
+    )
+
+
+@query(
+    "m02_two_rounds_of_one_feature",
+    """WITH a AS (SELECT *, l_extendedprice - avg(l_extendedprice) OVER () AS g, avg(l_extendedprice) OVER () AS base FROM lineitem),
+       b AS (SELECT *, avg(g) OVER (PARTITION BY l_linenumber) AS p1 FROM a)
+       SELECT l_linenumber, count(*) AS n, round(base + 0.5 * p1 + 0.5 * 0.5 * p1, 4) AS prediction FROM b GROUP BY l_linenumber, base, p1""",
+)
+def _(spark, sf):
+    """Seven line numbers fit seven leaves; the second round finds half of the first one's values left."""
+    rows = table(spark, sf, "lineitem").select(*KEYS, F.col("l_extendedprice").alias("label"))
+    rows = VectorAssembler(inputCols=["l_linenumber"], outputCol="features").transform(rows)
+    model = M.fit_cached(M.boosting({"n_estimators": 2, "learning_rate": 0.5, "max_depth": 7}), rows)
+    return model.transform(rows).groupBy("l_linenumber", F.round("prediction", 4).alias("prediction")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -433,10 +508,29 @@ def _(spark, sf):
     return spark.createDataFrame(found, "grp string, slope double, intercept double")
 
 
+_FOLD = f"{_BUCKET.replace(chr(39) + '42' + chr(39), chr(39) + '43' + chr(39)).removesuffix(' % 100')} % 5"
+
+
+@query(
+    "g01_ridge_fold_errors",
+    f"""WITH d AS (SELECT {_FOLD} AS fold, l_quantity AS x, l_extendedprice AS y FROM lineitem),
+        s AS (SELECT f.fold, covar_pop(y, x) * count(*) AS sxy, var_pop(x) * count(*) AS sxx, avg(x) AS mx, avg(y) AS my FROM (SELECT DISTINCT fold FROM d) f JOIN d ON d.fold <> f.fold GROUP BY 1),
+        a AS (SELECT unnest([0.1, 1000.0, 100000.0]) AS alpha),
+        e AS (SELECT alpha, s.fold, avg((y - my - sxy / (sxx + alpha) * (x - mx)) ^ 2) AS mse FROM s JOIN d USING (fold), a GROUP BY 1, 2)
+        SELECT CAST(alpha AS DOUBLE) AS alpha, round(avg(mse) / 1e6, 5) AS mse FROM e GROUP BY 1""",
+)
+def _(spark, sf):
+    """The errors of three penalties over five folds, from one pass that sums products per fold."""
+    rows = table(spark, sf, "lineitem").select(*KEYS, "l_quantity", F.col("l_extendedprice").alias("label"))
+    rows = with_fold(VectorAssembler(inputCols=["l_quantity"], outputCol="features").transform(rows), KEYS, 5)
+    alphas = [0.1, 1000.0, 100000.0]
+    found = [(a, round(e / 1e6, 5)) for a, e in zip(alphas, G.ridge_scores(rows, alphas))]
+    return spark.createDataFrame(found, "alpha double, mse double")
+
+
 @query("g01_g04_g05_grid_search")
 def _(spark, sf):
-    prepared = {"all": _made(spark, sf)}
-    return G.search_groups(prepared, "Ridge", "grid", candidates=G.grid_candidates({"alpha": [0.1, 1.0, 10.0]}), folds=3)[1]
+    return G.search_groups({"all": _made(spark, sf)}, "Ridge", "grid")[1]
 
 
 @query(
@@ -456,7 +550,7 @@ def _(spark, sf):
 
 @query("g02_random_search")
 def _(spark, sf):
-    return G.search_groups({"all": _made(spark, sf)}, "Ridge", "random", n_iter=3)[1]
+    return G.search_groups({"all": _made(spark, sf)}, "Ridge", "random")[1]
 
 
 # ---------------------------------------------------------------- evaluation

@@ -33,7 +33,9 @@ MAX_BINS = 256
 SMALL_ROWS = 1 << 15
 SUM_BYTES = 32 << 20
 _GROUP_CELLS = 512
-_BATCH = 4096
+_BATCH = 8192
+#: Binned rows that one task reads in a pass, at most about.
+_TASK_ROWS = 1_000_000
 #: Rounds of boosting between two written states.
 _WRITE_EVERY = 10
 _POISSON = np.cumsum(np.exp(-1.0) / np.cumprod([1.0, *range(1, 16)]))
@@ -424,7 +426,12 @@ class Held:
                 raise ValueError("no rows with a label")
             self.cells = Cells(bin_edges(picked, min(bins, MAX_BINS), self.n))
             edges = self.cells.edges
-            self.frame = self._binned = picked.mapInArrow(lambda b: _binned(b, edges), _HELD).persist(StorageLevel.MEMORY_AND_DISK)
+            binned = picked.mapInArrow(lambda b: _binned(b, edges), _HELD)
+            # binned rows are small, and so are few partitions of them: all cores take part in every pass
+            least = max(self.spark.sparkContext.defaultParallelism, self.n // _TASK_ROWS)
+            if binned.rdd.getNumPartitions() < least:
+                binned = binned.repartition(least)
+            self.frame = self._binned = binned.persist(StorageLevel.MEMORY_AND_DISK)
             self.frame.count()
         finally:
             picked.unpersist()
@@ -567,11 +574,10 @@ class Held:
         self._written += 1
         if self._written % _WRITE_EVERY == 0:
             frame = stored(frame, "boosting-state")
-        self.frame = frame.persist(StorageLevel.MEMORY_AND_DISK)
-        self.frame.count()
-        for old in self._kept:
+        self.frame = frame.persist(StorageLevel.MEMORY_AND_DISK)  # filled by the next pass, from the state before
+        for old in self._kept[:-1]:
             old.unpersist()
-        self._kept = [self.frame]
+        self._kept = [*self._kept[-1:], self.frame]
 
 
 _SUBTREE = pa.schema(

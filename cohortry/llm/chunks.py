@@ -114,7 +114,9 @@ def chunk_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...
     return text[opening], starts[opening], ends[closing], closing - opening + 1
 
 
-_CHUNK_DDL = "doc_id long, at int, digest long, start int, stop int, words int"
+_CHUNK_DDL = "doc_id long, copy long, at int, digest long, digest2 long, start int, stop int, words int"
+#: Another order of the byte values, under which the second half of a digest is taken.
+_OTHER = np.random.default_rng(77).permutation(256).astype(np.uint8)
 
 
 def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,15 +128,19 @@ def _chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         digest = span_hashes(data, start, stop).view(np.int64)
         at = np.arange(len(text)) - np.searchsorted(text, text)
-        ids = batch.column("doc_id").take(pa.array(text))
-        columns = [ids, pa.array(at, pa.int32()), pa.array(digest)]
+        ids, copies = (batch.column(c).take(pa.array(text)) for c in ("doc_id", "copy"))
+        columns = [ids, copies, pa.array(at, pa.int32()), pa.array(digest), pa.array(span_hashes(_OTHER[data], start, stop).view(np.int64))]
         columns += [pa.array(x, pa.int32()) for x in (start - offsets[text], stop - offsets[text], words)]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "at", "digest", "start", "stop", "words"])
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "copy", "at", "digest", "digest2", "start", "stop", "words"])
 
 
 def chunks_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, at, digest, start, stop, words): every chunk with its number, place in UTF-8 bytes and length in words."""
-    picked = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    """(doc_id, copy, at, digest, digest2, start, stop, words): every chunk with its number, place in UTF-8 bytes and words.
+
+    ``copy`` is a hash of the text: rows of one id that differ in their texts are documents of their own.
+    """
+    text = docs[text_col].cast("string")
+    picked = docs.select(docs[id_col].cast("long").alias("doc_id"), F.xxhash64(text).alias("copy"), text.alias("text"))
     return picked.filter(F.col("doc_id").isNotNull()).mapInArrow(_chunked, _CHUNK_DDL)
 
 
@@ -144,19 +150,20 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     ``first_doc_id`` is the least document that holds a chunk of the span. ``removed`` says that chunks of the span are
     met earlier (in an earlier document, or further ahead in this one); ``removed_words`` counts their words. The first
     holder of a passage has a row, too, with ``removed`` false. Documents without a repeated span have no row: null,
-    empty and short texts, texts met once, and rows with a null id. Rows with equal ids and texts are the same document.
-    Other columns are ignored. Digests are 64-bit hashes of a chunk's bytes.
+    empty and short texts, texts met once, and rows with a null id. Rows with equal ids and texts are the same document;
+    different texts under one id are documents of their own, with rows under that id each. Very long texts are read whole.
+    Other columns are ignored. Digests are 128-bit hashes of a chunk's bytes. A stretch without a cut ends after 64 words.
     """
     chunks = chunks_of(docs, id_col, text_col)
-    place = F.struct("doc_id", "at")
-    repeated = chunks.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first != last")
-    repeated = stored(repeated.select("digest", F.col("first.doc_id").alias("first_doc_id"), F.col("first.at").alias("first_at")), "chunk-repeats")
-    found = chunks.join(repeated, "digest").withColumn(
-        "later", (F.col("doc_id") != F.col("first_doc_id")) | (F.col("at") != F.col("first_at"))
+    place = F.struct("doc_id", "copy", "at")
+    repeated = chunks.groupBy("digest", "digest2").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first != last")
+    repeated = stored(repeated.select("digest", "digest2", *[F.col(f"first.{c}").alias(f"first_{c}") for c in ("doc_id", "copy", "at")]), "chunk-repeats")
+    found = chunks.join(repeated, ["digest", "digest2"]).withColumn(
+        "later", (F.col("doc_id") != F.col("first_doc_id")) | (F.col("copy") != F.col("first_copy")) | (F.col("at") != F.col("first_at"))
     )
     # per document the repeated chunks in order; neighbours make a run. A document's own chunks are bounded by its text
     item = F.struct("at", "start", "stop", "words", "first_doc_id", "later")
-    docs_with = found.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.collect_list(item))).alias("run"))
+    docs_with = found.groupBy("doc_id", "copy").agg(F.array_sort(F.collect_set(item)).alias("run"))
     return docs_with.mapInArrow(lambda b: _runs(b, least_words), _SPAN_DDL)
 
 

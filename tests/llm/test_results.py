@@ -411,6 +411,41 @@ def test_passages_of_a_few_words_again_and_again(spark):
     assert min(found[240], found[241]) >= 41
 
 
+def test_chunks_of_different_texts_under_one_id(spark):
+    pick = random.Random(12)
+    prose = lambda n: " ".join("".join(pick.choice("abcdefghijklmno") for _ in range(pick.randint(3, 8))) for _ in range(n))
+    a, b = prose(100), prose(100)
+    rows = [(1, a), (1, b), (2, a), (3, b), (3, b), (4, prose(100))]
+    got = sorted((r["doc_id"], r["start"], r["stop"], r["n_words"], r["first_doc_id"], r["removed"]) for r in chunks.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    want = sorted([(1, 0, len(a), 100, 1, False), (1, 0, len(b), 100, 1, False), (2, 0, len(a), 100, 1, True), (3, 0, len(b), 100, 1, True)])
+    assert got == want
+
+
+def test_repeats_equal_plain_chunks(spark, texts):
+    """Spans against a dictionary of the chunks' own bytes."""
+    bodies = {i: (t or "").encode() for i, t in texts.items()}
+    parts, where = {}, {}
+    for i, raw in sorted(bodies.items()):
+        _, start, stop, words = chunks.chunk_bounds(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        parts[i] = list(zip(start.tolist(), stop.tolist(), words.tolist()))
+        for at, (s, e, _) in enumerate(parts[i]):
+            where.setdefault(raw[s:e], []).append((i, at))
+    want = []
+    for i, own in parts.items():
+        run = []
+        for at, (s, e, w) in enumerate([*own, (0, 0, 0)]):
+            places = where.get(bodies[i][s:e], [])
+            if at < len(own) and len(places) > 1:
+                run.append((s, e, w, min(places) != (i, at)))
+                continue
+            if sum(x[2] for x in run) >= chunks.LEAST_WORDS:
+                want.append((i, run[0][0], run[-1][1], sum(x[2] for x in run), sum(x[2] for x in run if x[3])))
+            run = []
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = [(r["doc_id"], r["start"], r["stop"], r["n_words"], r["removed_words"]) for r in chunks.repeated_spans(docs).collect()]
+    assert sorted(got) == sorted(want) and len(got) > 50
+
+
 def test_chunks_fall_into_step_after_an_insertion():
     pick = random.Random(2)
     words = ["".join(pick.choice("abcdefg") for _ in range(5)) for _ in range(2000)]

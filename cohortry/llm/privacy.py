@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -36,7 +36,8 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TOKEN = re.compile(r"[A-Za-z0-9]+|[^A-Za-z0-9]")
 _NOTED = re.compile(r"[0-9@]")
 _WORD = re.compile(r"\S+")
-LONGEST = 24  # tokens of an entity
+LONGEST = 24  # tokens of a span that the field may add; matches that it learns from have any length
+PIECE = 400  # characters of a piece of a region that the field learns from, or more up to the next place outside a match
 OTHER = len(KINDS)
 SAMPLE = 4_000  # documents that the field is fitted on, at most
 _EPOCHS = 6
@@ -147,6 +148,7 @@ def region(text: str, begin: int, end: int) -> Region:
     tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text, begin, end)]
     starts, ends = [s for s, _ in tokens], [e for _, e in tokens]
     by_end: list[list[tuple[int, int, tuple[str, ...]]]] = [[] for _ in tokens]
+    last_at = text.rfind("@", begin, end)
     for i, s in enumerate(starts):
         first = text[s]
         if not (first.isalnum() or first in "+(._%-"):
@@ -162,7 +164,7 @@ def region(text: str, begin: int, end: int) -> Region:
                 names = _features(kind, span, ahead, behind)
                 if names:
                     by_end[j].append((i, kind, names))
-            if not kinds and "@" not in text[s:end]:
+            if not kinds and s > last_at:
                 break  # no longer span from here is of any kind
     other = [(f"other:{'digit' if text[s].isdigit() else 'letter' if text[s].isalpha() else text[s]}",) for s in starts]
     return Region(starts, ends, by_end, other)
@@ -251,31 +253,53 @@ class Field:
             self.weights[name] = 0.9999 * self.weights.get(name, 0.0) + rate * x
 
 
-def gold_segments(r: Region, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]] | None:
-    """The pattern matches inside a region as token segments, leftmost first; None if one is no candidate segment."""
-    first, last = {s: i for i, s in enumerate(r.starts)}, {e: i for i, e in enumerate(r.ends)}
+def gold_segments(r: Region, text: str, base: Sequence[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The pattern matches inside a region as token segments, leftmost first.
+
+    A match is a candidate at any length: one that the region has no segment for is given one, over the tokens that it meets.
+    """
     out, done = [], -1
     for s, k, e in base:
-        i, j = first.get(s), last.get(e)
-        if i is None or j is None or not any((b, kind) == (i, k) for b, kind, _ in r.by_end[j]):
-            return None
-        if i > done:
-            out.append((i, j, k))
-            done = j
+        i, j = bisect_right(r.starts, s) - 1, bisect_left(r.ends, e)
+        if i <= done:
+            continue
+        if not any((b, kind) == (i, k) for b, kind, _ in r.by_end[j]):
+            begin, end = r.starts[i], r.ends[j]
+            ahead, behind = text[begin - 1] if begin else "", text[end] if end < len(text) else ""
+            r.by_end[j].append((i, k, _features(k, text[begin:end], ahead, behind) or (f"{KINDS[k]}:bias", f"{KINDS[k]}:odd")))
+        out.append((i, j, k))
+        done = j
     return out
 
 
+def pieces_of(text: str, begin: int, end: int, base: Sequence[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """A region in pieces of about ``PIECE`` characters, cut where neither a match nor a token goes on; ``base`` is sorted."""
+    at, k = begin, 0
+    while end - at > PIECE:
+        stop, before = at + PIECE, -1
+        while before != stop:
+            before = stop
+            while k < len(base) and base[k][0] < stop:
+                stop, k = max(stop, base[k][2]), k + 1
+            while stop < end and text[stop - 1].isalnum() and text[stop].isalnum():
+                stop += 1
+        yield at, min(stop, end)
+        at = stop
+    if at < end:
+        yield at, end
+
+
 def fit_field(texts: Sequence[str], epochs: int = _EPOCHS) -> Field:
-    """A field from the pattern matches of texts, in their order."""
+    """A field from all pattern matches of texts, in their order; long regions are learnt from in pieces."""
     examples = []
     for text in texts:
         base = base_spans(text)
+        begins = [b[0] for b in base]
         for begin, end in regions_of(text):
-            if end - begin <= 400:
-                r = region(text, begin, end)
-                gold = gold_segments(r, [b for b in base if begin <= b[0] < end])
-                if gold is not None:
-                    examples.append((r, gold))
+            own = base[bisect_left(begins, begin) : bisect_left(begins, end)]
+            for a, b in pieces_of(text, begin, end, own):
+                r = region(text, a, b)
+                examples.append((r, gold_segments(r, text, [x for x in own if a <= x[0] < b])))
     field = Field({"other:letter": 1.0})
     for epoch in range(epochs):
         for r, gold in examples:
@@ -340,6 +364,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     A null or empty text has no spans. Repeated rows give equal rows, a null id stays null, an empty table gives an empty
     result, other columns are ignored. Spans of one kind never overlap; of equal starts the kinds come in their fixed order.
+    Very long texts are read whole, in time linear in their length; an added span has at most ``LONGEST`` tokens.
     """
     picked = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     weights = fit_on(picked, rows)

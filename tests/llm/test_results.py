@@ -331,6 +331,29 @@ def test_field_adds_what_patterns_miss():
     assert base == [] and len(every) == 2
 
 
+def test_field_learns_from_long_regions():
+    card, ip, long_mail = "4111 1111 1111 1111", "10.20.30.40", "a.b.c.d.e.f.g.h.i.j.k.l.m.n@o.p.q.example.com"
+    text = f"see {card} here\n" + " ".join(f"x{i}" for i in range(120)) + f" {ip} " + " ".join(f"y{i}" for i in range(120)) + f"\nwrite {long_mail}"
+    kinds = {n.split(":")[0] for n, w in privacy.fit_field([text]).weights.items() if w}
+    assert {"card", "ip", "email"} <= kinds
+    base = privacy.base_spans(text)
+    for begin, end in privacy.regions_of(text):
+        pieces = list(privacy.pieces_of(text, begin, end, base))
+        assert [pieces[0][0], pieces[-1][1]] == [begin, end] and all(a[1] == b[0] for a, b in zip(pieces, pieces[1:]))
+        assert not any(s < stop < e for _, stop in pieces for s, _, e in base)
+
+
+def test_time_of_long_regions_is_linear():
+    import time
+
+    field, took = privacy.Field({"other:letter": 1.0}), []
+    for n in (20_000, 160_000):
+        start = time.process_time()
+        privacy.find_spans(" ".join(f"a{i % 10}" for i in range(n)), field)
+        took.append(time.process_time() - start)
+    assert took[1] < 20 * took[0]
+
+
 # ---------------------------------------------------------------- near duplicates and chunks
 
 

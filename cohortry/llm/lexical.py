@@ -276,7 +276,8 @@ def _of_items(segments: DataFrame, items: DataFrame, k: int) -> DataFrame:
     blocks = stored(blocks, "item-blocks")
     asked = blocks.select(*[F.col(c).alias(f"i_{c}") for c in blocks.columns], F.explode(F.sequence(F.lit(0), F.lit(keys - 1))).alias("key"))
     with batch_rows(items.sparkSession, 2):
-        found = stored(asked.join(segments, "key").mapInArrow(lambda b: _ranked_segments(b, n, words, k), _HITS), "segment-hits")
+        # blocks are repeated for every key, which Spark's estimate does not see: never broadcast them
+        found = stored(asked.hint("merge").join(segments, "key").mapInArrow(lambda b: _ranked_segments(b, n, words, k), _HITS), "segment-hits")
     release(blocks)
     sent.unpersist()
     return found

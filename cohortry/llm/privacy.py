@@ -260,7 +260,7 @@ def gold_segments(r: Region, text: str, base: Sequence[tuple[int, int, int]]) ->
     """
     out, done = [], -1
     for s, k, e in base:
-        i, j = bisect_right(r.starts, s) - 1, bisect_left(r.ends, e)
+        i, j = bisect_right(r.starts, s) - 1, min(bisect_left(r.ends, e), len(r.ends) - 1)  # a match may go on in the next region
         if i <= done:
             continue
         if not any((b, kind) == (i, k) for b, kind, _ in r.by_end[j]):

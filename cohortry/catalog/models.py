@@ -209,7 +209,7 @@ def _near_mode(c):
         SELECT cluster AS label, size, cost, l_quantity, l_discount, l_returnflag, o_orderpriority FROM s JOIN {_near_mode('l_returnflag')} USING (cluster) JOIN {_near_mode('o_orderpriority')} USING (cluster)""",
 )
 def _(spark, sf):
-    out = K.step(K.typed(_columns(spark, sf), _PN, _PC), _PN, _PC, {0: _PROTOTYPES}, 7.5).drop("run")
+    out = K.step(K.coded(K.typed(_columns(spark, sf), _PN, _PC), _PN, _PC), _PN, _PC, {0: _PROTOTYPES}, 7.5).drop("run")
     return rounded(out.withColumn("cost", F.round("cost", 3)))
 
 
@@ -231,14 +231,14 @@ def _prepared(spark, sf):
 @query("c01_c02_kprototypes_fit")
 def _(spark, sf):
     rows = _prepared(spark, sf)
-    model = K.KPrototypes(numericCols=NUMERIC, categoricalCols=CATEGORICAL, k=3, nInit=2, maxIter=8).fit(rows)
+    model = K.KPrototypes(numericCols=NUMERIC, categoricalCols=CATEGORICAL, k=3, maxIter=10).fit(rows)
     return C.cluster_sizes(model.transform(rows)).withColumn("cost", F.lit(model.cost))
 
 
 @query("c05_k_sweep")
 def _(spark, sf):
     estimator = K.KPrototypes(numericCols=NUMERIC, categoricalCols=CATEGORICAL, nInit=1, maxIter=5)
-    return K.k_sweep(_prepared(spark, sf), estimator, [2, 3, 4])[0]
+    return K.k_sweep(_prepared(spark, sf), estimator, range(2, 16))[0]
 
 
 @query("c06_c07_kmeans")

@@ -73,9 +73,20 @@ def local_table(spark: SparkSession, schema: dict[str, pa.DataType], rows: list[
 
 
 @contextmanager
-def cached(df: DataFrame) -> Iterator[DataFrame]:
-    """The frame persisted (memory, then disk) for several passes, and released afterwards; lost blocks are computed again."""
-    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+def cached(df: DataFrame, spread: bool = False) -> Iterator[DataFrame]:
+    """The frame persisted (memory, then disk) for several passes, and released afterwards; lost blocks are computed again.
+
+    ``spread`` keeps the partitions of its last shuffle, which Spark would else put together by their bytes: for passes that
+    cost much more than reading.
+    """
+    name = "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning"  # read when the frame is persisted
+    before = df.sparkSession.conf.get(name)
+    try:
+        if spread:
+            df.sparkSession.conf.set(name, "false")
+        kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    finally:
+        df.sparkSession.conf.set(name, before)
     try:
         yield kept
     finally:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortry.operators import clusters as C
-from cohortry.operators.kprototypes import KPrototypes, KPrototypesModel, cao_seeds, elbow_table
+from cohortry.operators.kprototypes import KPrototypes, KPrototypesModel, cao_seeds, coded, elbow_table, step
 from cohortry.roles import ColumnRoles
 
 NUM, CAT = ["x", "y"], ["c", "d"]
@@ -83,11 +83,24 @@ def test_categories_only_and_numbers_only(frame):
 def test_sweep_and_elbow(spark, frame):
     models = KPrototypes(numericCols=NUM, categoricalCols=CAT, nInit=2, maxIter=6).sweep(frame, [2, 3, 4])
     assert models[4].cost <= models[2].cost
+    alone = KPrototypes(numericCols=NUM, categoricalCols=CAT, k=3, nInit=2, maxIter=6).fit(frame)
+    assert models[3].prototypes == alone.prototypes and models[3].cost == pytest.approx(alone.cost)
     table = {r.k: r for r in elbow_table(spark, {2: 9.0, 3: 4.0, 4: 3.5, 5: None}).collect()}
     assert [k for k, r in table.items() if r.is_best] == [4]
     assert table[3].bend == pytest.approx(4.5) and table[2].bend is None and table[5].cost is None
 
 
+def test_missing_categories_are_values_of_coded_rows(spark):
+    rows = spark.createDataFrame([(float(i % 5), 0.0, None if i % 3 else "a", "p") for i in range(20_000)], "x double, y double, c string, d string").coalesce(1)
+    blocks = coded(rows, NUM, CAT)
+    assert blocks.count() > 1 and blocks.groupBy().sum("n").first()[0] == 20_000
+    start = [((0.0, 0.0), ("a", "p")), ((0.0, 0.0), (None, "q"))]
+    found = {r.label: r for r in step(blocks, NUM, CAT, {0: start, 7: start[:1]}, 100.0).filter("run = 0").collect()}
+    assert list(found) == [0] and found[0].size == 20_000  # equal distances go to the lower label
+    assert step(blocks, NUM, CAT, {7: start[:1]}, 1.0).select("size", "c").collect() == [(20_000, None)]
+    assert step(coded(rows.limit(0), NUM, CAT), NUM, CAT, {0: start}, 1.0).count() == 0
+
+
 def test_model_is_stored(spark, frame, tmp_path):
     model = KPrototypes(numericCols=NUM, categoricalCols=CAT, k=2, nInit=1).fit(frame)
     model.write().overwrite().save(f"{tmp_path}/kp")

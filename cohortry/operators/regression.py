@@ -17,6 +17,7 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, functions as F
 
 from cohortry.operators.ensembles import BoostedTrees, TreeForest
+from cohortry.operators.kernels import Identity, Landmarks, choose_landmarks, kernel_error, lift_of
 from cohortry.session import cached
 
 # Default forest parameters per group.
@@ -108,7 +109,7 @@ class Ridge(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, DefaultPar
 
 
 class SupportVectorModel(Model, HasFeaturesCol, HasPredictionCol, DefaultParamsReadable, DefaultParamsWritable):
-    state = Param(Params._dummy(), "state", "JSON: weights, bias and random features", TypeConverters.toString)
+    state = Param(Params._dummy(), "state", "JSON: weights, bias, feature map and kernel error", TypeConverters.toString)
 
     @keyword_only
     def __init__(self, *, featuresCol="features", predictionCol="prediction", state=None):
@@ -123,9 +124,14 @@ class SupportVectorModel(Model, HasFeaturesCol, HasPredictionCol, DefaultParamsR
     def bias(self) -> float:
         return json.loads(self.getOrDefault(self.state))["bias"]
 
+    @property
+    def kernel_error(self) -> dict[str, float]:
+        """``mean`` and ``largest`` error of the rbf kernel over the training rows (zero for the linear kernel)."""
+        return json.loads(self.getOrDefault(self.state))["error"]
+
     def _transform(self, df):
         s = json.loads(self.getOrDefault(self.state))
-        w, b, lift = np.array(s["weights"]), s["bias"], _Lift(**s["lift"])
+        w, b, lift = np.array(s["weights"]), s["bias"], lift_of(s["lift"])
 
         @F.pandas_udf("double")
         def score(x: pd.Series) -> pd.Series:
@@ -134,30 +140,14 @@ class SupportVectorModel(Model, HasFeaturesCol, HasPredictionCol, DefaultParamsR
         return df.withColumn(self.getPredictionCol(), score(vector_to_array(self.getFeaturesCol())))
 
 
-class _Lift:
-    """Identity for the linear kernel, random Fourier features for the rbf kernel."""
-
-    def __init__(self, dim: int, features: int = 0, width: float = 0.0, seed: int = 42):
-        self.args = {"dim": dim, "features": features, "width": width, "seed": seed}
-        self.features = features
-        if features:
-            draw = np.random.RandomState(seed)
-            self.directions = draw.randn(dim, features) * np.sqrt(2 * width)
-            self.phases = draw.uniform(0, 2 * np.pi, features)
-
-    def __call__(self, x: np.ndarray) -> np.ndarray:
-        if not self.features:
-            return x
-        return np.sqrt(2 / self.features) * np.cos(x @ self.directions + self.phases)
-
-
 class SupportVectorRegressor(Estimator, HasFeaturesCol, HasLabelCol, HasPredictionCol, DefaultParamsReadable, DefaultParamsWritable):
     """Fit of ``|w|^2 / 2 + C * sum(max(0, |y - f| - epsilon))``.
 
     One distributed pass gives the loss and its gradient: each task reduces its Arrow batches to one array, and Spark
     sums those by position. The kink of the loss is rounded, and the rounding shrinks in stages down to ``smooth``
-    deviations of the label; each stage runs limited-memory quasi-Newton steps from the last point. ``rbf`` uses random
-    Fourier features, whose number bounds the kernel's error.
+    deviations of the label; each stage runs limited-memory quasi-Newton steps from the last point. ``rbf`` uses
+    the kernel's projection on ``landmarks`` rows chosen by k-means++ (:mod:`cohortry.operators.kernels`); its error over all
+    training rows is measured and kept in the model, and is zero where there are no more distinct rows than landmarks.
     """
 
     kernel = Param(Params._dummy(), "kernel", "linear or rbf", TypeConverters.toString)
@@ -166,8 +156,8 @@ class SupportVectorRegressor(Estimator, HasFeaturesCol, HasLabelCol, HasPredicti
     maxIter = Param(Params._dummy(), "maxIter", "steps per stage", TypeConverters.toInt)
     tol = Param(Params._dummy(), "tol", "relative change that ends the fit", TypeConverters.toFloat)
     smooth = Param(Params._dummy(), "smooth", "final rounding of the kink", TypeConverters.toFloat)
-    randomFeatures = Param(Params._dummy(), "randomFeatures", "features of the rbf kernel", TypeConverters.toInt)
-    seed = Param(Params._dummy(), "seed", "seed of the random features", TypeConverters.toInt)
+    landmarks = Param(Params._dummy(), "landmarks", "landmark rows of the rbf kernel", TypeConverters.toInt)
+    seed = Param(Params._dummy(), "seed", "seed of the landmarks", TypeConverters.toInt)
 
     @keyword_only
     def __init__(
@@ -182,11 +172,11 @@ class SupportVectorRegressor(Estimator, HasFeaturesCol, HasLabelCol, HasPredicti
         maxIter=50,
         tol=1e-5,
         smooth=0.001,
-        randomFeatures=256,
+        landmarks=256,
         seed=42,
     ):
         super().__init__()
-        self._setDefault(kernel="rbf", C=1.0, epsilon=0.1, maxIter=50, tol=1e-5, smooth=0.001, randomFeatures=256, seed=42)
+        self._setDefault(kernel="rbf", C=1.0, epsilon=0.1, maxIter=50, tol=1e-5, smooth=0.001, landmarks=256, seed=42)
         self._set(**self._input_kwargs)
 
     def _fit(self, df):
@@ -195,19 +185,20 @@ class SupportVectorRegressor(Estimator, HasFeaturesCol, HasLabelCol, HasPredicti
         with cached(df.select(*columns)) as rows:
             dim = len(rows.first()["x"])
             n, mean_y, sd_y = rows.agg(F.count("y"), F.avg("y"), F.stddev_pop("y")).first()
-            lift = _Lift(dim)
+            lift, error = Identity(dim), (0.0, 0.0)
             if get("kernel") == "rbf":
                 # width as the usual 1 / (features * variance of all entries)
                 entries = rows.select(F.explode("x").alias("v")).agg(F.var_pop("v")).first()[0]
-                lift = _Lift(dim, get("randomFeatures"), 1 / (dim * (entries or 1.0)), get("seed"))
+                lift = Landmarks(choose_landmarks(rows, get("landmarks"), get("seed")), 1 / (dim * (entries or 1.0)))
+                error = kernel_error(rows, lift)
             weights, bias = self._descend(rows, lift, n, mean_y, sd_y or 1.0)
-        state = json.dumps({"weights": weights.tolist(), "bias": float(bias), "lift": lift.args})
+        state = json.dumps({"weights": weights.tolist(), "bias": float(bias), "lift": lift.args, "error": {"mean": error[0], "largest": error[1]}})
         return SupportVectorModel(featuresCol=self.getFeaturesCol(), predictionCol=self.getPredictionCol(), state=state)
 
     def _descend(self, rows, lift, n, mean_y, sd_y):
         get = lambda name: self.getOrDefault(getattr(self, name))
         shrink = 1 / (get("C") * n)  # objective divided by C * n: mean loss + shrink / 2 * |w|^2
-        point = np.append(np.zeros(lift.features or lift.args["dim"]), mean_y)
+        point = np.append(np.zeros(lift.features), mean_y)
         width, last = 0.1, get("smooth")
         while True:
             width = max(width, last)
@@ -258,7 +249,7 @@ def quasi_newton(objective: Callable, point: np.ndarray, steps: int, tol: float,
     return point
 
 
-def loss_and_gradient(rows: DataFrame, lift: _Lift, point: np.ndarray, eps: float, width: float) -> tuple[float, np.ndarray]:
+def loss_and_gradient(rows: DataFrame, lift: Callable, point: np.ndarray, eps: float, width: float) -> tuple[float, np.ndarray]:
     """Summed rounded loss and its gradient in (weights, bias): one array per task, added up by position."""
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

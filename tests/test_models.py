@@ -9,10 +9,12 @@ import pytest
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from cohortry.operators import attribution as T
 from cohortry.operators import features as P
+from cohortry.operators import kernels as L
 from cohortry.operators import regression as M
 from cohortry.operators import tuning as G
 from cohortry.operators.evaluation import importance_table, regression_metrics
@@ -138,6 +140,57 @@ def test_support_vector(prepared):
     rbf = M.support_vector({"kernel": "rbf", "C": 10.0, "epsilon": 0.1}, maxIter=15, smooth=0.01).fit(prepared.train)
     fit = regression_metrics(rbf.transform(prepared.test)).first()
     assert fit.r2 > 0.5
+    assert 0 < rbf.kernel_error["mean"] < 0.2 and rbf.kernel_error["mean"] <= rbf.kernel_error["largest"] <= 1
+
+
+def test_landmark_kernel(spark):
+    draw = np.random.RandomState(3)
+    x = draw.randn(400, 2)
+    data = [(v.tolist(),) for v in np.vstack([x, x[:1].repeat(200, axis=0)])]
+    rows = spark.createDataFrame(data, "x array<double>").repartition(5)
+    before = np.inf
+    for count in (4, 16, 64):
+        chosen = L.choose_landmarks(rows, count)
+        assert len(chosen) == len(np.unique(chosen, axis=0)) == count
+        np.testing.assert_array_equal(chosen, L.choose_landmarks(rows.repartition(2), count))
+        lift = L.Landmarks(chosen, 0.5)
+        mean, largest = L.kernel_error(rows, lift)
+        exact, z = L.rbf(x, x, 0.5), lift(x)
+        wrong = np.abs(exact - z @ z.T)
+        assert wrong.max() <= largest + 1e-9  # the measured error bounds every entry
+        assert mean == pytest.approx(((1 - (z * z).sum(axis=1)).sum() + 200 * (1 - (z[0] ** 2).sum())) / 600, abs=1e-9)
+        assert mean < before
+        before = mean
+        np.testing.assert_allclose(lift(chosen) @ lift(chosen).T, L.rbf(chosen, chosen, 0.5), atol=1e-7)
+    np.testing.assert_array_equal(L.choose_landmarks(rows, 400), L._sorted(x))  # all distinct rows, where they are few
+    assert L.choose_landmarks(rows.limit(0), 4).size == 0
+
+
+def test_exact_rbf_fit_on_few_distinct_rows(spark):
+    """With a landmark for every distinct row the fit is that of the exact kernel, found here on one machine."""
+    draw = np.random.RandomState(8)
+    points = draw.randn(12, 2)
+    at = draw.randint(12, size=300)
+    x, y = points[at], np.sin(2 * points[at, 0]) + points[at, 1] + 0.05 * draw.randn(300)
+    df = spark.createDataFrame([(Vectors.dense(a), float(b)) for a, b in zip(x, y)], ["features", "label"])
+    model = M.support_vector({"kernel": "rbf", "C": 2.0, "epsilon": 0.1}, maxIter=60, tol=1e-9, landmarks=20).fit(df)
+    assert model.kernel_error["largest"] < 1e-9
+    width = 1 / (2 * x.var())
+    kernel, across = L.rbf(points, points, width), L.rbf(x, points, width)
+
+    def objective(a, b):
+        return 0.5 * a @ kernel @ a + 2.0 * np.maximum(0, np.abs(across @ a + b - y) - 0.1).sum()
+
+    predicted = np.array([r.prediction for r in model.transform(spark.createDataFrame([(Vectors.dense(p),) for p in points], ["features"])).collect()])
+    mine = objective(np.linalg.solve(kernel, predicted - model.bias), model.bias)
+    a, b, low = np.zeros(12), y.mean(), np.inf
+    for t in range(60000):  # plain descent in the kernel's own space
+        miss = across @ a + b - y
+        g = np.sign(miss) * (np.abs(miss) > 0.1)
+        step = 0.02 / np.sqrt(1 + t)
+        a, b = a - step * (a + 2.0 * np.bincount(at, g, 12)), b - step * 2.0 * g.sum() / 300
+        low = min(low, objective(a, b))
+    assert mine <= low * 1.005
 
 
 def test_metrics(spark):

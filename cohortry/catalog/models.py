@@ -14,6 +14,7 @@ from cohortry.operators import attribution as T
 from cohortry.operators import clusters as C
 from cohortry.operators import evaluation as E
 from cohortry.operators import features as P
+from cohortry.operators import kernels as L
 from cohortry.operators import kprototypes as K
 from cohortry.operators import regression as M
 from cohortry.operators import scenarios as W
@@ -369,6 +370,26 @@ def _(spark, sf):
     )
 
 
+def _projection_sql():
+    """Sums of the variances and of their squares over all axes, from shares, deviations and pair counts alone."""
+    flags = "\n UNION ALL ".join(f"SELECT id, '{c}' AS f, {c} AS u FROM t WHERE {c} IS NOT NULL" for c in CATEGORICAL)
+    numbers = " + ".join(f"2 * (SELECT corr({c}, {d}) ^ 2 FROM t)" for c in NUMERIC for d in NUMERIC if c < d)
+    mixed = " + ".join(f"2 * (SELECT sum((n * m / total) ^ 2 / (n / total)) FROM (SELECT u, count(*) AS n, avg(z) AS m FROM flags JOIN (SELECT id, ({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () AS z FROM t) USING (id) GROUP BY f, u), (SELECT count(*) AS total FROM t))" for c in NUMERIC)
+    return f"""WITH t AS MATERIALIZED (SELECT row_number() OVER () AS id, {', '.join([*NUMERIC, *CATEGORICAL])} FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey),
+        flags AS ({flags}), one AS (SELECT f, u, count(*) / (SELECT count(*) FROM t) AS p FROM flags GROUP BY 1, 2),
+        two AS (SELECT a.f, a.u, b.f AS g, b.u AS v, count(*) / (SELECT count(*) FROM t) AS p FROM flags a JOIN flags b USING (id) GROUP BY 1, 2, 3, 4),
+        grid AS (SELECT (coalesce(two.p, 0) - a.p * b.p) ^ 2 / (a.p * b.p) AS c FROM one a CROSS JOIN one b LEFT JOIN two ON two.f = a.f AND two.u = a.u AND two.g = b.f AND two.v = b.u)
+        SELECT round({len(NUMERIC)} + (SELECT sum(1 - p) FROM one), 6) AS variances, round({len(NUMERIC)} + {numbers} + {mixed} + (SELECT sum(c) FROM grid), 6) AS squares"""
+
+
+@query("c15_axis_variances", _projection_sql())
+def _(spark, sf):
+    """All axes of the projected rows: their variances add up to that of the table, their squares to its squared covariances."""
+    every = C.mixed_projection(_columns(spark, sf), ROLES, 100)
+    axes = every.select(F.posexplode("components").alias("axis", "x")).groupBy("axis").agg(F.var_pop("x").alias("v"))
+    return axes.agg(F.round(F.sum("v"), 6).alias("variances"), F.round(F.sum(F.col("v") * F.col("v")), 6).alias("squares"))
+
+
 @query("c16_compare_cluster_counts")
 def _(spark, sf):
     return compare_cluster_counts(
@@ -485,6 +506,35 @@ def _(spark, sf):
     return _metrics(M.fit_cached(M.support_vector({"kernel": "linear", "C": 1.0, "epsilon": 0.1}, maxIter=15), made.train), made)
 
 
+@query("m05_rbf_support_vector")
+def _(spark, sf):
+    """Metrics of the rbf kernel over 64 landmarks, with the kernel's error over the training rows."""
+    made = _made(spark, sf)
+    model = M.fit_cached(M.support_vector({"kernel": "rbf", "C": 10.0, "epsilon": 0.1}, maxIter=5, smooth=0.01, landmarks=64), made.train)
+    error = model.kernel_error
+    return _metrics(model, made).withColumns({"kernel_error": F.lit(error["mean"]), "largest_error": F.lit(error["largest"])})
+
+
+@query(
+    "m05_kernel_error_of_two_landmarks",
+    """WITH k AS (SELECT exp(-0.005 * (l_quantity - 10) ^ 2) AS a, exp(-0.005 * (l_quantity - 40) ^ 2) AS b, exp(-0.005 * 30 * 30) AS c FROM lineitem),
+       e AS (SELECT 1 - (a * a + b * b - 2 * a * b * c) / (1 - c * c) AS left_out FROM k)
+       SELECT round(avg(left_out), 8) AS mean, round(max(left_out), 8) AS largest FROM e""",
+)
+def _(spark, sf):
+    """What two fixed landmarks leave out of the kernel, over all lines."""
+    rows = table(spark, sf, "lineitem").select(F.array(F.col("l_quantity").cast("double")).alias("x"))
+    mean, largest = L.kernel_error(rows, L.Landmarks([[10.0], [40.0]], 0.005))
+    return spark.range(1).select(F.round(F.lit(mean), 8).alias("mean"), F.round(F.lit(largest), 8).alias("largest"))
+
+
+@query("m05_chosen_landmarks", "SELECT DISTINCT CAST(l_quantity AS DOUBLE) AS l_quantity FROM lineitem")
+def _(spark, sf):
+    """Where there are no more distinct rows than landmarks, each is one, and the kernel is exact."""
+    rows = table(spark, sf, "lineitem").select(F.array(F.col("l_quantity").cast("double")).alias("x"))
+    return spark.createDataFrame([(float(v[0]),) for v in L.choose_landmarks(rows, 64)], "l_quantity double")
+
+
 @query("m06_model_per_group")
 def _(spark, sf):
     rows = _columns(spark, sf)

@@ -4,19 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
-from cohortry.functions.columns import number
+from cohortry.functions.columns import code_text, number
 from cohortry.operators.aggregates import count_by, keyed, mean_by, modes
-from cohortry.operators.features import encoding_stages, feature_names, helper_columns
+from cohortry.operators.features import PopulationScaler, PopulationScalerModel, encoding_stages, feature_names, helper_columns
 from cohortry.operators.hypothesis import long_categories
 from cohortry.operators.ensembles import ClassForest
 from cohortry.operators.kmeans import MiniBatchKMeans
 from cohortry.operators.trees import tree_paths
 from cohortry.roles import ColumnRoles
+from cohortry.session import local_table
 
 
 def fit_kmeans(
@@ -121,22 +122,82 @@ def cluster_rules(df: DataFrame, roles: ColumnRoles, cluster: str = "cluster", d
     return tree_paths(tree, [name for name, _ in names])
 
 
+def _moments(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
+    """(f, u, g, v, s): sums of products of two features, numbers as they are and categories as 0/1 flags, f before g or f = g.
+
+    ``u`` and ``v`` are categories (null for numbers). Pairs of categories are counted, not multiplied out. One scan: rows
+    first become one row per combination of categories, inside the tasks as far as it goes.
+    """
+    n, sums = F.count(F.lit(1)).alias("n"), [F.sum(c).alias(f"s{i}") for i, c in enumerate(numeric)]
+    products = [F.sum(F.col(a) * F.col(b)).alias(f"p{i}_{j}") for i, a in enumerate(numeric) for j, b in enumerate(numeric) if i <= j]
+    combined = df.groupBy(*categorical).agg(n, *sums, *products)
+    none = F.lit(None).cast("string")
+    m = len(numeric)
+
+    def entry(f, u, g, v, value):
+        return F.struct(F.lit(f).alias("f"), u.alias("u"), F.lit(g).alias("g"), v.alias("v"), value.cast("double").alias("s"))
+
+    entries = [entry(-1, none, -1, none, F.col("n"))]
+    entries += [entry(i, none, j, none, F.col(f"p{i}_{j}")) for i in range(m) for j in range(i, m)]
+    for k, c in enumerate(categorical):
+        entries += [entry(i, none, m + k, F.col(c), F.col(f"s{i}")) for i in range(m)]
+        entries += [entry(m + k, F.col(c), m + l, F.col(d), F.col("n")) for l, d in enumerate(categorical) if l >= k]
+    missing = (F.col("f") >= m) & F.col("u").isNull() | (F.col("g") >= m) & F.col("v").isNull()
+    return combined.select(F.inline(F.array(*entries))).filter(~missing).groupBy("f", "u", "g", "v").agg(F.sum("s").alias("s"))
+
+
+def mixed_axes(df: DataFrame, roles: ColumnRoles) -> tuple[PopulationScalerModel | None, list[tuple[int, str | None]], np.ndarray, np.ndarray, np.ndarray]:
+    """(scaler, slots, scale, variances, axes) of the principal components of scaled numbers and weighted category flags.
+
+    A slot is a number's index, or a categorical column's index after the numbers and one of its categories. A flag counts
+    1/sqrt(share), less its mean. ``axes`` has a column per component, largest variance first, the largest loading positive.
+    The driver holds one number per pair of slots, so categories are meant to be some thousands at most.
+    """
+    numeric, categorical = list(roles.numeric), list(roles.categorical)
+    scaler = PopulationScaler(inputCols=numeric, outputCols=[f"{c}__z" for c in numeric]).fit(df) if numeric else None
+    texts = [code_text(c).alias(c) for c in categorical]
+    scaled = scaler.transform(df) if scaler else df
+    rows = scaled.select(*[F.coalesce(f"{c}__z", F.lit(0.0)).alias(f"{c}__z") for c in numeric], *texts)
+    found = _moments(rows, [f"{c}__z" for c in numeric], categorical).collect()
+    m, total = len(numeric), next((r["s"] for r in found if r["f"] == -1), None) or 0.0
+    flags = {(r["f"], r["u"]): r["s"] for r in found if r["f"] >= m and r["f"] == r["g"] and r["u"] == r["v"]}
+    slots = [(i, None) for i in range(m)] + sorted(flags)
+    at = {slot: i for i, slot in enumerate(slots)}
+    share = np.array([0.0] * m + [flags[s] / total for s in slots[m:]])
+    scale = np.array([1.0] * m + [p**-0.5 for p in share[m:]])
+    spread = np.zeros((len(slots), len(slots)))
+    for r in found:
+        if r["f"] >= 0:
+            i, j = at[r["f"], r["u"]], at[r["g"], r["v"]]
+            spread[i, j] = spread[j, i] = r["s"] / total
+    spread = (spread - np.outer(share, share)) * np.outer(scale, scale)
+    values, axes = np.linalg.eigh(spread)
+    values, axes = np.maximum(values[::-1], 0.0), axes[:, ::-1]
+    if len(slots):
+        axes = axes * np.where(axes[np.abs(axes).argmax(axis=0), range(len(slots))] < 0, -1.0, 1.0)
+    return scaler, slots, scale, values, axes
+
+
 def mixed_projection(df: DataFrame, roles: ColumnRoles, k: int = 10, keep: Sequence[str] = ()) -> DataFrame:
     """(keep..., component array): principal components of scaled numbers and category flags weighted by 1/sqrt(share).
 
-    Category flags are centred, so an average row projects to zero.
+    Category flags are centred, so an average row projects to zero; a missing number counts as the mean, a missing category has
+    no flag. Rows are never widened to their flags: means and products come from counts of category pairs, and a row's
+    component is the sum of its numbers' loadings and one looked-up value per categorical column.
     """
-    stages = Pipeline(stages=encoding_stages(roles)).fit(df)
-    rows = stages.transform(df).select(*keep, "features")
-    slots = len(feature_names(stages, roles))
-    n_numeric = len(roles.numeric)
-    v = vector_to_array(F.col("features"))
-    # one pass over the encoded rows: the share of every flag, at most a few hundred numbers
-    share = rows.select(F.posexplode(v).alias("slot", "x")).groupBy("slot").agg(F.avg("x").alias("share"))
-    ordered = share.agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "share"))), lambda s: s["share"])).first()[0]
-    weights = F.array(*[F.lit(1.0 if i < n_numeric or not ordered[i] else ordered[i] ** -0.5) for i in range(slots)])
-    centres = F.array(*[F.lit(0.0 if i < n_numeric else ordered[i]) for i in range(slots)])
-    centred = F.zip_with(F.zip_with(v, centres, lambda x, m: x - m), weights, lambda x, w: x * w)
-    ready = rows.select(*keep, array_to_vector(centred).alias("weighted"))
-    model = PCA(k=min(k, slots), inputCol="weighted", outputCol="components").fit(ready)
-    return model.transform(ready).select(*keep, vector_to_array("components").alias("components"))
+    numeric, categorical = list(roles.numeric), list(roles.categorical)
+    scaler, slots, scale, _, axes = mixed_axes(df, roles)
+    k, m = min(k, len(slots)), len(numeric)
+    loads = axes[:, :k] * scale[:, None]
+    rows = scaler.transform(df) if scaler else df
+    rows = rows.select(*keep, *[F.col(f"{c}__z") for c in numeric], *[code_text(c).alias(f"__t{i}") for i, c in enumerate(categorical)])
+    parts = [F.array(*[F.coalesce(f"{c}__z", F.lit(0.0)) * float(v) for v in loads[i]]) for i, c in enumerate(numeric)]
+    # flags are centred: every row loses the mean of a column's looked-up values, which is the sum of sqrt(share) * axis
+    centre = (loads[m:] / scale[m:, None] ** 2).sum(axis=0) if len(slots) > m else np.zeros(k)
+    for i in range(len(categorical)):
+        own = [(s[1], loads[j].tolist()) for j, s in enumerate(slots) if s[0] == m + i]
+        looked = local_table(df.sparkSession, {f"__t{i}": pa.string(), f"__l{i}": pa.list_(pa.float64())}, own)
+        rows = rows.join(F.broadcast(looked), f"__t{i}", "left")  # one row per category of this column
+        parts.append(F.coalesce(F.col(f"__l{i}"), F.array(*[F.lit(0.0)] * k).cast("array<double>")))
+    component = [sum((F.get(p, F.lit(j)) for p in parts), F.lit(-float(centre[j]))) for j in range(k)]
+    return rows.select(*keep, F.array(*component).cast("array<double>").alias("components"))

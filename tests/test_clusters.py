@@ -142,3 +142,21 @@ def test_drivers_rules_projection(frame):
     means = projected.select(F.posexplode("components").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m"), F.var_pop("v").alias("s")).orderBy("i").collect()
     assert all(abs(r.m) < 1e-9 for r in means)
     assert [r.s for r in means] == sorted([r.s for r in means], reverse=True)
+
+
+def test_mixed_projection_is_that_of_the_wide_table(spark):
+    """Against flags written out: variances, and products of rows, which no sign of an axis changes."""
+    draw = np.random.RandomState(4)
+    data = [(i, None if i % 11 == 0 else float(draw.randn()), float(draw.rand()), None if i % 7 == 0 else "abc"[draw.randint(3)], int(draw.randint(2))) for i in range(120)]
+    df = spark.createDataFrame(data, "id int, x double, y double, c string, d int")
+    roles = ColumnRoles(("x", "y"), ("c", "d"))
+    numbers = np.array([[np.nan if v is None else v for v in r[1:3]] for r in data])
+    z = np.nan_to_num((numbers - np.nanmean(numbers, axis=0)) / np.nanstd(numbers, axis=0))
+    flags = np.array([[r[3] == v for v in "abc"] + [r[4] == v for v in (0, 1)] for r in data], dtype=float)
+    wide = np.hstack([z, (flags - flags.mean(axis=0)) / np.sqrt(flags.mean(axis=0))])
+    got = np.array([r.components for r in C.mixed_projection(df, roles, 10, ["id"]).orderBy("id").collect()])
+    assert got.shape == (120, 7)
+    np.testing.assert_allclose(got @ got.T, (wide - wide.mean(axis=0)) @ (wide - wide.mean(axis=0)).T, atol=1e-8)
+    np.testing.assert_allclose(C.mixed_axes(df, roles)[3], np.sort(np.linalg.eigvalsh(np.cov(wide.T, ddof=0)))[::-1].clip(0), atol=1e-9)
+    only = C.mixed_projection(df, ColumnRoles((), ("c",)), 2).first().components
+    assert len(only) == 2

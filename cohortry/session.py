@@ -46,10 +46,13 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows written to the shared folder and read back, which cuts the lineage and survives lost executors."""
+def stored(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """The rows written to the shared folder and read back, which cuts the lineage and survives lost executors.
+
+    With ``by``, rows of one value of that column (a few values) lie in a folder of their own, and a filter on it reads no other.
+    """
     path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

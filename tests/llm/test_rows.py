@@ -1,8 +1,10 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns, for operators and stages."""
 
 import corpus_pipeline
+import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from cohortry.llm import chunks, decontaminate, factorisation, minhash, pieces, privacy, quality, secrets, sequences, sharding
 from cohortry.session import shared_dir
@@ -62,6 +64,32 @@ def test_sharding(docs, empty):
     assert sharding.shard_documents(empty).collect() == []
 
 
+def test_overfull_ranges_are_cut_again(spark):
+    """A third of the rows are one text under null ids, the rest are tiny beside a few long ones."""
+    data = [(None, "copy")] * 400 + [(i, f"t{i}") for i in range(800)] + [(i, "long " * 5000) for i in range(4)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(6)
+    rows = docs.select("*", F.xxhash64("text").alias("k"), F.length("text").cast("long").alias("size"))
+    held = rows.select(F.lit(5).cast("long").alias("__key"), F.lit(1).cast("long").alias("__tie"), F.monotonically_increasing_id().alias("__row"), F.col("size").alias("__size")).cache()
+    for least in (1, 4):
+        dealt, totals = sharding.cut_ranges(held, least, 50, 32, 7)
+        assert sum(n for _, _, n in totals) == 1204 and sum(b for _, b, _ in totals) == held.agg(F.sum("__size")).first()[0]
+        assert max(n for _, _, n in totals) <= 100
+        assert len(sharding.weighted_sample(dealt, F.col("__size"), sum(b for _, b, _ in totals), 60, 3)) <= 200
+    out = sharding.shard_by_size(rows, F.col("k"), F.col("doc_id"), F.col("size"), shards=8, ranges=4, range_rows=50).collect()
+    assert sorted((r["doc_id"] is None, r["text"]) for r in out) == sorted((d[0] is None, d[1]) for d in data)
+    for shard in range(8):
+        assert sorted(r["slot"] for r in out if r["shard"] == shard) == list(range(sum(r["shard"] == shard for r in out)))
+    ordered = [r["k"] for r in sorted(out, key=lambda r: (r["shard"], r["slot"]))]
+    assert ordered == sorted(ordered)
+
+
+def test_tuples_as_bytes_sort_alike():
+    draw = np.random.default_rng(1)
+    parts = [draw.integers(-3, 3, 500), draw.integers(-(1 << 63), 1 << 62, 500) * draw.integers(0, 2, 500), draw.integers(-2, 2, 500) << 61]
+    by_bytes = np.argsort(sharding.in_order(*parts), kind="stable")
+    assert by_bytes.tolist() == sorted(range(500), key=lambda i: tuple(int(p[i]) for p in parts))
+
+
 def test_sequences(spark, docs, empty):
     path = public_tokenizers.path("byte_bpe_50k.json")
     folder = shared_dir(spark, "test-sequences")

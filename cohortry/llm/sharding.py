@@ -22,8 +22,8 @@ _ORDER = ["__key", "__tie", "__row"]
 
 def in_order(*parts: np.ndarray) -> np.ndarray:
     """Longs side by side as bytes that sort like the tuples."""
-    flipped = [(np.asarray(p, np.int64).view(np.uint64) ^ np.uint64(1 << 63)).astype(">u8") for p in parts]
-    return np.stack(flipped, axis=1).view(f"S{8 * len(parts)}").ravel()
+    flipped = np.stack([np.asarray(p, np.int64).view(np.uint64) ^ np.uint64(1 << 63) for p in parts], axis=1)
+    return flipped.astype(">u8").view(f"S{8 * len(parts)}").ravel()
 
 
 def weighted_sample(rows: DataFrame, weight: Column, total: int, n: int, seed: int) -> pd.DataFrame:

@@ -208,3 +208,31 @@ def test_constant_label_and_no_rows(spark, frame):
     assert set(predicted(BoostedTrees(numTrees=2).fit(flat), flat)) == {4.0}
     with pytest.raises(ValueError):
         TreeForest(numTrees=1).fit(frame.withColumn("label", F.lit(None).cast("double")))
+
+
+def test_rows_are_held_in_blocks(frame):
+    held = TreeForest(numTrees=1).held(frame.coalesce(1))
+    try:
+        assert held.n == N and held.frame.count() <= 2
+    finally:
+        held.close()
+
+
+def test_trees_of_many_rows_share_their_passes(frame, monkeypatch):
+    grown, grow = [], H.Held.grow
+    monkeypatch.setattr(H.Held, "grow", lambda self, numbers, *a, **k: grown.append(len(numbers)) or grow(self, numbers, *a, **k))
+    made = TreeForest(numTrees=6, maxDepth=3)
+    held = made.held(frame)
+    try:
+        held.n = 200_000_000
+        made.fit_held(held)
+    finally:
+        held.close()
+    assert grown == [6]
+
+
+def test_finished_in_parts(frame, table, monkeypatch):
+    monkeypatch.setattr(H, "SMALL_ROWS", 300)
+    whole = predicted(TreeForest(numTrees=3, minLeaf=2).fit(frame), frame)
+    monkeypatch.setattr(H, "_DEALT_ROWS", 2000)
+    assert (predicted(TreeForest(numTrees=3, minLeaf=2).fit(frame), frame) == whole).all()

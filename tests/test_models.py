@@ -287,3 +287,10 @@ def test_what_if_rows(frame):
     assert out.count() == 3 * frame.count()
     assert out.filter("cenario = 'A'").select("a").distinct().collect()[0].a == 9.0
     assert out.filter("cenario = 'Base'").select("a").distinct().count() == 600
+
+
+def test_prepared_rows_are_read_from_one_written_copy(frame):
+    joined = frame.join(frame.select("id", F.lit(1).alias("one")), "id")
+    made = P.prepare_regression(joined, ROLES)
+    for part in (made.train, made.test):
+        assert "Join" not in part._jdf.queryExecution().optimizedPlan().toString()

@@ -160,3 +160,18 @@ def test_mixed_projection_is_that_of_the_wide_table(spark):
     np.testing.assert_allclose(C.mixed_axes(df, roles)[3], np.sort(np.linalg.eigvalsh(np.cov(wide.T, ddof=0)))[::-1].clip(0), atol=1e-9)
     only = C.mixed_projection(df, ColumnRoles((), ("c",)), 2).first().components
     assert len(only) == 2
+
+
+def test_projection_needs_no_join_per_category_column(frame):
+    projected = C.mixed_projection(frame, ColumnRoles(tuple(NUM), tuple(CAT)), 3)
+    assert "Join" not in projected._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_distances_have_a_line_per_prototype_and_ties_go_to_the_first():
+    from cohortry.operators import kprototypes as K
+
+    block = (np.array([[0.0, 2.0, 1.0]]), np.array([[0, 1, 0]]), [{"a": 0, "b": 1}])
+    far = K._distances(block, [((0.0,), ("a",)), ((2.0,), ("a",))], 0.5)
+    assert far.tolist() == [[0.0, 4.5, 1.0], [4.0, 0.5, 1.0]]
+    label, least = K._least(far)
+    assert label.tolist() == [0, 1, 0] and least.tolist() == [0.0, 0.5, 1.0]

@@ -294,3 +294,13 @@ def test_prepared_rows_are_read_from_one_written_copy(frame):
     made = P.prepare_regression(joined, ROLES)
     for part in (made.train, made.test):
         assert "Join" not in part._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sweep_query_runs_all_restarts_to_the_end(monkeypatch):
+    from cohortry.catalog import QUERIES, models
+
+    seen = {}
+    monkeypatch.setattr(models, "_prepared", lambda spark, sf: None)
+    monkeypatch.setattr(models.K, "k_sweep", lambda rows, estimator, ks: seen.update(ks=list(ks), restarts=estimator.getOrDefault(estimator.nInit), steps=estimator.getOrDefault(estimator.maxIter)) or [None])
+    QUERIES["c05_k_sweep"](None, None)
+    assert seen == {"ks": list(range(2, 16)), "restarts": 10, "steps": 100}

@@ -236,3 +236,37 @@ def test_finished_in_parts(frame, table, monkeypatch):
     whole = predicted(TreeForest(numTrees=3, minLeaf=2).fit(frame), frame)
     monkeypatch.setattr(H, "_DEALT_ROWS", 2000)
     assert (predicted(TreeForest(numTrees=3, minLeaf=2).fit(frame), frame) == whole).all()
+
+
+def test_few_values_are_held_as_codes():
+    r = np.random.RandomState(0)
+    x = np.concatenate([r.randint(0, 50, (2000, 1)), np.eye(5)[r.randint(0, 5, 2000)], r.rand(2000, 1), np.full((2000, 1), np.nan)], axis=1).astype(float)
+    held = H.packed(x)
+    for column, (values, codes) in zip(x.T, H.unpacked(held, 2000), strict=True):
+        np.testing.assert_array_equal(values if codes is None else values[codes], column)
+    assert len(held) < 2000 * (8 + 7 + 1)  # the one column of many values, and a byte for each of the others
+    one = H.packed(x[:1])
+    assert [v.tolist() for v, _ in H.unpacked(one, 1)][:7] == [[v] for v in x[0, :7]]
+
+
+@pytest.mark.parametrize("classes", [1, 3])
+@pytest.mark.parametrize("share", [0.02, 0.6, 1.0])
+def test_sums_without_common_bins_are_those_of_all_bins(classes, share):
+    r = np.random.RandomState(classes)
+    bins = np.concatenate([r.randint(0, 30, (3000, 1)), np.eye(6)[r.randint(0, 6, 3000)], np.zeros((3000, 1))], axis=1).astype(np.uint8)
+    cells = H.Cells((np.arange(29.0), *[np.array([0.5])] * 6, np.zeros(0)))
+    for weight in (r.poisson(1.0, 3000), np.ones(3000, np.int64)):
+        sums, want = H._Sums(cells, classes), 0
+        for part in (slice(0, 1000), slice(1000, 3000)):
+            target = np.rint(r.randn(3000) * 2**30) if classes == 1 else r.randint(0, 3, 3000).astype(float)
+            slot = np.where(r.rand(3000) < share, r.randint(0, 4, 3000), -1)
+            mine, own = bins[part], np.flatnonzero((slot[part] >= 0) & (weight[part] > 0))
+            sums.add(7, mine, sums.entries(mine), target[part], weight[part], slot[part], 4)
+            want = want + H._sums_of(mine[own], target[part][own], weight[part][own], slot[part][own], 4, cells, classes)
+        assert (sums.of(7) == want).all() and want[:, :, 0].sum() > 0
+
+
+def test_a_row_costs_as_many_entries_as_it_has_uncommon_bins():
+    bins = np.eye(20)[np.arange(1000) % 20].astype(np.uint8)
+    row, _ = H._Sums(H.Cells(tuple([np.array([0.5])] * 20)), 1).entries(bins)
+    assert np.bincount(row).tolist() == [2] * 1000  # its flag, and the node itself

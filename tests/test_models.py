@@ -296,6 +296,16 @@ def test_prepared_rows_are_read_from_one_written_copy(frame):
         assert "Join" not in part._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_a_row_is_dealt_to_its_part_once(spark):
+    from cohortry.operators.rows import train_test_split
+
+    rows = spark.range(500).select("id", (F.col("id") % 7).alias("x"), F.lit("a").alias("c"), (F.col("id") * 1.0).alias("y"))
+    made = P.prepare_regression(rows, ColumnRoles(("x",), ("c",), "y", ("id",)))
+    assert [sorted(r.id for r in d.collect()) for d in (made.train, made.test)] == [sorted(r.id for r in d.collect()) for d in train_test_split(rows, ["id"])]
+    plans = [d._jdf.queryExecution().optimizedPlan().toString() for d in (made.train, made.test)]
+    assert not any("md5" in p for p in plans) and "__test" not in made.train.columns
+
+
 def test_sweep_query_runs_all_restarts_to_the_end(monkeypatch):
     from cohortry.catalog import QUERIES, models
 

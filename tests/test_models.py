@@ -306,6 +306,18 @@ def test_a_row_is_dealt_to_its_part_once(spark):
     assert not any("md5" in p for p in plans) and "__test" not in made.train.columns
 
 
+def test_trees_score_arrow_arrays():
+    import pyarrow as pa
+
+    from cohortry.operators.ensembles import lists, matrix, tree_values
+
+    x = pa.array([[1.0, 2.0], [3.0, float("nan")], [9.0, 0.0]])
+    assert matrix(x).shape == (3, 2) and len(matrix(x[:0])) == 0 and matrix(x[1:])[1, 0] == 9.0
+    assert lists(np.array([[1.0, 2.0], [3.0, 4.0]])).to_pylist() == [[1.0, 2.0], [3.0, 4.0]]
+    tree = {"slot": np.array([1, -1, 0, -1, -1]), "threshold": np.array([1.0, np.nan, 3.0, np.nan, np.nan]), "left": np.array([1, -1, 3, -1, -1]), "right": np.array([2, -1, 4, -1, -1]), "value": np.arange(10.0)}
+    assert tree_values(matrix(x), tree, 2).tolist() == [[6.0, 7.0], [6.0, 7.0], [2.0, 3.0]]
+
+
 def test_sweep_query_runs_all_restarts_to_the_end(monkeypatch):
     from cohortry.catalog import QUERIES, models
 

@@ -8,15 +8,20 @@ from functools import reduce
 from math import factorial
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from cohortry.operators.ensembles import lists, matrix
 from cohortry.operators.rows import sample_rows
 from cohortry.operators.trees import leaf_paths
 
 
+#: Nodes of a part whose leaves a task keeps between batches; those of larger ones are walked again, one at a time.
+_KEPT_NODES = 4_096
+
+
 @dataclass(frozen=True)
 class Leaf:
     """A leaf as a product of one interval test per feature on its path."""
@@ -61,35 +66,51 @@ def baseline(leaves: Sequence[Leaf]) -> float:
 
 def path_attributions(x: np.ndarray, leaves: Iterable[Leaf]) -> np.ndarray:
     """Shapley values of every row: a leaf's game is a product, so coalitions of equal size share one coefficient."""
-    out = np.zeros(x.shape)
+    out, columns = np.zeros(x.T.shape), np.ascontiguousarray(x.T)
     for leaf in leaves:
         d = len(leaf.slots)
         if d == 0:
             continue
-        passes = (x[:, leaf.slots] > leaf.low) & (x[:, leaf.slots] <= leaf.high)
-        product = np.ones((len(x), 1))
-        for j in range(d):
-            wider = np.zeros((len(x), j + 2))
-            wider[:, :-1] += product * leaf.share[j]
-            wider[:, 1:] += product * passes[:, [j]]
-            product = wider
-        weight = np.array([factorial(k) * factorial(d - 1 - k) / factorial(d) for k in range(d)])
-        for j in range(d):
-            # divide the factor of feature j out again: (share + t) where the row passes, else the constant share
-            rest = np.zeros((len(x), d))
-            rest[:, d - 1] = product[:, d]
-            for k in range(d - 2, -1, -1):
-                rest[:, k] = product[:, k + 1] - leaf.share[j] * rest[:, k + 1]
-            rest = np.where(passes[:, [j]], rest, product[:, :d] / leaf.share[j])
-            out[:, leaf.slots[j]] += leaf.value * (passes[:, j] - leaf.share[j]) * (rest @ weight)
+        if 1 << d < len(x):  # fewer ways to pass than rows: each is worked out once, and rows look theirs up
+            way = np.zeros(len(x), np.int64)
+            for j, slot in enumerate(leaf.slots):
+                way += ((columns[slot] > leaf.low[j]) & (columns[slot] <= leaf.high[j])).astype(np.int64) << j
+            each = _leaf_attributions((np.arange(1 << d)[:, None] >> np.arange(d)) % 2 == 1, leaf)
+            for j, slot in enumerate(leaf.slots):
+                out[slot] += each[:, j].take(way)
+            continue
+        passes = np.stack([(columns[s] > low) & (columns[s] <= high) for s, low, high in zip(leaf.slots, leaf.low, leaf.high)], axis=1)
+        out[leaf.slots] += _leaf_attributions(passes, leaf).T
+    return out.T
+
+
+def _leaf_attributions(passes: np.ndarray, leaf: Leaf) -> np.ndarray:
+    """(rows, slots of the leaf): the values of rows that pass the leaf's tests as given."""
+    d = len(leaf.slots)
+    out = np.empty(passes.shape)
+    product = np.ones((len(passes), 1))
+    for j in range(d):
+        wider = np.zeros((len(passes), j + 2))
+        wider[:, :-1] += product * leaf.share[j]
+        wider[:, 1:] += product * passes[:, [j]]
+        product = wider
+    weight = np.array([factorial(k) * factorial(d - 1 - k) / factorial(d) for k in range(d)])
+    for j in range(d):
+        # divide the factor of feature j out again: (share + t) where the row passes, else the constant share
+        rest = np.zeros((len(passes), d))
+        rest[:, d - 1] = product[:, d]
+        for k in range(d - 2, -1, -1):
+            rest[:, k] = product[:, k + 1] - leaf.share[j] * rest[:, k + 1]
+        rest = np.where(passes[:, [j]], rest, product[:, :d] / leaf.share[j])
+        out[:, j] = leaf.value * (passes[:, j] - leaf.share[j]) * (rest @ weight)
     return out
 
 
 def tree_attributions(df: DataFrame, model, features: str = "features", output: str = "attributions") -> DataFrame:
     """Add an array with one attribution per slot; they sum to the prediction minus the model's baseline.
 
-    Trees are sent as rows of arrays in parts of bounded size; tasks walk them to their leaves, one leaf at a time, and the
-    parts' arrays are added.
+    Trees are sent as rows of arrays in parts of bounded size; tasks walk them to their leaves, one leaf at a time, on Arrow
+    arrays, and the parts' arrays are added.
     """
     spark = df.sparkSession
     x = vector_to_array(features)
@@ -97,10 +118,11 @@ def tree_attributions(df: DataFrame, model, features: str = "features", output:
     def part_udf(part):
         shared = spark.sparkContext.broadcast(part)
 
-        @F.pandas_udf("array<double>")
-        def attribute(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        @F.arrow_udf("array<double>")
+        def attribute(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            leaves = list(tree_leaves(shared.value)) if sum(len(t["slot"]) for t in shared.value) <= _KEPT_NODES else None
             for batch in batches:
-                yield pd.Series(list(path_attributions(np.vstack(batch), tree_leaves(shared.value))) if len(batch) else [], dtype=object)
+                yield lists(path_attributions(matrix(batch), leaves if leaves is not None else tree_leaves(shared.value)))
 
         return attribute
 

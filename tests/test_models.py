@@ -306,6 +306,20 @@ def test_a_row_is_dealt_to_its_part_once(spark):
     assert not any("md5" in p for p in plans) and "__test" not in made.train.columns
 
 
+def test_equal_ways_through_a_tree_are_worked_out_once(monkeypatch):
+    tree = {"slot": [0, 1, -1, -1, -1], "threshold": [5.0, 0.5, None, None, None], "left": [1, 2, -1, -1, -1], "right": [4, 3, -1, -1, -1], "n": [10.0, 6.0, 2.0, 4.0, 4.0], "value": [0.0, 0.0, 1.0, 3.0, 9.0]}
+    part = [{"weight": 0.5} | {k: np.array([np.nan if v is None else v for v in c]) for k, c in tree.items()}]
+    x = np.random.RandomState(0).rand(300, 3) * [10, 1, 1]
+    done, plain = [], T._leaf_attributions
+    monkeypatch.setattr(T, "_leaf_attributions", lambda passes, leaf: done.append(len(passes)) or plain(passes, leaf))
+    whole = T.path_attributions(x, list(T.tree_leaves(part)))
+    assert max(done) == 4
+    np.testing.assert_array_equal(whole, np.concatenate([T.path_attributions(x[i : i + 2], list(T.tree_leaves(part))) for i in range(0, 300, 2)]))
+    below, small = x[:, 0] <= 5, x[:, 1] <= 0.5
+    value = np.where(below, np.where(small, 1.0, 3.0), 9.0) * 0.5
+    np.testing.assert_allclose(whole.sum(axis=1) + T.baseline(list(T.tree_leaves(part))), value)
+
+
 def test_trees_score_arrow_arrays():
     import pyarrow as pa
 
